@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinline.llm import language_id
 from kinline.llm.common import table
+from kinline.llm.exact_dedup import exact_dedup
+from kinline.llm.packing import pack, with_digest
 from kinline.llm.substring_dedup import substring_dedup
 
 ORACLES: dict[str, str] = {}
@@ -37,4 +40,29 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_k
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("row_tag")
+
+
+ORACLES["op2_exact_dedup"] = r"""
+WITH n AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x FROM documents
+), g AS (
+  SELECT doc_id, x, first_value(doc_id) OVER (PARTITION BY x ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM n
+)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM g
+"""
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digest(pack(table(spark, sf_dir, "documents")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = language_id.fold("doc_id", 5) == 0
+    model = language_id.train(documents.filter(~held_out))
+    return language_id.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op5_packing, op7_language_id)}
