@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinline.llm import language_id
 from kinline.llm.common import table
 from kinline.llm.exact_dedup import exact_dedup
+from kinline.llm.ngram_jaccard import jaccard_classes
 from kinline.llm.packing import pack, with_digest
 from kinline.llm.substring_dedup import substring_dedup
 
@@ -54,6 +55,31 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SHINGLES = r"""
+w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+)"""
+ORACLES["op3_ngram_jaccard"] = f"""
+WITH RECURSIVE {SHINGLES}, e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS s FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM sets UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.r = links.x
+)
+SELECT sets.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(pack(table(spark, sf_dir, "documents")))
 
@@ -65,4 +91,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op5_packing, op7_language_id)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_ngram_jaccard, op5_packing, op7_language_id)}
