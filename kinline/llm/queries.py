@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinline.llm import language_id
+from kinline.llm import language_id, toxicity
 from kinline.llm.common import table
 from kinline.llm.exact_dedup import exact_dedup
 from kinline.llm.ngram_jaccard import jaccard_classes
@@ -80,6 +80,14 @@ FROM sets JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = language_id.fold("doc_id", 3) == 1
+    model = toxicity.train(documents, labels.filter(~held_out))
+    out = toxicity.score(documents, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_restored")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(pack(table(spark, sf_dir, "documents")))
 
@@ -91,4 +99,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_ngram_jaccard, op5_packing, op7_language_id)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_ngram_jaccard, op4_toxicity, op5_packing, op7_language_id)}
