@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinline.llm import kernels as K
-from kinline.llm.common import batch_of, id_and_text, public_id
+from kinline.llm.common import batch_of, id_and_text, materialize, public_id
 
 WHITE = b" \t\n\x0b\x0c\r"
 SALTS = 64
@@ -117,7 +117,7 @@ class CuckooIndex:
         return ((k, v) for k, v in zip(self.keys, self.values, strict=True) if k is not None)
 
 
-DIGESTS = "_id long, _row long, _chars long, _digest binary"
+DIGESTS = "_id long, _key long, _chars long, _digest binary"
 
 
 def _digest(batches):
@@ -127,7 +127,7 @@ def _digest(batches):
             # a code point has one byte that isn't a continuation
             heads = np.concatenate(([0], np.cumsum((b.data & 0xC0) != 0x80)))[b.offsets]
             digests = [hashlib.sha256(b.text(i).translate(None, WHITE)).digest() for i in range(b.rows)]
-            yield batch_of(_id=batch.column("_id")[rows], _row=batch.column("_row")[rows], _chars=np.diff(heads).astype(np.int64), _digest=pa.array(digests, pa.binary()))
+            yield batch_of(_id=batch.column("_id")[rows], _key=batch.column("_key")[rows], _chars=np.diff(heads).astype(np.int64), _digest=pa.array(digests, pa.binary()))
 
 
 GROUPS = "_digest binary, chars long, keep long, row long, size long, salts long"
@@ -182,9 +182,10 @@ def _merge(batches):
 
 
 def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    docs = id_and_text(documents, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
-    out = docs.mapInArrow(_digest, DIGESTS)
-    return out.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    """Narrow rows, written once: row numbers that were given again, after an executor is lost, could be others."""
+    docs = id_and_text(documents, id_col, text_col).withColumn("_key", F.xxhash64("_id", "_text"))
+    out = docs.mapInArrow(_digest, DIGESTS).withColumn("_row", F.monotonically_increasing_id())
+    return materialize(out).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
 
 
 def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256, row_tag): one row for each row of the input."""
+    """(id, keep_id, group_size, kept, text_sha256, key): one row for each row of the input; ``key`` is a hash of id and text."""
     rows = digests(documents, id_col, text_col)
     out = rows.join(verdicts(rows), ["_digest", "_salt"])
     return out.select(
@@ -205,5 +206,5 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("_size").alias("group_size"),
         (F.col("_row") == F.col("_kept_row")).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
-        F.col("_row").alias("row_tag"),
+        F.col("_key").alias("key"),
     )

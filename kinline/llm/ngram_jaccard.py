@@ -74,7 +74,7 @@ PROFILE = "kind byte, x long, y long, n int, node long"
 
 
 def _profile(words: int):
-    """Kind 0: (id, row, set size, node) of each row. Kind 1: (shingle, copies) among the different sets of a block."""
+    """Kind 0: (id, key, set size, node) of each row. Kind 1: (shingle, copies) among the different sets of a block."""
 
     def run(batches):
         seen: set[int] = set()
@@ -87,7 +87,7 @@ def _profile(words: int):
             return batch_of(kind=z.astype(np.int8) + np.int8(1), x=signed(u), y=c.astype(np.int64), n=z.astype(np.int32), node=z)
 
         for batch in batches:
-            ids, rows = numpy(batch, "_id"), numpy(batch, "_row")
+            ids, keys = numpy(batch, "_id"), numpy(batch, "_key")
             for b in K.blocks(batch.column("_text")):
                 n, node = np.zeros(b.rows, np.int32), np.zeros(b.rows, np.int64)
                 for i, x in shingle_sets(b, words):
@@ -99,7 +99,7 @@ def _profile(words: int):
                         held.append(x)
                         n_held += len(x)
                 at = slice(b.first_row, b.first_row + b.rows)
-                yield batch_of(kind=np.zeros(b.rows, np.int8), x=ids[at], y=rows[at], n=n, node=node)
+                yield batch_of(kind=np.zeros(b.rows, np.int8), x=ids[at], y=keys[at], n=n, node=node)
                 if n_held >= FLUSH:
                     yield common()
                     held, n_held = [], 0
@@ -291,26 +291,33 @@ def _bloom(rows: DataFrame, col: str) -> np.ndarray:
 
 
 def _in_bloom(bloom):
+    """Texts whose key may be in the filter, each key once for a task (as far as it remembers)."""
+
     def run(batches):
-        words = bloom.value
+        words, seen = bloom.value, set()
         for batch in batches:
             hit = np.ones(batch.num_rows, bool)
             for k in range(3):
                 bit = numpy(batch, f"_b{k}")
                 hit &= (words[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
-            yield batch.filter(pa.array(hit)).select(["_row", "_text"])
+            for i, key in zip(np.flatnonzero(hit), numpy(batch, "_key")[hit].tolist(), strict=True):
+                hit[i] = key not in seen
+                seen.add(key)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield batch.filter(pa.array(hit)).select(["_id", "_key", "_text"])
 
     return run
 
 
 def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, node, row_tag) of each row. ``component_id`` is the smallest id that links reach."""
+    """(id, n_shingles, component_id, node, key) of each row. ``component_id`` is the smallest id that links reach; ``key`` is a hash of id and text."""
     spark = documents.sparkSession
-    docs = id_and_text(documents, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
+    docs = id_and_text(documents, id_col, text_col).withColumn("_key", F.xxhash64("_id", "_text"))
     full = docs.filter("_text is not null")
     profile = materialize(docs.mapInArrow(_profile(words), PROFILE))
-    rows = profile.filter("kind = 0").select(F.col("x").alias("_id"), F.col("y").alias("_row"), "n", "node")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_row")).alias("first"))
+    rows = profile.filter("kind = 0").select(F.col("x").alias("_id"), F.col("y").alias("_key"), "n", "node")
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_key")).alias("first"))
 
     sizes = {r[0]: r[1] for r in rows.filter(f"n between 1 and {2 * MAX_BOUNDARY}").groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, percent)
@@ -347,14 +354,14 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     # rows of one node are dealt by node and a salt, as a node can have a third of all rows
     salts = 16
     salted = verdict.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = rows.withColumn("_salt", F.pmod("_row", F.lit(salts)).cast("int")).join(salted, ["node", "_salt"], "left")
+    out = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, ["node", "_salt"], "left")
     alone = F.col("n") == 0
     return out.select(
         public_id().alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
         F.when(alone, public_id()).otherwise(public_id("component")).alias("component_id"),
         F.when(~alone, F.col("node")).alias("node"),
-        F.col("_row").alias("row_tag"),
+        F.col("_key").alias("key"),
     )
 
 
@@ -362,11 +369,11 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, per
     """The pairs of nodes that link, by their texts. Texts that no pair needs are left out before anything is shuffled."""
     pairs = materialize(pairs)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = materialize(nodes.join(ends, "node").select("node", F.col("first._row").alias("_row")))
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(need, "_row"))
-    bits = [F.pmod(F.xxhash64(F.col("_row"), F.lit(k)), F.lit(1 << BLOOM_BITS)).alias(f"_b{k}") for k in range(3)]
-    texts = docs.filter("_text is not null").select("_row", "_text", *bits).mapInArrow(_in_bloom(bloom), "_row long, _text string")
-    texts = materialize(texts.join(need, "_row").select("node", "_text"))
+    need = materialize(nodes.join(ends, "node").select("node", F.col("first._id").alias("_id"), F.col("first._key").alias("_key")))
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(need, "_key"))
+    bits = [F.pmod(F.xxhash64(F.col("_key"), F.lit(k)), F.lit(1 << BLOOM_BITS)).alias(f"_b{k}") for k in range(3)]
+    texts = docs.filter("_text is not null").select("_id", "_key", "_text", *bits).mapInArrow(_in_bloom(bloom), "_id long, _key long, _text string")
+    texts = materialize(texts.join(need, ["_key", "_id"]).select("node", "_text").dropDuplicates(["node"]))
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long")

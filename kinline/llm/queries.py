@@ -42,7 +42,7 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("row_tag")
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("key")
 
 
 ORACLES["op2_exact_dedup"] = r"""
