@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinline.llm import language_id, toxicity
+from kinline.llm import language_id, quality, toxicity
 from kinline.llm.common import table
+from kinline.llm.decontamination import find_matches
 from kinline.llm.exact_dedup import exact_dedup
 from kinline.llm.ngram_jaccard import jaccard_classes
 from kinline.llm.packing import pack, with_digest
@@ -99,4 +100,44 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_ngram_jaccard, op4_toxicity, op5_packing, op7_language_id)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents and the items they hold; clean documents have no row."""
+    out = find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumn("similarity", F.round("similarity", 9))
+
+
+ORACLES["op9_decontamination"] = r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), t AS (
+  SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM w
+), items AS (
+  SELECT id AS item_id, len(ws) AS m, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) AS sh FROM t WHERE kind = 'b' AND len(ws) >= 5
+), docs AS (
+  SELECT id AS doc_id, len(ws) AS n, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) AS sh FROM t WHERE kind = 'd' AND len(ws) >= 5
+), hit AS (
+  SELECT DISTINCT d.doc_id, i.item_id, d.p FROM (SELECT doc_id, unnest(sh) AS s, unnest(range(1, len(sh) + 1)) AS p FROM docs) d
+  JOIN (SELECT DISTINCT item_id, unnest(sh) AS s FROM items) i ON d.s = i.s
+), starts AS (
+  SELECT DISTINCT h.doc_id, h.item_id, unnest(range(greatest(1, p - least(m, n) + 5), least(p, n - 4 - (least(m, n) - 4) + 1) + 1)) AS st
+  FROM hit h JOIN items USING (item_id) JOIN docs USING (doc_id)
+), win AS (
+  SELECT doc_id, item_id, st, least(m, n) - 4 AS k, len(i.sh) AS ni, d.sh[st:st + least(m, n) - 5] AS ds, i.sh AS ish
+  FROM starts JOIN items i USING (item_id) JOIN docs d USING (doc_id)
+), sims AS (
+  SELECT doc_id, item_id, st, k, ni, list_sum(list_transform(list_distinct(ish), lambda x: least(len(list_filter(ish, lambda y: y = x)), len(list_filter(ds, lambda z: z = x))))) AS n_both FROM win
+), good AS (
+  SELECT doc_id, item_id, st, k, n_both / (k + ni - n_both) AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_both / (k + ni - n_both) DESC, st) AS rn FROM sims
+)
+SELECT doc_id, item_id, round(CAST(similarity AS DOUBLE), 9) AS similarity, CAST(st - 1 AS BIGINT) AS first_word, CAST(k + 4 AS BIGINT) AS n_words FROM good WHERE rn = 1 AND similarity >= 0.8
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = language_id.fold("doc_id", 5) == 0
+    out = quality.score(documents, quality.train(documents, labels.filter(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_ngram_jaccard, op4_toxicity, op5_packing, op7_language_id, op9_decontamination, op10_quality)}
