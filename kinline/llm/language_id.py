@@ -155,3 +155,18 @@ def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     shared = documents.sparkSession.sparkContext.broadcast(model)
     out = id_and_text(documents, id_col, text_col).mapInArrow(_score(shared), "_id long, lang_pred string, score double")
     return out.select(public_id().alias(id_col), "lang_pred", "score")
+
+
+def accepted(documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows whose language is known, with all their columns and without a shuffle."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def known(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], ["_id", "_text"])
+        out = [b.column("lang_pred") for b in _score(shared)([batch])]
+        return pa.array([x != UNKNOWN for part in out for x in part.to_pylist()], pa.bool_())
+
+    def call(x: pa.Array) -> pa.Array:
+        return known(x)
+
+    return documents.filter(F.arrow_udf(call, "boolean")(F.col(text_col).cast("string")))

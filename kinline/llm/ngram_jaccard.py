@@ -311,7 +311,8 @@ def _in_bloom(bloom):
 
 
 def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, node, key) of each row. ``component_id`` is the smallest id that links reach; ``key`` is a hash of id and text."""
+    """(id, n_shingles, component_id, class_node, key) of each row. ``component_id`` is the smallest id that links reach; ``class_node``
+    names the class (null without shingles), ``key`` is a hash of id and text."""
     spark = documents.sparkSession
     docs = id_and_text(documents, id_col, text_col).withColumn("_key", F.xxhash64("_id", "_text"))
     full = docs.filter("_text is not null")
@@ -350,7 +351,7 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     own = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.col("first._id").alias("least"))
     class_id = own.groupBy("comp").agg(F.min("least").alias("component"))
-    verdict = own.join(class_id, "comp").select("node", "component")
+    verdict = own.join(class_id, "comp").select("node", "component", "comp")
     # rows of one node are dealt by node and a salt, as a node can have a third of all rows
     salts = 16
     salted = verdict.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -360,7 +361,7 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
         public_id().alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
         F.when(alone, public_id()).otherwise(public_id("component")).alias("component_id"),
-        F.when(~alone, F.col("node")).alias("node"),
+        F.when(~alone, F.col("comp")).alias("class_node"),
         F.col("_key").alias("key"),
     )
 

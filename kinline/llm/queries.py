@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kinline.llm import language_id, quality, toxicity
+from kinline.llm.chat import format_chats
 from kinline.llm.common import table
 from kinline.llm.decontamination import find_matches
 from kinline.llm.exact_dedup import exact_dedup
 from kinline.llm.ngram_jaccard import jaccard_classes
 from kinline.llm.packing import pack, with_digest
 from kinline.llm.substring_dedup import substring_dedup
+from kinline.llm.warc import BLANKS, BLOCK_TAG, ENTITIES, HEADERS, LINES, TAG, TITLE, UNSEEN, derivatives
 
 ORACLES: dict[str, str] = {}
 
@@ -93,6 +96,68 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(pack(table(spark, sf_dir, "documents")))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op6_chat_formatting"] = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), k AS (SELECT conv_id, turn, string_agg(coalesce('.' || role, '') || chr(1) || coalesce('.' || text, ''), chr(2) ORDER BY role, text) AS x FROM t GROUP BY conv_id, turn
+), p AS (SELECT conv_id, turn, string_agg(coalesce(CAST(turn AS VARCHAR), '') || chr(3) || x, chr(4)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST ROWS UNBOUNDED PRECEDING) AS pre,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST) AS back FROM k
+), whole AS (SELECT conv_id, pre FROM p WHERE back = 1
+), own AS (SELECT pre, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole GROUP BY pre
+), kept AS (SELECT conv_id, n_copies FROM own WHERE pre NOT IN (SELECT pre FROM p WHERE back > 1)
+)
+SELECT t.conv_id, CAST(floor(coalesce(turn, -1) / 256.0) AS BIGINT) AS segment, any_value(n.n) AS n_turns, any_value(n_copies) AS n_copies,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY coalesce(turn, -1), coalesce(role, ''), coalesce(text, '')) AS rendered
+FROM t JOIN kept USING (conv_id) JOIN (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id) n USING (conv_id)
+GROUP BY t.conv_id, segment
+"""
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(table(spark, sf_dir, "pages"))
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _sql_resolved(x: str) -> str:
+    for name, sign in ENTITIES:
+        x = f"replace({x}, {_sql_text(name)}, {_sql_text(sign)})"
+    return x
+
+
+def _sql_urn(kind: str) -> str:
+    h = f"md5(concat_ws(chr(10), {kind}, coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''), digest))"
+    return "'urn:uuid:' || " + " || '-' || ".join(f"substring({h}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+
+
+_SQL_TEXT = f"regexp_replace(regexp_replace(payload, {_sql_text(UNSEEN)}, ' ', 'g'), {_sql_text(BLOCK_TAG)}, chr(10), 'g')"
+_SQL_TEXT = f"regexp_replace(regexp_replace({_sql_resolved(f'regexp_replace({_SQL_TEXT}, {_sql_text(TAG)}, {_sql_text("")}, {_sql_text("g")})')}, {_sql_text(BLANKS)}, ' ', 'g'), {_sql_text(LINES)}, chr(10), 'g')"
+ORACLES["op8_warc_derivatives"] = f"""
+WITH a AS (
+  SELECT page_id, url, coalesce(html, '') AS raw, regexp_extract(coalesce(html, ''), {_sql_text(HEADERS)}, 1) AS head FROM pages
+), b AS (
+  SELECT page_id, url, head, CASE WHEN head = '' THEN raw ELSE regexp_replace(raw, {_sql_text(HEADERS)}, '') END AS payload FROM a
+), c AS (
+  SELECT *, 'sha256:' || sha256(payload) AS digest, trim({_SQL_TEXT}, ' ' || chr(10)) AS text,
+    trim(regexp_replace({_sql_resolved(f"regexp_extract(payload, {_sql_text(TITLE)}, 1)")}, '\s+', ' ', 'g')) AS title FROM b
+), d AS (
+  SELECT *, {_sql_urn("'response'")} AS refers_to FROM c
+), e AS (
+  SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+    'title: ' || title || chr(13) || chr(10) || 'source-length: ' || strlen(payload) || chr(13) || chr(10) || 'text-length: ' || strlen(text) || chr(13) || chr(10) || 'source-digest: ' || digest
+    || CASE WHEN head <> '' THEN chr(13) || chr(10) || 'source-headers: ' || regexp_replace(head, '\r?\n', ' | ', 'g') ELSE '' END || chr(13) || chr(10) AS content FROM d
+  UNION ALL SELECT *, 'conversion', 'text/plain; charset=UTF-8', text FROM d
+)
+SELECT page_id, record_type, {_sql_urn("record_type")} AS record_id, refers_to, url AS target_uri, content_type, digest AS payload_digest,
+  'sha256:' || sha256(content) AS block_digest, CAST(strlen(content) AS BIGINT) AS content_length, content FROM e
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = language_id.fold("doc_id", 5) == 0
@@ -140,4 +205,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_ngram_jaccard, op4_toxicity, op5_packing, op7_language_id, op9_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_ngram_jaccard, op4_toxicity, op5_packing, op6_chat_formatting, op7_language_id, op8_warc_derivatives, op9_decontamination, op10_quality)}
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
