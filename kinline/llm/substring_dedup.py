@@ -70,43 +70,59 @@ def cover_for(size: int) -> tuple[int, list[int], int]:
 
 
 class _Asked:
-    """Hashes of a task, settled block by block."""
+    """Hashes of a task, settled block by block. Rows leave in the order of the texts, where neighbours are alike and compress well."""
 
-    def __init__(self, all_members: bool):
-        self.all_members, self.parts, self.n = all_members, [], 0
+    def __init__(self, names: str):
+        self.names, self.parts, self.n = names.split(), [], 0
 
-    def add(self, h, c, doc, key, pos, length) -> None:
-        if len(h):
-            self.parts.append((h, c, doc, key, pos.astype(np.int32), length.astype(np.int32)))
-            self.n += len(h)
+    def add(self, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.parts.append([x.astype(np.int32) if n in ("pos", "length") else x for n, x in zip(self.names, columns, strict=True)])
+            self.n += len(columns[0])
 
-    def settle(self) -> Iterator[pa.RecordBatch]:
-        """One question per hash; ``state`` 0 asks, 1 asks and is known to repeat, 2 is an answer already."""
+    def _taken(self) -> dict[str, np.ndarray]:
+        out = {n: np.concatenate(x) for n, x in zip(self.names, zip(*self.parts, strict=True), strict=True)}
+        self.parts, self.n = [], 0
+        return out
+
+    def _rows(self, x: dict, state: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(state), 100_000):
+            s = slice(i, i + 100_000)
+            yield batch_of(**{n: signed(v[s]) if v.dtype == np.uint64 else v[s] for n, v in x.items()}, state=state[s])
+
+    def members(self) -> Iterator[pa.RecordBatch]:
+        """One question per hash; ``state`` 0 asks, 1 asks and is known to repeat, 2 is known to repeat."""
         if not self.n:
             return
-        h, c, doc, key, pos, length = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.n = [], 0
-        order = np.lexsort((pos, key, doc, c, h))
-        h, c, doc, key, pos, length = (x[order] for x in (h, c, doc, key, pos, length))
+        x = self._taken()
+        order = np.argsort(x["h"], kind="stable")
+        h = x["h"][order]
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        if self.all_members:
-            last = np.ones(len(h), bool)
-            last[:-1] = new[1:]
-            state = np.where(new & last, 0, np.where(new, 1, 2)).astype(np.int8)
-        else:
-            head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            same = (doc == doc[head]) & (key == key[head]) & (pos == pos[head])
-            state = np.where(new, 0, np.where(same, 3, 2)).astype(np.int8)
-            keep = state != 3
-            h, c, doc, key, pos, length, state = (x[keep] for x in (h, c, doc, key, pos, length, state))
-        for i in range(0, len(h), 100_000):
-            s = slice(i, i + 100_000)
-            yield batch_of(h=signed(h[s]), c=c[s], doc=doc[s], key=key[s], pos=pos[s], length=length[s], state=state[s])
+        new[1:] = h[1:] != h[:-1]
+        last = np.append(new[1:], True)
+        state = np.empty(len(h), np.int8)
+        state[order] = np.where(new & last, 0, np.where(new, 1, 2))
+        yield from self._rows(x, state)
+
+    def later(self) -> Iterator[pa.RecordBatch]:
+        """The earliest row of each hash asks (state 0); the others are known to come later (2)."""
+        if not self.n:
+            return
+        x = self._taken()
+        order = np.lexsort((x["pos"], x["key"], x["doc"], x["c"], x["h"]))
+        y = {n: v[order] for n, v in x.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = (y["h"][1:] != y["h"][:-1]) | (y["c"][1:] != y["c"][:-1])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        same = (y["doc"] == y["doc"][head]) & (y["key"] == y["key"][head]) & (y["pos"] == y["pos"][head])
+        state = np.empty(len(order), np.int8)
+        state[order] = np.where(new, 0, np.where(same, 3, 2))
+        keep = state != 3
+        yield from self._rows({n: v[keep] for n, v in x.items()}, state[keep])
 
 
-ASKED = "h long, c int, doc long, key long, pos int, length int, state byte"
-ANSWER = "doc long, key long, pos int, length int"
+ANCHORS, ANCHOR_ANSWER = "h long, key long, pos int, state byte", "key long, pos int"
+WINDOWS, WINDOW_ANSWER = "h long, c int, doc long, key long, pos int, length int, state byte", "doc long, key long, pos int, length int"
 
 
 def _full(x: np.ndarray, n: int) -> np.ndarray:
@@ -122,9 +138,9 @@ def _anchors(size: int):
     at[cover] = True
 
     def run(batches):
-        asked = _Asked(all_members=True)
+        asked = _Asked("h key pos")
         for batch in batches:
-            doc, key = numpy(batch, "_id"), numpy(batch, "_key")
+            key = numpy(batch, "_key")
             for b in K.blocks(batch.column("_text")):
                 w = K.words(b)
                 row = w.row
@@ -132,39 +148,35 @@ def _anchors(size: int):
                 # only what can lie in a window of full size
                 take = at[pos % period] & K.window_mask(w, words) & (w.counts[row] >= size)
                 h = _full(K.sequence_hashes(K.word_hashes(b, w), words), len(row))[take]
-                r = row[take] + b.first_row
-                asked.add(h, np.zeros(len(h), np.int32), doc[r], key[r], pos[take], np.ones(len(h), np.int32))
+                asked.add(h, key[row[take] + b.first_row], pos[take])
                 if asked.n >= FLUSH:
-                    yield from asked.settle()
-        yield from asked.settle()
+                    yield from asked.members()
+        yield from asked.members()
 
     return run
 
 
 def _repeated(batches):
     """Of rows sorted by hash: the place of each row that asked and whose hash occurs elsewhere too."""
-    held: tuple | None = None  # last row, not yet answered
+    held: list | None = None  # the last row, which the next one may be like; state 3: it is known to repeat and not yet said
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, state = numpy(batch, "h"), numpy(batch, "state")
-        doc, key, pos, length = (numpy(batch, x) for x in ("doc", "key", "pos", "length"))
+        h, state, key, pos = (numpy(batch, x) for x in ("h", "state", "key", "pos"))
         if held is not None:
-            h, state, doc, key, pos, length = (np.concatenate(([x], y)) for x, y in zip(held, (h, state, doc, key, pos, length), strict=True))
-        n = len(h)
-        like = np.zeros(n, bool)  # like the row above
+            h, state, key, pos = (np.concatenate((np.array([x], y.dtype), y)) for x, y in zip(held, (h, state, key, pos), strict=True))
+        like = np.zeros(len(h), bool)  # like the row above
         like[1:] = h[1:] == h[:-1]
         twice = like | (state == 3)
         twice[:-1] |= like[1:]
-        out = twice & (state == 0)
+        out = twice & ((state == 0) | (state == 3))
+        held = [h[-1], 3 if out[-1] else state[-1], key[-1], pos[-1]]
         out[-1] = False
-        held = (h[-1], np.int8(3 if state[-1] == 0 and twice[-1] else state[-1]), doc[-1], key[-1], pos[-1], length[-1])
-        out |= (state == 3) & (np.arange(n) < n - 1)
         if out.any():
-            yield batch_of(doc=doc[out].astype(np.int64), key=key[out].astype(np.int64), pos=pos[out].astype(np.int32), length=length[out].astype(np.int32))
+            yield batch_of(key=key[out], pos=pos[out])
     if held is not None and held[1] == 3:
-        yield batch_of(doc=np.array([held[2]], np.int64), key=np.array([held[3]], np.int64), pos=np.array([held[4]], np.int32), length=np.array([held[5]], np.int32))
+        yield batch_of(key=np.array([held[2]], np.int64), pos=np.array([held[3]], np.int32))
 
 
 def _later(batches):
@@ -186,10 +198,11 @@ def _later(batches):
             yield batch_of(doc=doc[out], key=key[out], pos=pos[out], length=length[out])
 
 
-def _ask(asked: DataFrame, judge, order: list[str]) -> DataFrame:
+def _ask(asked: DataFrame, judge, order: list[str], answer: str) -> DataFrame:
     """Answers to the questions of all tasks: places of repeats."""
     open_ = asked.filter("state < 2").repartition("h").sortWithinPartitions(*order)
-    return asked.filter("state >= 1").select("doc", "key", "pos", "length").unionByName(open_.mapInArrow(judge, ANSWER))
+    told = open_.mapInArrow(judge, answer)
+    return asked.filter("state >= 1").select(*told.columns).unionByName(told)
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +249,7 @@ def _windows(size: int, whole_pieces: bool):
     period, _, _ = cover_for(size)
 
     def run(batches):
-        asked = _Asked(all_members=False)
+        asked = _Asked("h c doc key pos length")
         for batch in batches:
             doc, key = numpy(batch, "_id"), numpy(batch, "_key")
             cols = {"anchors": _lists(batch, "anchors")}
@@ -268,8 +281,8 @@ def _windows(size: int, whole_pieces: bool):
                 r = row[start]
                 asked.add(x, check, doc[r + b.first_row], key[r + b.first_row], start - w.first[r], length)
                 if asked.n >= FLUSH:
-                    yield from asked.settle()
-        yield from asked.settle()
+                    yield from asked.later()
+        yield from asked.later()
 
     return run
 
@@ -306,18 +319,25 @@ def _keep(size: int):
     return run
 
 
+def _own(answers: str, **fields: str):
+    """Fields of the answers that concern this very row: other rows could have the same 64-bit key."""
+    own = F.filter(answers, lambda x: x["doc"] == F.col("_id"))
+    get = lambda f: lambda x: x[f]
+    return [F.transform(own, get(f)).alias(name) for name, f in fields.items()]
+
+
 def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
     """(id, n_words, n_removed, kept_text, removed): ``removed`` has word intervals [start, end) of the input text."""
     docs = id_and_text(documents, id_col, text_col).withColumn("_key", F.xxhash64("_id", "_text"))
-    anchors = docs.filter("_text is not null").mapInArrow(_anchors(size), ASKED)
-    repeated = _ask(anchors, _repeated, ["h"]).groupBy(F.col("doc").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("pos").alias("anchors"))
-    found = docs.join(repeated, ["_key", "_id"])
+    anchors = docs.filter("_text is not null").mapInArrow(_anchors(size), ANCHORS)
+    repeated = _ask(anchors, _repeated, ["h"], ANCHOR_ANSWER).groupBy(F.col("key").alias("_key")).agg(F.collect_list("pos").alias("anchors"))
+    found = docs.join(repeated, "_key")
     earlier = ["h", "c", "doc", "key", "pos"]
-    pieces = _ask(found.mapInArrow(_windows(size, whole_pieces=True), ASKED), _later, earlier)
-    pieces = pieces.groupBy(F.col("doc").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("pos", "length")).alias("p"))
-    pieces = pieces.select("_id", "_key", F.col("p.pos").alias("piece_pos"), F.col("p.length").alias("piece_len"))
-    rest = found.join(pieces, ["_key", "_id"], "left")
-    single = _ask(rest.mapInArrow(_windows(size, whole_pieces=False), ASKED), _later, earlier)
-    single = single.groupBy(F.col("doc").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("pos").alias("window_pos"))
-    out = docs.join(pieces, ["_key", "_id"], "left").join(single, ["_key", "_id"], "left").mapInArrow(_keep(size), RESULT)
+    pieces = _ask(found.mapInArrow(_windows(size, whole_pieces=True), WINDOWS), _later, earlier, WINDOW_ANSWER)
+    pieces = pieces.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("doc", "pos", "length")).alias("_pieces"))
+    rest = found.join(pieces, "_key", "left").select("_id", "_key", "_text", "anchors", *_own("_pieces", piece_pos="pos", piece_len="length"))
+    single = _ask(rest.mapInArrow(_windows(size, whole_pieces=False), WINDOWS), _later, earlier, WINDOW_ANSWER)
+    single = single.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("doc", "pos", "length")).alias("_windows"))
+    out = docs.join(pieces, "_key", "left").join(single, "_key", "left")
+    out = out.select("_id", "_text", *_own("_pieces", piece_pos="pos", piece_len="length"), *_own("_windows", window_pos="pos")).mapInArrow(_keep(size), RESULT)
     return out.select(public_id().alias(id_col), "n_words", "n_removed", "kept_text", "removed")
