@@ -17,6 +17,8 @@ like any other; other columns of the input are ignored; an empty table gives no
 from __future__ import annotations
 
 import os
+import zlib
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -30,7 +32,7 @@ from kinline.llm.common import batch_of, id_and_text, public_id
 
 CAPACITY = 4096
 END_ID = 2
-MEMO_WORDS = 400_000  # words whose ids a task remembers; a longer memory is dropped and begun anew
+MEMO_WORDS = 700_000  # words whose ids a task remembers; a longer memory is dropped and begun anew
 MEMO_CHARS = 64  # longer words aren't remembered
 
 PIECES = "_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -43,31 +45,65 @@ def word_bpe_path() -> str:
 
 
 class WordIds:
-    """Little-endian 32-bit ids of texts, by way of their words."""
+    """Little-endian 32-bit ids of texts, by way of their words.
+
+    The tokenizer lower-cases, so texts are lower-cased in ASCII first (but for those that may hold a special
+    token), and signs after a word's last ASCII letter are always pieces of their own, so a word that is met for
+    the first time needs the tokenizer only if its part without them is new as well.
+    """
+
+    TAIL = b",.!?;:#$%&*|)"
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_str(tokenizer_json), {}
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(self.TAIL)
+        return (core, word[len(core) :]) if core[-1:].isalpha() else (word, b"")
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        memo = self.memo
-        split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in memo}
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = {w for words in split for w in words}
-        keep = [w for w in new if len(w) <= MEMO_CHARS]
-        memo.update(zip(keep, self._encode([w.decode() for w in keep]), strict=True))
-        rare = [w for w in new if len(w) > MEMO_CHARS]
-        extra = dict(zip(rare, self._encode([w.decode() for w in rare]), strict=True)) if rare else {}
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set().union(*split).difference(self.words)
+        if len(self.words) + len(new) > MEMO_WORDS:
+            self.words.clear()
+            new = set().union(*split)
+        if len(self.cores) > MEMO_WORDS:
+            self.cores.clear()
+        parts = {w: self._parts(w) for w in new}
+        fresh = {x for pair in parts.values() for x in pair if x}.difference(self.cores)
+        long = {x for x in fresh if len(x) > MEMO_CHARS}
+        fresh = [*(fresh - long)]
+        self.cores.update(zip(fresh, self._encode(fresh), strict=True))
+        extra = dict(zip(long, self._encode([*long]), strict=True)) if long else {}
+        cores = self.cores
+        cores[b""] = b""
         if not extra:
-            return [b"".join(map(memo.__getitem__, words)) for words in split]
-        return [b"".join([memo.get(w) if len(w) <= MEMO_CHARS else extra[w] for w in words]) for words in split]
+            self.words.update((w, cores[x] + cores[y]) for w, (x, y) in parts.items())
+            return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        get = lambda x: cores[x] if x in cores else extra[x]
+        once = {w: get(x) + get(y) for w, (x, y) in parts.items()}
+        self.words.update((w, ids) for w, ids in once.items() if len(w) <= MEMO_CHARS)
+        return [b"".join([self.words[w] if w in self.words else once[w] for w in words]) for words in split]
+
+
+_KEPT: dict[int, WordIds] = {}
+
+
+def word_ids(tokenizer_json: str) -> WordIds:
+    """The memory of this Python worker, which later tasks find again."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = WordIds(tokenizer_json)
+    return _KEPT[key]
 
 
 def _cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -130,7 +166,7 @@ def _pack(tokenizer_json, capacity: int, end_id: int):
         return batch_of(_id=long(doc), start=long(start), length=long(length), ids=pa.array(ids, pa.binary()), doc_tokens=long(total), sequence_id=long(sequence), offset=long(offset))
 
     def run(batches):
-        words = WordIds(tokenizer_json.value)
+        words = word_ids(tokenizer_json.value)
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << 33)
         placed: list[tuple] = []
         for batch in batches:
