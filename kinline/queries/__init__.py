@@ -1,10 +1,6 @@
 """Named queries over the driver's tables, with the SQL that each is held against."""
 
-from __future__ import annotations
+from kinline.queries import blocking
+from kinline.queries.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "blocking"]
