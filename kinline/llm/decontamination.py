@@ -137,7 +137,9 @@ class Items:
             row = np.searchsorted(w.first, place, "right") - 1
             order = np.lexsort((place, size, row))
             place, size, row = place[order], size[order], row[order]
-            edge = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (size[1:] != size[:-1])))) if len(row) else []
+            if not len(row):
+                continue
+            edge = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (size[1:] != size[:-1]))))
             for i, j in zip(edge, [*edge[1:], len(row)], strict=True):
                 r, m = int(row[i]), int(size[i])
                 yield from self._row(s, k, r, m, place[i:j], int(w.first[r]), int(w.first[r + 1]), least)

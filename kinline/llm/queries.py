@@ -144,13 +144,13 @@ WITH a AS (
   SELECT page_id, url, head, CASE WHEN head = '' THEN raw ELSE regexp_replace(raw, {_sql_text(HEADERS)}, '') END AS payload FROM a
 ), c AS (
   SELECT *, 'sha256:' || sha256(payload) AS digest, trim({_SQL_TEXT}, ' ' || chr(10)) AS text,
-    trim(regexp_replace({_sql_resolved(f"regexp_extract(payload, {_sql_text(TITLE)}, 1)")}, '\s+', ' ', 'g')) AS title FROM b
+    trim(regexp_replace({_sql_resolved(f"regexp_extract(payload, {_sql_text(TITLE)}, 1)")}, '\\s+', ' ', 'g')) AS title FROM b
 ), d AS (
   SELECT *, {_sql_urn("'response'")} AS refers_to FROM c
 ), e AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
     'title: ' || title || chr(13) || chr(10) || 'source-length: ' || strlen(payload) || chr(13) || chr(10) || 'text-length: ' || strlen(text) || chr(13) || chr(10) || 'source-digest: ' || digest
-    || CASE WHEN head <> '' THEN chr(13) || chr(10) || 'source-headers: ' || regexp_replace(head, '\r?\n', ' | ', 'g') ELSE '' END || chr(13) || chr(10) AS content FROM d
+    || CASE WHEN head <> '' THEN chr(13) || chr(10) || 'source-headers: ' || regexp_replace(head, '\\r?\\n', ' | ', 'g') ELSE '' END || chr(13) || chr(10) AS content FROM d
   UNION ALL SELECT *, 'conversion', 'text/plain; charset=UTF-8', text FROM d
 )
 SELECT page_id, record_type, {_sql_urn("record_type")} AS record_id, refers_to, url AS target_uri, content_type, digest AS payload_digest,
