@@ -7,14 +7,17 @@ Two sets link when 100 * |A and B| >= 80 * |A or B| (the percentage is a paramet
   a subset S, whatever links by way of S also links with the smallest of them, so that one's star is enough:
   no pairs, and no verification.
 * *Large sets* scan inverted lists. In one global order of shingles, rare before common, two linked sets
-  share one of their first n - ceil(0.8 n) + 1. A list's members are compared with its smallest member
-  first (a star); only members that are then still in different classes are compared with each other.
+  share one of their first n - ceil(0.8 n) + 1. Each set is first compared with one pivot, the
+  smallest member of most of its lists; then, while that merges any, one member of each class with the first
+  of each list that has several classes; only members still in different classes after that are compared with
+  each other.
 * The *boundary* is the size with the least estimated cost, from a histogram of set sizes.
 
 Equal sets count as one node from the start, known by a 64-bit hash of the set (among 10**9 different sets
 the odds of any two sharing one are 3 %). Tasks settle their own lists first and send one row for each list,
 so a shingle in a third of all documents sends one row for each task. The list of common shingles is a
-bounded sketch that only orders shingles; any order gives the same links.
+bounded sketch that only orders shingles; any order gives the same links. Before texts are compared, parity
+sketches of about one bit for each shingle rule out pairs that are too far apart; they never rule out a link.
 
 Defined results: a null or empty text has no shingles, is a class of its own and linked with nothing; texts
 of fewer than ``words`` words have one shingle; a null id counts as the smallest and shows as null; rows may
@@ -70,7 +73,25 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-PROFILE = "kind byte, x long, y long, n int, node long"
+def sketch(x: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of about as many buckets; see ``sketch_distance``."""
+    size = 1 << max(6, (len(x) - 1).bit_length())
+    odd = np.bincount((x & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Buckets of different parity: never more than the shingles that only one of the sets has."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), 8 * len(a)
+    while size > 8 * len(b):
+        size >>= 1
+        x = (x & ((1 << size) - 1)) ^ (x >> size)
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+PROFILE = "kind byte, x long, y long, n int, node long, sketch binary"
 
 
 def _profile(words: int):
@@ -84,14 +105,14 @@ def _profile(words: int):
             u, c = np.unique(np.concatenate(held), return_counts=True)
             u, c = u[c >= 3], c[c >= 3]
             z = np.zeros(len(u), np.int64)
-            return batch_of(kind=z.astype(np.int8) + np.int8(1), x=signed(u), y=c.astype(np.int64), n=z.astype(np.int32), node=z)
+            return batch_of(kind=z.astype(np.int8) + np.int8(1), x=signed(u), y=c.astype(np.int64), n=z.astype(np.int32), node=z, sketch=pa.nulls(len(u), pa.binary()))
 
         for batch in batches:
             ids, keys = numpy(batch, "_id"), numpy(batch, "_key")
             for b in K.blocks(batch.column("_text")):
-                n, node = np.zeros(b.rows, np.int32), np.zeros(b.rows, np.int64)
+                n, node, sketches = np.zeros(b.rows, np.int32), np.zeros(b.rows, np.int64), [None] * b.rows
                 for i, x in shingle_sets(b, words):
-                    n[i], node[i] = len(x), set_hash(x)
+                    n[i], node[i], sketches[i] = len(x), set_hash(x), sketch(x)
                     if int(node[i]) not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
@@ -99,7 +120,7 @@ def _profile(words: int):
                         held.append(x)
                         n_held += len(x)
                 at = slice(b.first_row, b.first_row + b.rows)
-                yield batch_of(kind=np.zeros(b.rows, np.int8), x=ids[at], y=keys[at], n=n, node=node)
+                yield batch_of(kind=np.zeros(b.rows, np.int8), x=ids[at], y=keys[at], n=n, node=node, sketch=pa.array(sketches, pa.binary()))
                 if n_held >= FLUSH:
                     yield common()
                     held, n_held = [], 0
@@ -266,6 +287,18 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _near(percent: int):
+    """Of pairs with both sketches: those that may link; none that links is lost."""
+
+    def run(batches):
+        for batch in batches:
+            n = (numpy(batch, "n_a").astype(np.int64) + numpy(batch, "n_b")) * (100 - percent)
+            apart = [sketch_distance(a, b) for a, b in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), strict=True)]
+            yield batch.filter(pa.array((100 + percent) * np.array(apart, np.int64) <= n)).select(["a", "b"])
+
+    return run
+
+
 def subset_rows(n: int, percent: int) -> int:
     return sum(comb(n, k) for k in range(least_overlap(n, percent), n + 1))
 
@@ -318,7 +351,8 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     full = docs.filter("_text is not null")
     profile = materialize(docs.mapInArrow(_profile(words), PROFILE))
     rows = profile.filter("kind = 0").select(F.col("x").alias("_id"), F.col("y").alias("_key"), "n", "node")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("_id", "_key")).alias("first"))
+    nodes = profile.filter("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct(F.col("x").alias("_id"), F.col("y").alias("_key"))).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes)
 
     sizes = {r[0]: r[1] for r in rows.filter(f"n between 1 and {2 * MAX_BOUNDARY}").groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, percent)
@@ -332,20 +366,44 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     asked = full.mapInArrow(_lists(words, percent, boundary, common), LISTS)
     met = asked.filter("kind < 2").select("kind", "h", "node", "n").repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_meet, MEMBERS)
     members = materialize(asked.filter("kind > 0").select("h", "node", "n", "pivot").unionByName(met))
-    stars = members.filter("pivot != node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    stars = members.filter("pivot != node").groupBy("node", "pivot").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("best"))
+    stars = stars.select(F.least("best.pivot", "node").alias("a"), F.greatest("best.pivot", "node").alias("b")).distinct()
 
-    links = materialize(_linked(docs, nodes, stars, words, percent).unionByName(exact))
+    tried = materialize(stars)
+    links = materialize(_linked(docs, nodes, tried, words, percent).unionByName(exact))
     labels = connected_components(links)
 
+    # lists whose members are in several classes still
     placed = members.select("h", "node", "n").join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
-    apart = materialize(placed.join(mixed, "h").distinct())
-    one, two = apart.alias("one"), apart.alias("two")
-    pairs = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.comp") < F.col("two.comp")) & (percent * F.col("one.n") <= 100 * F.col("two.n")) & (percent * F.col("two.n") <= 100 * F.col("one.n")))
-    pairs = pairs.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = materialize(pairs)
-    if pairs.limit(1).count():
-        more = materialize(_linked(docs, nodes, pairs, words, percent))
+    apart = materialize(placed.join(mixed, "h").select("h", "node", "n").distinct())
+    fits = lambda x, y: (percent * x <= 100 * y) & (percent * y <= 100 * x)
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    while True:
+        # one member of each class against the list's first: merges what belongs together with few comparisons
+        placed = apart.join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        heads = placed.groupBy("h", "comp").agg(F.min(F.struct("n", "node")).alias("x"))
+        firsts = heads.groupBy("h").agg(F.min(F.struct("x.n", "x.node", "comp")).alias("f"))
+        meet = heads.join(firsts, "h").filter((F.col("comp") != F.col("f.comp")) & fits(F.col("x.n"), F.col("f.n")))
+        some = meet.select(*pair("comp", "f.comp"), F.struct(*[c.alias(n) for c, n in zip(pair("x.node", "f.node"), "pq", strict=True)]).alias("m"))
+        some = some.groupBy("a", "b").agg(F.min("m").alias("m")).select(F.col("m.p").alias("a"), F.col("m.q").alias("b")).distinct()
+        some = materialize(some.join(tried, ["a", "b"], "left_anti"))
+        if not some.limit(1).count():
+            break
+        tried = materialize(tried.unionByName(some))
+        more = materialize(_linked(docs, nodes, some, words, percent))
+        if not more.limit(1).count():
+            break
+        links = materialize(links.unionByName(more))
+        labels = connected_components(links)
+
+    # whatever is left in different classes is compared exactly, list by list
+    placed = apart.join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    one, two = placed.alias("one"), placed.alias("two")
+    rest = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.comp") < F.col("two.comp")) & fits(F.col("one.n"), F.col("two.n")))
+    rest = materialize(rest.select(*pair("one.node", "two.node")).distinct().join(tried, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        more = materialize(_linked(docs, nodes, rest, words, percent))
         if more.limit(1).count():
             labels = connected_components(links.unionByName(more))
 
@@ -367,8 +425,11 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of nodes that link, by their texts. Texts that no pair needs are left out before anything is shuffled."""
-    pairs = materialize(pairs)
+    """The pairs of nodes that link: first by sketches, which lose none, then exactly by the texts that are still
+    needed; the others are left out before anything is shuffled."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(percent), "a long, b long")
+    pairs = materialize(near)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     need = materialize(nodes.join(ends, "node").select("node", F.col("first._id").alias("_id"), F.col("first._key").alias("_key")))
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(need, "_key"))
