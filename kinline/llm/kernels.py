@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21  # texts are worked on in blocks of about so many bytes; a longer text is a block
+CHUNK_BYTES = 1 << 20  # texts are worked on in blocks of about so many bytes; a longer text is a block
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False

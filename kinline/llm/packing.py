@@ -32,7 +32,7 @@ from kinline.llm.common import batch_of, id_and_text, public_id
 
 CAPACITY = 4096
 END_ID = 2
-MEMO_WORDS = 700_000  # words whose ids a task remembers; a longer memory is dropped and begun anew
+MEMO_WORDS = 250_000  # words whose ids a task remembers; a longer memory is dropped and begun anew
 MEMO_CHARS = 64  # longer words aren't remembered
 
 PIECES = "_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
