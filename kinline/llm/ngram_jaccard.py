@@ -91,7 +91,16 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
-PROFILE = "kind byte, x long, y long, n int, node long, sketch binary"
+LONGS = 16  # of a sketch of fixed size, for comparisons within a join
+
+
+def fixed_sketch(x: np.ndarray) -> np.ndarray:
+    """Parities of 64 * LONGS buckets, as longs."""
+    odd = np.bincount((x & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+PROFILE = "kind byte, x long, y long, n int, node long, sketch binary, fixed array<long>"
 
 
 def _profile(words: int):
@@ -105,14 +114,16 @@ def _profile(words: int):
             u, c = np.unique(np.concatenate(held), return_counts=True)
             u, c = u[c >= 3], c[c >= 3]
             z = np.zeros(len(u), np.int64)
-            return batch_of(kind=z.astype(np.int8) + np.int8(1), x=signed(u), y=c.astype(np.int64), n=z.astype(np.int32), node=z, sketch=pa.nulls(len(u), pa.binary()))
+            return batch_of(kind=z.astype(np.int8) + np.int8(1), x=signed(u), y=c.astype(np.int64), n=z.astype(np.int32), node=z, sketch=pa.nulls(len(u), pa.binary()), fixed=pa.nulls(len(u), pa.list_(pa.int64())))
 
         for batch in batches:
             ids, keys = numpy(batch, "_id"), numpy(batch, "_key")
             for b in K.blocks(batch.column("_text")):
                 n, node, sketches = np.zeros(b.rows, np.int32), np.zeros(b.rows, np.int64), [None] * b.rows
+                fixed = [None] * b.rows
                 for i, x in shingle_sets(b, words):
                     n[i], node[i], sketches[i] = len(x), set_hash(x), sketch(x)
+                    fixed[i] = fixed_sketch(x)
                     if int(node[i]) not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
@@ -120,7 +131,7 @@ def _profile(words: int):
                         held.append(x)
                         n_held += len(x)
                 at = slice(b.first_row, b.first_row + b.rows)
-                yield batch_of(kind=np.zeros(b.rows, np.int8), x=ids[at], y=keys[at], n=n, node=node, sketch=pa.array(sketches, pa.binary()))
+                yield batch_of(kind=np.zeros(b.rows, np.int8), x=ids[at], y=keys[at], n=n, node=node, sketch=pa.array(sketches, pa.binary()), fixed=pa.array(fixed, pa.list_(pa.int64())))
                 if n_held >= FLUSH:
                     yield common()
                     held, n_held = [], 0
@@ -351,7 +362,7 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     full = docs.filter("_text is not null")
     profile = materialize(docs.mapInArrow(_profile(words), PROFILE))
     rows = profile.filter("kind = 0").select(F.col("x").alias("_id"), F.col("y").alias("_key"), "n", "node")
-    nodes = profile.filter("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct(F.col("x").alias("_id"), F.col("y").alias("_key"))).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = profile.filter("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct(F.col("x").alias("_id"), F.col("y").alias("_key"))).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fixed").alias("fixed"))
     nodes = materialize(nodes)
 
     sizes = {r[0]: r[1] for r in rows.filter(f"n between 1 and {2 * MAX_BOUNDARY}").groupBy("n").count().collect()}
@@ -397,10 +408,15 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
         links = materialize(links.unionByName(more))
         labels = connected_components(links)
 
-    # whatever is left in different classes is compared exactly, list by list
+    # whatever is left in different classes is compared exactly, list by list; of a list whose members are in one
+    # class nothing is, and the join itself leaves out sets that their fixed sketches show to be too far apart
     placed = apart.join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
+    placed = placed.join(mixed, "h").join(nodes.select("node", "fixed"), "node")
+    apart_by = F.aggregate(F.zip_with("one.fixed", "two.fixed", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    may_link = (100 + percent) * apart_by <= (100 - percent) * (F.col("one.n") + F.col("two.n"))
     one, two = placed.alias("one"), placed.alias("two")
-    rest = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.comp") < F.col("two.comp")) & fits(F.col("one.n"), F.col("two.n")))
+    rest = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.comp") < F.col("two.comp")) & fits(F.col("one.n"), F.col("two.n")) & may_link)
     rest = materialize(rest.select(*pair("one.node", "two.node")).distinct().join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         more = materialize(_linked(docs, nodes, rest, words, percent))
