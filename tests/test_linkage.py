@@ -67,6 +67,13 @@ def test_prune_and_lists(spark):
     assert violations(kept, m).count() == 0
 
 
+def test_prune_by_source(spark):
+    """The margin and the limit hold for each target source: S3 stays beside a better S2, and four of either."""
+    m = [("a", "S2-1", 0.9), ("a", "S3-1", 0.6), ("a", "S3-2", 0.5), ("a", "S3-3", 0.4)] + [("b", f"S{s}-{i}", 0.9) for s in (2, 3) for i in range(6)]
+    kept = prune(pairs(spark, m, ", probability double"), 0.15, 4)
+    assert sorted((r[0], r[1], r["rank"]) for r in kept.collect()) == [("a", "S2-1", 1), ("a", "S3-1", 1), ("a", "S3-2", 2)] + [("b", f"S{s}-{i}", i + 1) for s in (2, 3) for i in range(4)]
+
+
 def test_files(spark, tmp_path):
     src = tmp_path / "s.tsv"
     src.write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\textra\nS1-1\tNA\t\tIN\tq\n")
