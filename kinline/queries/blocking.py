@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinline.operators.combine import combine, mask_names
-from kinline.operators.keyed_pass import Pass, keyed_pass
+from kinline.operators.keyed_pass import CAND, S1, Pass, keyed_pass
 from kinline.operators.rules import address_tokens_v1
 from kinline.operators.similarity import char_grams, tfidf_join, word_terms
 from kinline.plans import passes as P
@@ -96,10 +99,27 @@ _tfidf("b4_12_word_tfidf", 0.50, 15, by_word=True, max_df=0.1)
 _tfidf("s_02_top_k_cosine", 0.60, 3)
 
 
-def _union(name: str, specs: list[Pass], bits: dict[str, int], keys: dict) -> None:
+def _grams(left: DataFrame, right: DataFrame, min_sim: float, k: int, partitioned: bool = False) -> DataFrame:
+    a, b = (x.filter(F.col("name_clean_legal") != "") for x in (left, right))
+    return tfidf_join(a, b, char_grams("name_clean_legal"), min_sim, k, F.substring("name_clean_legal", 1, 1) if partitioned else None)
+
+
+# Passes of the unions that aren't keyed ones; the third generation's takes 20 where it is combined.
+V1_MORE = {"address_token": address_tokens_v1, "char_ngram_0.70": partial(_grams, min_sim=0.70, k=10), "char_ngram_0.50": partial(_grams, min_sim=0.50, k=10)}
+V2_MORE = {"partitioned_tfidf": partial(_grams, min_sim=0.50, k=15, partitioned=True)}
+V3_MORE = {"partitioned_tfidf": partial(_grams, min_sim=0.45, k=20, partitioned=True)}
+
+
+def found(ents: DataFrame, specs: list[Pass], bits: dict[str, int], more: dict[str, Callable]) -> list[tuple[DataFrame, int]]:
+    """(pairs, bit) of every pass, rising; each target source has guards and caps of its own."""
+    one, *targets = split_sources(ents)
+    runs = {p.name: partial(keyed_pass, p=p) for p in specs} | more
+    return [(reduce(DataFrame.unionByName, [runs[n](one, t).select(S1, CAND) for t in targets]), b) for n, b in sorted(bits.items(), key=lambda x: x[1])]
+
+
+def _union(name: str, specs: list[Pass], bits: dict[str, int], keys: dict, more: dict[str, Callable]) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        a, b = _sides(spark, sf_dir)
-        out = combine([(keyed_pass(a, b, p), bits[p.name]) for p in specs])
+        out = combine(found(entities(spark, sf_dir), specs, bits, more))
         return out.withColumn("blocking_passes", mask_names(F.col("pass_mask"), bits)).withColumn("num_passes", F.bit_count("pass_mask").cast("int"))
 
     QUERIES[name] = query
@@ -110,6 +130,6 @@ def _union(name: str, specs: list[Pass], bits: dict[str, int], keys: dict) -> No
 SELECT s1 AS s1_entity_id, c AS candidate_entity_id, pass_mask, concat_ws('|', {names}) AS blocking_passes, CAST(bit_count(pass_mask) AS INTEGER) AS num_passes FROM m"""
 
 
-_union("b1_u_combined", P.v1(), P.V1_BITS, sql.v1_keys())
-_union("b2_u_combined", P.v2(), P.V2_BITS, sql.v2_keys())
-_union("b3_u_combined", P.v3(), P.V3_BITS, sql.v3_keys())
+_union("b1_u_combined", P.v1(), P.V1_BITS, sql.v1_keys(), V1_MORE)
+_union("b2_u_combined", P.v2(), P.V2_BITS, sql.v2_keys(), V2_MORE)
+_union("b3_u_combined", P.v3(), P.V3_BITS, sql.v3_keys(), V3_MORE)

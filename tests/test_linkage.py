@@ -74,6 +74,21 @@ def test_prune_by_source(spark):
     assert sorted((r[0], r[1], r["rank"]) for r in kept.collect()) == [("a", "S2-1", 1), ("a", "S3-1", 1), ("a", "S3-2", 2)] + [("b", f"S{s}-{i}", i + 1) for s in (2, 3) for i in range(4)]
 
 
+def test_unions_have_all_passes_and_sources(spark):
+    """Records 3 to 5 differ in letters, 9 and 10 share only numbers of the address; 5 is of source 3."""
+    from kinline.plans import passes as P
+    from kinline.queries import blocking as B
+
+    rows = [(0, 3, "nightingale harbour supply works", "12 main"), (1, 4, "nightingalle harbor supply works", "13 side"), (2, 5, "nghtingale harbour supply works", "14 hill"), (0, 9, "one two", "4711 0815 v"), (1, 10, "five six", "4711 0815 x")]
+    ents = spark.createDataFrame([(s, f"S{s + 1}-{i}", n, n, a, "en") for s, i, n, a in rows], "source int, entity_id string, name_norm string, name_clean_legal string, address_norm string, country_norm string").cache()
+    for specs, bits, more in ((P.v1(), P.V1_BITS, B.V1_MORE), (P.v2(), P.V2_BITS, B.V2_MORE), (P.v3(), P.V3_BITS, B.V3_MORE)):
+        runs = {b: df for df, b in B.found(ents, specs, bits, more)}
+        assert set(runs) == set(bits.values())
+        for n in {8: ["address_token"], 256: ["partitioned_tfidf"]}.get(bits.get("address_token", bits.get("partitioned_tfidf")), []):  # joins of a kind once
+            got = sorted(map(tuple, runs[bits[n]].collect()))
+            assert got == ([("S1-9", "S2-10")] if n == "address_token" else [("S1-3", "S2-4"), ("S1-3", "S3-5")]), n
+
+
 def test_files(spark, tmp_path):
     src = tmp_path / "s.tsv"
     src.write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\textra\nS1-1\tNA\t\tIN\tq\n")
