@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,20 +13,21 @@ from kinline.operators import diagnostics as D
 from kinline.operators import metrics as M
 from kinline.operators import submission as X
 from kinline.operators.combine import combine
-from kinline.operators.keyed_pass import CAND, S1, keyed_pass
+from kinline.operators.keyed_pass import CAND, S1
 from kinline.operators.rules import RULES, rule_matches
 from kinline.operators.sampling import fold, in_training, stratified, training_sample
 from kinline.plans import passes as P
 from kinline.queries import sql
+from kinline.queries.blocking import V3_MORE, found
 from kinline.queries.registry import query
 from kinline.sources.entities import entities, truth
 
+# Passes of the SQL; the operators take all of the third generation, for each target source by itself.
 _ORDER = {"exact_clean_legal": 2, "rare_token_ranked": 4, "address_num_distinctive_token": 8}
 
 
 def _found(ents: DataFrame) -> list[tuple[DataFrame, int]]:
-    left, right = ents.filter("source = 0"), ents.filter("source > 0")
-    return [(keyed_pass(left, right, p), _ORDER[p.name]) for p in P.v3() if p.name in _ORDER]
+    return found(ents, P.v3(), P.V3_BITS, V3_MORE)
 
 
 def _candidates(ents: DataFrame) -> DataFrame:
@@ -153,8 +156,8 @@ def _j_13(spark, d):
 @_q("u_04_recovered_by_tokens_only", "SELECT s1 AS s1_entity_id, c AS candidate_entity_id FROM (SELECT s1, c FROM c1_ EXCEPT SELECT s1, c FROM c0_) SEMI JOIN truth USING (s1, c)", CAND_SQL)
 def _u_04(spark, d):
     e = entities(spark, d)
-    found = {bit: df.select(S1, CAND) for df, bit in _found(e)}
-    return found[4].subtract(found[2]).join(truth(e), [S1, CAND], "left_semi")
+    by_bit = dict((bit, df) for df, bit in _found(e))
+    return by_bit[4].subtract(by_bit[2]).join(truth(e), [S1, CAND], "left_semi")
 
 
 @_q("u_05_subset_violations", "SELECT count(*) AS violations FROM (SELECT * FROM scored WHERE probability >= 0.5) ANTI JOIN cand USING (s1, c)")
@@ -248,8 +251,8 @@ SELECT n.b AS pass_order, CASE n.b WHEN 2 THEN 'exact_clean_legal' WHEN 4 THEN '
 FROM n LEFT JOIN (SELECT b, count(*) AS k FROM f GROUP BY b) x ON n.b = x.b""")
 def _w_09(spark, d):
     e = entities(spark, d)
-    found = [df.select(S1, CAND, F.lit(bit).alias("pass_order")) for df, bit in _found(e)]
-    return M.incremental_recall(found[0].unionByName(found[1]).unionByName(found[2]), truth(e), _ORDER)
+    rows = [df.select(S1, CAND, F.lit(bit).alias("pass_order")) for df, bit in _found(e)]
+    return M.incremental_recall(reduce(DataFrame.unionByName, rows), truth(e), P.V3_BITS)
 
 
 @_q("w_10_stratified_sample", """, z AS (SELECT country_norm, count(*) AS n FROM ent WHERE source = 0 GROUP BY 1), q0 AS (SELECT country_norm, CAST(floor(n * 100 / sum(n) OVER ()) AS BIGINT) AS q FROM z
@@ -327,7 +330,7 @@ def _m_13(spark, d):
     e = entities(spark, d)
     rows = with_features(lookup(_candidates(e), e), F.bit_count("pass_mask")).join(truth(e).distinct().withColumn("hit", F.lit(1)), [S1, CAND], "left").withColumn("label", F.coalesce("hit", F.lit(0)))
     rows = rows.withColumn("hard", (F.col("name_token_sort_sim") >= 0.5) | (F.col("name_jaro_winkler") >= 0.7) | (F.col("num_blocking_passes") >= 2))
-    return score_ensemble(rows.select(S1, CAND, *FEATURES), train_ensemble(training_sample(rows).cache(), iterations=5, depth=4))
+    return score_ensemble(rows.select(S1, CAND, *FEATURES), train_ensemble(training_sample(rows).cache()))
 
 
 # ------------------------------------------------------------------ rules and metrics

@@ -89,6 +89,18 @@ def test_unions_have_all_passes_and_sources(spark):
             assert got == ([("S1-9", "S2-10")] if n == "address_token" else [("S1-3", "S2-4"), ("S1-3", "S3-5")]), n
 
 
+def test_candidates_take_all_passes_and_guard_each_source(spark):
+    """210 targets of one name, 105 of each source: over the guard of 200 together, under it apart."""
+    from kinline.plans import passes as P
+    from kinline.queries import linkage as L
+
+    rows = [(0, "S1-1", "xy")] + [(s, f"S{s + 1}-{i:03d}", "xy") for s in (1, 2) for i in range(105)]
+    ents = spark.createDataFrame([(s, i, n, n, "", "") for s, i, n in rows], "source int, entity_id string, name_norm string, name_clean_legal string, address_norm string, country_norm string")
+    got = {bit: df for df, bit in L._found(ents)}
+    assert set(got) == set(P.V3_BITS.values())
+    assert sorted(r[1] for r in got[2].collect()) == [f"S{s}-{i:03d}" for s in (2, 3) for i in range(30)]
+
+
 def test_files(spark, tmp_path):
     src = tmp_path / "s.tsv"
     src.write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\textra\nS1-1\tNA\t\tIN\tq\n")
