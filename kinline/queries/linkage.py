@@ -287,17 +287,23 @@ def _f_native(spark, d):
 
 @_q("f_02_jaro_winkler", f"SELECT {_ID}, round(CASE WHEN ln = '' OR rn = '' THEN 0 ELSE jaro_winkler_similarity(ln, rn) END, 6) AS value FROM looked WHERE regexp_matches(ln || rn, '^[a-z0-9 _]*$')")
 def _f_02(spark, d):
+    e = entities(spark, d)
+    return _name_jaro_winkler(lookup(_candidates(e), e))
+
+
+def _name_jaro_winkler(x: DataFrame) -> DataFrame:
     from kinline.functions.similarity import jaro_winkler_col
 
-    e = entities(spark, d)
-    x = lookup(_candidates(e), e).filter(F.concat("l_name_norm", "r_name_norm").rlike("^[a-z0-9 _]*$"))
     return x.select(S1, CAND, F.round(jaro_winkler_col("l_name_norm", "r_name_norm"), 6).alias("value"))
 
 
 @_q("f_14_edit_distance", f"SELECT {_ID}, CAST(CASE WHEN ln = '' OR rn = '' THEN 0 ELSE levenshtein(ln, rn) END AS BIGINT) AS value FROM looked WHERE regexp_matches(ln || rn, '^[a-z0-9 _]*$')")
 def _f_14(spark, d):
     e = entities(spark, d)
-    x = lookup(_candidates(e), e).filter(F.concat("l_name_norm", "r_name_norm").rlike("^[a-z0-9 _]*$"))
+    return _name_edit_distance(lookup(_candidates(e), e))
+
+
+def _name_edit_distance(x: DataFrame) -> DataFrame:
     return x.select(S1, CAND, native_features(F.lit(0))["name_edit_distance"].cast("long").alias("value"))
 
 

@@ -101,6 +101,25 @@ def test_candidates_take_all_passes_and_guard_each_source(spark):
     assert sorted(r[1] for r in got[2].collect()) == [f"S{s}-{i:03d}" for s in (2, 3) for i in range(30)]
 
 
+def test_name_distances_of_all_scripts(spark):
+    """Pairs outside ASCII stay, and letters count, not bytes."""
+    from kinline.queries import linkage as L
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    names = [("große straße", "grosse strasse"), ("日本商事", "日本商社"), ("завод", "завот"), ("plain name", "plane name")]
+    sides = ", ".join(f"{s}_{c} string" for s in "lr" for c in ("name_norm", "name_clean_legal", "address_norm", "country_norm"))
+    looked = spark.createDataFrame([(f"S1-{i}", f"S2-{i}", a, a, "", "", b, b, "", "") for i, (a, b) in enumerate(names)], f"{S1} string, {CAND} string, {sides}")
+    assert {r[0]: r.value for r in L._name_edit_distance(looked).collect()} == {f"S1-{i}": distance(a, b) for i, (a, b) in enumerate(names)}
+    assert {r[0]: r.value for r in L._name_jaro_winkler(looked).collect()} == pytest.approx({f"S1-{i}": S.jaro_winkler(a, b) for i, (a, b) in enumerate(names)}, abs=1e-6)
+
+
 def test_files(spark, tmp_path):
     src = tmp_path / "s.tsv"
     src.write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\textra\nS1-1\tNA\t\tIN\tq\n")
