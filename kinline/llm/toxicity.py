@@ -2,8 +2,9 @@
 
 1. *Language model.* Character 4-gram counts over every text of the input (letters a to z, one class for
    other letters, one for the space between words); each task adds up its own, Spark adds up the tasks'.
-2. *Restoring.* Words that look disguised (a digit or sign before a letter, a letter three times running,
-   runs of single letters) become a lattice: each character may stand for itself, for letters it resembles,
+2. *Restoring.* Words that look disguised (letters beside a digit or sign that resembles one, a separator
+   before a letter, a letter three times running, runs of single letters and signs), of any length, become
+   a lattice: each character may stand for itself, for letters it resembles,
    or for nothing (a separator or a repeat). Viterbi finds the path with the best product of channel and
    language model. Other words have one path and stay as they are. Decisions are remembered by word.
 3. *Scoring.* Words of the restored text and their first four to six bytes are features; those that lean
@@ -39,6 +40,7 @@ SYMBOLS = 28
 # What a sign may stand for.
 RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "#": "h", "%": "o", "&": "a"}
 SEPARATORS = "-_.*~'`"
+LAG = 128
 SAME, LIKE, DROP, REPEAT = log(0.9), log(0.08), log(0.05), log(0.4)
 
 _CLASS = np.full(256, SPACE, np.int64)
@@ -47,6 +49,9 @@ _CLASS[65:91] = np.arange(26)
 _CLASS[128:] = OTHER
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[65:91] = _LETTER[128:] = True
+_LIKE = np.zeros(256, bool)
+_LIKE[[ord(c) for c in RESEMBLES]] = True
+_LIKES = [c.encode() for c in RESEMBLES]
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in RESEMBLES]] = True
 _SIGN[[ord(c) for c in SEPARATORS]] = True
@@ -106,8 +111,8 @@ def _symbol(ch: str) -> int:
 def viterbi(text: str, model: CharModel, spaced: bool = False) -> str:
     """The likeliest plain text of a disguised word; ``spaced``: single blanks may be part of the disguise too."""
     states: dict[tuple, tuple[float, str]] = {(SPACE, SPACE, SPACE): (0.0, "")}
-    previous = ""
-    for ch in text.lower():
+    previous, head = "", []
+    for at, ch in enumerate(text.lower(), 1):
         options: list[tuple[str, float]] = [(ch, SAME)]
         options += [(x, LIKE - log(len(RESEMBLES[ch]))) for x in RESEMBLES.get(ch, "")]
         if ch in SEPARATORS or (spaced and ch == " "):
@@ -127,11 +132,16 @@ def viterbi(text: str, model: CharModel, spaced: bool = False) -> str:
                     new[key] = (s, out + x)
         states = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:64])
         previous = ch
-    return max((s + model.of(a, b, c, SPACE) * (c != SPACE), out) for (a, b, c), (s, out) in states.items())[1]
+        if at % LAG == 0:  # what lies ``LAG`` characters back is settled by the best path; all paths go on
+            settled = next(iter(states.values()))[1][:-LAG]
+            if settled:
+                head.append(settled)
+                states = {k: (v, out[len(settled) :]) for k, (v, out) in states.items() if out.startswith(settled)}
+    return "".join(head) + max((s + model.of(a, b, c, SPACE) * (c != SPACE), out) for (a, b, c), (s, out) in states.items())[1]
 
 
 class Restorer:
-    MEMO, MAX_WORD = 200_000, 40  # a longer word isn't a disguise of one word
+    MEMO, MAX_WORD = 200_000, 40  # longer words are decoded too, but not remembered
 
     def __init__(self, counts: np.ndarray):
         self.model, self.memo = CharModel(counts), {}
@@ -139,6 +149,8 @@ class Restorer:
     def word(self, w: str, spaced: bool = False) -> str:
         got = self.memo.get(w)
         if got is None:
+            if len(w) > 2 * self.MAX_WORD:
+                return viterbi(w, self.model, spaced)
             if len(self.memo) >= self.MEMO:
                 self.memo.clear()
             got = self.memo[w] = viterbi(w, self.model, spaced)
@@ -155,15 +167,34 @@ class Restorer:
                 flag[:-1] = _SIGN[data[:-1]] & letter[1:]
                 flag[:-2] |= (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]) & letter[:-2] & (data[:-2] < 128)
                 w = K.words(b)
-                single = np.zeros(len(w.start) + 2, bool)
-                single[: len(w.start)] = (w.end - w.start == 1) & letter[w.start]
-                run = np.flatnonzero(single[:-2] & single[1:-1] & single[2:])
-                at = np.unique(np.concatenate((np.searchsorted(w.start, np.flatnonzero(flag), "right") - 1, run)))
-                rows = np.searchsorted(w.first, at, "right") - 1
-                b, changed = self._rewrite(b, w, at, rows, single)
+                if len(w.start):
+                    inside = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[np.stack((w.start, w.end))], axis=0)[0]
+                    mixed = (inside(_LIKE[data]) > 0) & (inside(letter) > 0)
+                    last = self._runs(data, letter, w)
+                    plain = ~(inside(flag) > 0) & (last < 0)  # disguised only if a sign of the word goes
+                    at = np.flatnonzero(mixed | ~plain)
+                    rows = np.searchsorted(w.first, at, "right") - 1
+                    b, changed = self._rewrite(b, w, at, rows, last, plain)
             yield b, changed
 
-    def _rewrite(self, b: K.Block, w: K.Words, at: np.ndarray, rows: np.ndarray, single: np.ndarray):
+    @staticmethod
+    def _runs(data: np.ndarray, letter: np.ndarray, w: K.Words) -> np.ndarray:
+        """Where a run of single letters and signs begins (three of them may be letters, two are), its last word; else -1."""
+        head = data[w.start]
+        single = (w.end - w.start == 1) & (letter[w.start] | _SIGN[head])
+        begins = single.copy()
+        begins[1:] &= ~single[:-1]
+        first = w.first[w.first < len(single)]
+        begins[first] = single[first]
+        ends = np.append(begins[1:] | ~single[1:], True) & single
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends)
+        some = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[np.stack((start, end + 1))], axis=0)[0]
+        last = np.full(len(single), -1, np.int64)
+        ok = (some(single & letter[w.start]) >= 2) & (some(single & (letter[w.start] | _LIKE[head])) >= 3)
+        last[start[ok]] = end[ok]
+        return last
+
+    def _rewrite(self, b: K.Block, w: K.Words, at: np.ndarray, rows: np.ndarray, last: np.ndarray, plain: np.ndarray):
         changed = np.zeros(b.rows, np.int64)
         out, done = [], 0
         shift = np.zeros(b.rows, np.int64)
@@ -171,16 +202,15 @@ class Restorer:
             start, end = int(w.start[i]), int(w.end[i])
             if start < done:
                 continue
-            spaced = bool(single[i] and single[i + 1] and single[i + 2])
+            spaced = bool(last[i] >= 0)
             if spaced:
-                last = i
-                while last + 1 < w.first[row + 1] and single[last + 1] and last - i < self.MAX_WORD:
-                    last += 1
-                end = int(w.end[last])
+                end = int(w.end[last[i]])
             old = b.data[start:end].tobytes()
-            if end - start > 2 * self.MAX_WORD or (not spaced and end - start > self.MAX_WORD) or len(set(old.lower().split())) == 1 and spaced:
+            if spaced and len(set(old.lower().split())) == 1:
                 continue
             new = self.word(" ".join(old.decode().split()) if spaced else old.decode(), spaced).encode()
+            if plain[i] and sum(map(new.count, _LIKES)) == sum(map(old.count, _LIKES)):
+                continue
             if new != old.lower():
                 out += [b.data[done:start].tobytes(), new]
                 done = end

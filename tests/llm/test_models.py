@@ -79,6 +79,19 @@ def test_deobfuscation(spark):
     assert toxicity.viterbi("i d i o t", model, spaced=True) == "idiot"
 
 
+def test_disguises_of_any_place_and_length(spark):
+    import pyarrow as pa
+
+    restorer = toxicity.Restorer(toxicity.language_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    passage = " ".join(["stupid idiot"] * 12)
+    seen = {"stu" + "u" * 60 + "pid": "stupid", "idio7 x": "idiot x", "so you i d 1 0 t now": "so you idiot now", " ".join(passage.replace(" ", "")): passage}
+    seen |= {"st.u.p1d.idi0t.m0r0n.l0ser.1d10t.stup1d.idi0t": "stupid.idiot.moron.loser.idiot.stupid.idiot", "a - b and 1 2 3, stop!! therre$$$": "a - b and 1 2 3, stop!! therre$$$"}
+    got = [b.text(i).decode() for b, _ in restorer.blocks(pa.array(list(seen))) for i in range(b.rows)]
+    assert got == list(seen.values())
+    long = "stupididiot" * 300
+    assert len(toxicity.viterbi(long, restorer.model)) == len(long)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     out = {r.doc_id: r for r in QUERIES["op4_toxicity"](spark, sf).collect()}
