@@ -30,12 +30,18 @@ def public_id(col: str = "_id"):
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name in the shared folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset."""
+    """A new folder name, under one folder for the application, in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset a local session gets a temporary folder; on a cluster, whose executors wouldn't see it, that
+    is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="kinline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/kinline-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/kinline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -43,7 +49,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinline_scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once nothing that is still to be read comes from them."""
+    for t in tables:
+        path = getattr(t, "_kinline_scratch", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numpy(batch: pa.RecordBatch, name: str, dtype=None) -> np.ndarray:

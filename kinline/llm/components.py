@@ -1,29 +1,89 @@
-"""Connected components of an edge table, by minimum labels with pointer jumping; nothing goes to the driver but counts."""
+"""Connected components of an edge table by contraction; nothing goes to the driver but counts and hot keys.
+
+Each round hooks every node to its least neighbour, follows these pointers to their ends by doubling, and
+replaces the ends of every edge by what they lead to. Edges within a component vanish, the others go on to
+the next round among far fewer nodes; at the end the rounds' pointers are followed one after another.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinline.llm.common import materialize
+from kinline.llm.common import discard, materialize
+
+MOST_HOT = 1_000  # keys that are dealt out with a salt
+LEAST_HOT = 500  # rows that no key is hot with
+SALTS = 64
+
 
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The ``MOST_HOT`` keys with the most rows, of those with over ``LEAST_HOT``; any other has less than 1 / ``MOST_HOT`` of all rows."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNotNull() & (F.col("n") > LEAST_HOT))
+    return [r[0] for r in counts.orderBy(F.desc("n"), key).limit(MOST_HOT).collect()]
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 200) -> DataFrame:
-    """(node, comp) of every node that has an edge to another; ``comp`` is the least node that it reaches.
 
-    Each round takes the least label among a node and its neighbours, then the label of that label. Labels only
-    fall and each round at least halves what is left of a path, so the rounds grow with the log of the longest one.
+def lookup(rows: DataFrame, key: str, values: DataFrame, how: str = "inner", like: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``values``, in which ``key`` is unique. Rows of hot keys are dealt to ``SALTS`` places each by
+    a hash of their other columns, and the few rows of ``values`` that they look up are sent to all of these.
+
+    Hot keys are counted in ``like`` (``rows`` if there is none): a table that is cheaper to read and has the keys.
     """
-    both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src != dst")
-    both = materialize(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("src"), F.min("dst")).alias("comp")))
+    hot = hot_keys(rows if like is None else like, key)
+    if not hot:
+        return rows.join(values, key, how)
+    is_hot = F.col(key).isin(hot)
+    salted = rows.filter(is_hot).withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = values.filter(is_hot).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = rows.filter(~is_hot | F.col(key).isNull()).join(values, key, how)
+    return rest.unionByName(salted.join(copies, [key, "__salt"], how).drop("__salt"))
+
+
+def _ends(up: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pointers (node, up) followed to their ends, and the table they are in; each round halves the way that is left."""
+    before = up
+    while True:
+        above = up.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+        after = materialize(lookup(up, "up", above).select("node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")))
+        up = after.select("node", "up")
+        moved = after.filter("moved").limit(1).count()
+        discard(before)
+        before = after
+        if not moved:
+            return up, after
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
+    """(node, comp) of every node that has an edge to another; ``comp`` is the least node that it reaches."""
+    least, most = F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+    left = materialize(edges.filter(F.col(a) != F.col(b)).select(least, most).distinct())
+    rounds, tables = [], []
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
-        root = lower.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        after = materialize(lower.join(root, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"), "was"))
-        changed = after.filter("comp != was").limit(1).count()
-        labels = after.select("node", "comp")
-        if not changed:
-            return labels
-    raise RuntimeError("components didn't settle")
+        near = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        up, table = _ends(materialize(near.groupBy("node").agg(F.least("node", F.min("other")).alias("up"))))
+        rounds.append(up)
+        tables += [table, left]
+        ends = lookup(left, "a", up.select(F.col("node").alias("a"), F.col("up").alias("x"))).select("b", "x")
+        ends = lookup(ends, "b", up.select(F.col("node").alias("b"), F.col("up").alias("y")), like=left)
+        left = materialize(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if not left.limit(1).count():
+            break
+    else:
+        raise RuntimeError("components didn't settle")
+    comp = rounds[0].withColumnRenamed("up", "comp")
+    for up in rounds[1:]:
+        comp = lookup(comp, "comp", up.select(F.col("node").alias("comp"), F.col("up").alias("root")), "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    comp = materialize(comp)
+    discard(*tables, left)
+    return comp
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) after more edges between nodes: only edges between components are worked on."""
+    edges = materialize(edges)
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
+    between = lookup(lookup(edges.select("a", "b"), "a", of("a"), "left"), "b", of("b"), "left", like=edges)
+    between = materialize(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b"))
+    moved = connected_components(between).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    fresh = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    return materialize(lookup(labels.unionByName(fresh), "comp", moved, "left").select("node", F.coalesce("root", "comp").alias("comp")))

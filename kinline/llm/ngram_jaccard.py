@@ -7,17 +7,20 @@ Two sets link when 100 * |A and B| >= 80 * |A or B| (the percentage is a paramet
   a subset S, whatever links by way of S also links with the smallest of them, so that one's star is enough:
   no pairs, and no verification.
 * *Large sets* scan inverted lists. In one global order of shingles, rare before common, two linked sets
-  share one of their first n - ceil(0.8 n) + 1. Each set is first compared with one pivot, the
-  smallest member of most of its lists; then, while that merges any, one member of each class with the first
-  of each list that has several classes; only members still in different classes after that are compared with
-  each other.
+  share one of their first n - ceil(0.8 n) + 1. Each set is first compared with one pivot, the smallest member
+  of most of its lists; then, for a few rounds, one member of each class with the first of each list that has
+  several classes. What is still in different classes meets list by list, but only where the places of the
+  shared shingle in both sets leave room for enough others after it; a linked pair always has that room at the
+  first shingle that it shares. That leaves few pairs that don't link, and loses none that does.
 * The *boundary* is the size with the least estimated cost, from a histogram of set sizes.
 
-Equal sets count as one node from the start, known by a 64-bit hash of the set (among 10**9 different sets
-the odds of any two sharing one are 3 %). Tasks settle their own lists first and send one row for each list,
-so a shingle in a third of all documents sends one row for each task. The list of common shingles is a
-bounded sketch that only orders shingles; any order gives the same links. Before texts are compared, parity
-sketches of about one bit for each shingle rule out pairs that are too far apart; they never rule out a link.
+Equal sets count as one node from the start. A node is known by 64 bits of hash; sets whose 64 bits are equal
+but whose next 64 differ get nodes of their own, so that two sets are one only if 128 bits agree. Tasks settle
+their own lists first and send one row for each list, so a shingle in a third of all documents sends one row
+for each task. The list of common shingles is a bounded sketch that only orders shingles; any order gives the
+same links. Texts are read four times in all, whatever the number of comparisons: for the profile, the subsets, the
+lists, and to lay aside the texts of sets that have company. Before those are compared, parity sketches of about
+one bit for each shingle rule out pairs that are too far apart; they never rule out a link.
 
 Defined results: a null or empty text has no shingles, is a class of its own and linked with nothing; texts
 of fewer than ``words`` words have one shingle; a null id counts as the smallest and shows as null; rows may
@@ -35,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinline.llm import kernels as K
-from kinline.llm.common import batch_of, id_and_text, materialize, numpy, public_id, signed
-from kinline.llm.components import connected_components
+from kinline.llm.common import batch_of, discard, id_and_text, materialize, numpy, public_id, signed
+from kinline.llm.components import connected_components, lookup, merged
 
 FLUSH = 1_000_000
 SEEN = 500_000  # nodes that a task remembers to pass over equal sets
@@ -44,6 +47,8 @@ COMMON = 1 << 17  # shingles at most that are known to be common
 COMMON_FROM = 8  # copies within the blocks of the tasks that counted them
 MAX_BOUNDARY = 16
 BLOOM_BITS = 26
+ROUNDS = 3  # of comparing one member of each class with the first of each list; what they leave is compared exactly
+MAX_CLASHES = 1_000_000  # sets at most that share 64 bits of hash with another (some 300 expected among 10**11)
 
 
 def shingle_sets(b: K.Block, words: int):
@@ -64,8 +69,16 @@ def shingle_sets(b: K.Block, words: int):
             yield i, whole[i : i + 1]
 
 
-def set_hash(x: np.ndarray) -> int:
-    return int(K.mix(np.array([K.mix(x + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(x))]))[0].view(np.int64))
+def set_hash(x: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two 64-bit hashes of a set; of the first one only ``bits`` count (fewer than 64 are for tests of clashes)."""
+    sums = [K.mix(x + np.uint64(c)).sum(dtype=np.uint64) + np.uint64(len(x)) for c in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)]
+    node, check = K.mix(np.array(sums)).view(np.int64).tolist()
+    return node >> (64 - bits), check
+
+
+def node_of(x: np.ndarray, bits: int, clashes: dict) -> int:
+    node, check = set_hash(x, bits)
+    return clashes.get((node, check), node) if clashes else node
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -91,47 +104,37 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
-LONGS = 16  # of a sketch of fixed size, for comparisons within a join
-
-
-def fixed_sketch(x: np.ndarray) -> np.ndarray:
-    """Parities of 64 * LONGS buckets, as longs."""
-    odd = np.bincount((x & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
+PROFILE = "kind byte, x long, y long, n int, node long, check long, sketch binary"
 
-PROFILE = "kind byte, x long, y long, n int, node long, sketch binary, fixed array<long>"
 
-
-def _profile(words: int):
+def _profile(words: int, bits: int):
     """Kind 0: (id, key, set size, node) of each row. Kind 1: (shingle, copies) among the different sets of a block."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         held, n_held = [], 0
 
         def common():
             u, c = np.unique(np.concatenate(held), return_counts=True)
             u, c = u[c >= 3], c[c >= 3]
             z = np.zeros(len(u), np.int64)
-            return batch_of(kind=z.astype(np.int8) + np.int8(1), x=signed(u), y=c.astype(np.int64), n=z.astype(np.int32), node=z, sketch=pa.nulls(len(u), pa.binary()), fixed=pa.nulls(len(u), pa.list_(pa.int64())))
+            return batch_of(kind=z.astype(np.int8) + np.int8(1), x=signed(u), y=c.astype(np.int64), n=z.astype(np.int32), node=z, check=z, sketch=pa.nulls(len(u), pa.binary()))
 
         for batch in batches:
             ids, keys = numpy(batch, "_id"), numpy(batch, "_key")
             for b in K.blocks(batch.column("_text")):
-                n, node, sketches = np.zeros(b.rows, np.int32), np.zeros(b.rows, np.int64), [None] * b.rows
-                fixed = [None] * b.rows
+                n, node, check, sketches = np.zeros(b.rows, np.int32), np.zeros(b.rows, np.int64), np.zeros(b.rows, np.int64), [None] * b.rows
                 for i, x in shingle_sets(b, words):
-                    n[i], node[i], sketches[i] = len(x), set_hash(x), sketch(x)
-                    fixed[i] = fixed_sketch(x)
-                    if int(node[i]) not in seen:
+                    node[i], check[i] = known = set_hash(x, bits)
+                    n[i], sketches[i] = len(x), sketch(x)
+                    if known not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
-                        seen.add(int(node[i]))
+                        seen.add(known)
                         held.append(x)
                         n_held += len(x)
                 at = slice(b.first_row, b.first_row + b.rows)
-                yield batch_of(kind=np.zeros(b.rows, np.int8), x=ids[at], y=keys[at], n=n, node=node, sketch=pa.array(sketches, pa.binary()), fixed=pa.array(fixed, pa.list_(pa.int64())))
+                yield batch_of(kind=np.zeros(b.rows, np.int8), x=ids[at], y=keys[at], n=n, node=node, check=check, sketch=pa.array(sketches, pa.binary()))
                 if n_held >= FLUSH:
                     yield common()
                     held, n_held = [], 0
@@ -141,8 +144,8 @@ def _profile(words: int):
     return run
 
 
-LISTS = "kind byte, h long, node long, n int, pivot long"
-MEMBERS = "h long, node long, n int, pivot long"
+LISTS = "kind byte, h long, node long, n int, pos int, pivot long"
+MEMBERS = "h long, node long, n int, pos int, pivot long"
 
 
 class _Common:
@@ -170,12 +173,12 @@ class _Common:
         return rest if len(rest) == n else np.concatenate((rest, x[at[np.argsort(self.rank[place])][: n - len(rest)]]))
 
 
-def _lists(words: int, percent: int, boundary: int, common):
+def _lists(words: int, percent: int, boundary: int, common, bits: int, clashes):
     """Prefix shingles of large sets, settled within the task: kind 0 asks, 1 asks and has company, 2 has a pivot already."""
 
-    def settle(h, node, n):
+    def settle(h, node, n, pos):
         order = np.lexsort((node, n, h))
-        h, node, n = h[order], node[order], n[order]
+        h, node, n, pos = h[order], node[order], n[order], pos[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         pivot = node[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
@@ -184,10 +187,10 @@ def _lists(words: int, percent: int, boundary: int, common):
         back = np.argsort(order[keep])  # in the order of the texts, where neighbours are alike
         for i in range(0, len(back), 100_000):
             s = np.flatnonzero(keep)[back[i : i + 100_000]]
-            yield batch_of(kind=kind[s], h=signed(h[s]), node=node[s], n=n[s], pivot=pivot[s])
+            yield batch_of(kind=kind[s], h=signed(h[s]), node=node[s], n=n[s], pos=pos[s], pivot=pivot[s])
 
     def run(batches):
-        order = common.value
+        order, clash = common.value, clashes.value
         seen: set[int] = set()
         parts, total = [], 0
         for batch in batches:
@@ -196,14 +199,14 @@ def _lists(words: int, percent: int, boundary: int, common):
                     size = len(x)
                     if 100 * size <= percent * boundary:
                         continue
-                    node = set_hash(x)
+                    node = node_of(x, bits, clash)
                     if node in seen:
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
                     p = order.prefix(x, size - least_overlap(size, percent) + 1)
-                    parts.append((p, np.full(len(p), node), np.full(len(p), size, np.int32)))
+                    parts.append((p, np.full(len(p), node), np.full(len(p), size, np.int32), np.arange(len(p), dtype=np.int32)))
                     total += len(p)
                 if total >= FLUSH:
                     yield from settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
@@ -216,57 +219,55 @@ def _lists(words: int, percent: int, boundary: int, common):
 
 def _meet(batches):
     """Of lists sorted by shingle, set size and node: members of those with company, each with the list's first as its pivot."""
-    head = None  # (h, kind, node, n, said) of the first row of the last list
+    head = None  # of the last list: its first row, and whether that has been said to have company
+    row = lambda x, at: batch_of(**{c: np.atleast_1d(x[c][at]) for c in ("h", "node", "n", "pos", "pivot")})
     for batch in batches:
         if not batch.num_rows:
             continue
-        kind, h, node, n = (numpy(batch, x) for x in ("kind", "h", "node", "n"))
+        x = {c: numpy(batch, c) for c in ("kind", "h", "node", "n", "pos")}
+        h, node = x["h"], x["node"]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
-        goes_on = head is not None and h[0] == head[0]
+        goes_on = head is not None and h[0] == head[0]["h"]
         new[0] = not goes_on
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-        pivot = np.where(first >= 0, node[first], head[2] if goes_on else 0)
-        out = ~new & (node != pivot)
-        # a first row that asked alone has company now
-        alone = np.zeros(len(h), bool)
+        x["pivot"] = np.where(first >= 0, node[first], head[0]["node"] if goes_on else 0)
+        out = ~new & (node != x["pivot"])
         firsts = np.unique(first[out])
-        carried = goes_on and len(firsts) and firsts[0] < 0
-        firsts = firsts[firsts >= 0]
-        alone[firsts] = kind[firsts] == 0
-        extra = []
-        if carried and head[1] == 0 and not head[4]:
-            extra.append(batch_of(h=np.array([head[0]], np.int64), node=np.array([head[2]], np.int64), n=np.array([head[3]], np.int32), pivot=np.array([head[2]], np.int64)))
-        if carried:
-            head = (*head[:4], True)
-        take = out | alone
+        if len(firsts) and firsts[0] < 0:  # a first row of the batch before, which asked alone, has company now
+            if head[0]["kind"] == 0 and not head[1]:
+                yield row({c: np.atleast_1d(v) for c, v in head[0].items()}, slice(None))
+            head, firsts = (head[0], True), firsts[1:]
+        take = out.copy()
+        take[firsts[x["kind"][firsts] == 0]] = True
         if take.any():
-            extra.append(batch_of(h=h[take], node=node[take], n=n[take], pivot=pivot[take]))
-        yield from extra
-        if first[-1] >= 0:
-            i = first[-1]
-            head = (h[i], kind[i], node[i], n[i], bool(out[i:].any()))
+            yield row(x, take)
+        i = first[-1]
+        if i >= 0:
+            head = ({c: v[i] for c, v in x.items()}, bool(out[i:].any()))
 
 
-def _subsets(words: int, percent: int, boundary: int):
-    """(subset hash, its size, set size, node) of the small sets."""
+def _subsets(words: int, percent: int, boundary: int, bits: int, clashes):
+    """(subset hash of 128 bits, its size, set size, node) of the small sets."""
 
     def run(batches):
         for batch in batches:
             for b in K.blocks(batch.column("_text")):
-                key, size, n, node = [], [], [], []
+                key, key2, size, n, node = [], [], [], [], []
                 for _, x in shingle_sets(b, words):
                     if len(x) > boundary:
                         continue
-                    y, me = K.mix(x + np.uint64(0xA0761D6478BD642F)), set_hash(x)
+                    y, me = K.mix(x + np.uint64(0xA0761D6478BD642F)), node_of(x, bits, clashes.value)
+                    z = K.mix(x + np.uint64(0xE7037ED1A0B428DB))
                     for k in range(least_overlap(len(x), percent), len(x) + 1):
                         at = np.array(list(combinations(range(len(x)), k)))
                         key.append(K.mix(y[at].sum(1, dtype=np.uint64) + np.uint64(k)))
+                        key2.append(K.mix(z[at].sum(1, dtype=np.uint64)))
                         size += [k] * len(at)
                         n += [len(x)] * len(at)
                         node += [me] * len(at)
                 if key:
-                    yield batch_of(key=signed(np.concatenate(key)), size=np.array(size, np.int32), n=np.array(n, np.int32), node=np.array(node, np.int64))
+                    yield batch_of(key=signed(np.concatenate(key)), key2=signed(np.concatenate(key2)), size=np.array(size, np.int32), n=np.array(n, np.int32), node=np.array(node, np.int64))
 
     return run
 
@@ -334,8 +335,8 @@ def _bloom(rows: DataFrame, col: str) -> np.ndarray:
     return out
 
 
-def _in_bloom(bloom):
-    """Texts whose key may be in the filter, each key once for a task (as far as it remembers)."""
+def _in_bloom(bloom, key: str, columns: list[str]):
+    """Rows whose key may be in the filter, each key once for a task (as far as it remembers)."""
 
     def run(batches):
         words, seen = bloom.value, set()
@@ -344,114 +345,142 @@ def _in_bloom(bloom):
             for k in range(3):
                 bit = numpy(batch, f"_b{k}")
                 hit &= (words[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
-            for i, key in zip(np.flatnonzero(hit), numpy(batch, "_key")[hit].tolist(), strict=True):
-                hit[i] = key not in seen
-                seen.add(key)
+            for i, k in zip(np.flatnonzero(hit), numpy(batch, key)[hit].tolist(), strict=True):
+                hit[i] = k not in seen
+                seen.add(k)
             if len(seen) > SEEN:
                 seen.clear()
-            yield batch.filter(pa.array(hit)).select(["_id", "_key", "_text"])
+            yield batch.filter(pa.array(hit)).select(columns)
 
     return run
 
 
-def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def _clashes(nodes: DataFrame, bits: int) -> dict:
+    """(node, check) -> another node, for sets that share their first hash with a different set."""
+    shared = nodes.groupBy("node").agg(F.count("*").alias("c"), F.min("check").alias("least")).filter("c > 1")
+    others = nodes.join(shared, "node").filter("check != least").select("node", "check").limit(MAX_CLASHES + 1).collect()
+    if len(others) > MAX_CLASHES:
+        raise RuntimeError("too many different sets have equal hashes")
+    fresh = lambda node, check: int(K.mix(np.array([(check ^ (node * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0].view(np.int64))
+    return {(r[0], r[1]): fresh(*r) for r in others}
+
+
+def _renamed(rows: DataFrame, clashes: dict) -> DataFrame:
+    """``node`` of rows with (node, check) after ``_clashes``; those are few by ``MAX_CLASHES``."""
+    if not clashes:
+        return rows.drop("check")
+    fresh = rows.sparkSession.createDataFrame([(*k, v) for k, v in clashes.items()], "node long, check long, fresh long")
+    return rows.join(F.broadcast(fresh), ["node", "check"], "left").withColumn("node", F.coalesce("fresh", "node")).drop("check", "fresh")
+
+
+def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, hash_bits: int = 64) -> DataFrame:
     """(id, n_shingles, component_id, class_node, key) of each row. ``component_id`` is the smallest id that links reach; ``class_node``
     names the class (null without shingles), ``key`` is a hash of id and text."""
     spark = documents.sparkSession
     docs = id_and_text(documents, id_col, text_col).withColumn("_key", F.xxhash64("_id", "_text"))
     full = docs.filter("_text is not null")
-    profile = materialize(docs.mapInArrow(_profile(words), PROFILE))
-    rows = profile.filter("kind = 0").select(F.col("x").alias("_id"), F.col("y").alias("_key"), "n", "node")
-    nodes = profile.filter("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct(F.col("x").alias("_id"), F.col("y").alias("_key"))).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fixed").alias("fixed"))
-    nodes = materialize(nodes)
+    profile = materialize(docs.mapInArrow(_profile(words, hash_bits), PROFILE))
+    sets = profile.filter("kind = 0 and n > 0").groupBy("node", "check").agg(F.min(F.struct(F.col("x").alias("_id"), F.col("y").alias("_key"))).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = materialize(sets)
+    clashes = _clashes(sets, hash_bits)
+    nodes = _renamed(sets, clashes)
+    rows = profile.filter("kind = 0").select(F.col("x").alias("_id"), F.col("y").alias("_key"), "n", "node", "check")
 
     sizes = {r[0]: r[1] for r in rows.filter(f"n between 1 and {2 * MAX_BOUNDARY}").groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, percent)
     common = profile.filter("kind = 1").groupBy("x").agg(F.sum("y").alias("y")).filter(f"y >= {COMMON_FROM}").orderBy(F.desc("y"), "x").limit(COMMON).toArrow()
     common = spark.sparkContext.broadcast(_Common(common["x"].to_numpy().view(np.uint64), common["y"].to_numpy()))
+    shared = spark.sparkContext.broadcast(clashes)
 
-    small = materialize(full.mapInArrow(_subsets(words, percent, boundary), "key long, size int, n int, node long").distinct())
-    heads = small.groupBy("key").agg(F.min(F.struct("n", "node")).alias("head"), F.count("*").alias("c")).filter("c > 1")
-    exact = small.join(heads, "key").filter(f"head.node != node and {100 + percent} * size >= {percent} * (n + head.n)").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+    small = materialize(full.mapInArrow(_subsets(words, percent, boundary, hash_bits, shared), "key long, key2 long, size int, n int, node long").distinct())
+    heads = small.groupBy("key", "key2").agg(F.min(F.struct("n", "node")).alias("head"), F.count("*").alias("c")).filter("c > 1")
+    exact = small.join(heads, ["key", "key2"]).filter(f"head.node != node and {100 + percent} * size >= {percent} * (n + head.n)").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
 
-    asked = full.mapInArrow(_lists(words, percent, boundary, common), LISTS)
-    met = asked.filter("kind < 2").select("kind", "h", "node", "n").repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_meet, MEMBERS)
-    members = materialize(asked.filter("kind > 0").select("h", "node", "n", "pivot").unionByName(met))
+    asked = full.mapInArrow(_lists(words, percent, boundary, common, hash_bits, shared), LISTS)
+    met = asked.filter("kind < 2").select("kind", "h", "node", "n", "pos").repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_meet, MEMBERS)
+    members = materialize(asked.filter("kind > 0").select("h", "node", "n", "pos", "pivot").unionByName(met))
+    texts = _texts(docs, nodes, members.select("node").distinct())
     stars = members.filter("pivot != node").groupBy("node", "pivot").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("best"))
-    stars = stars.select(F.least("best.pivot", "node").alias("a"), F.greatest("best.pivot", "node").alias("b")).distinct()
-
-    tried = materialize(stars)
-    links = materialize(_linked(docs, nodes, tried, words, percent).unionByName(exact))
+    tried = materialize(stars.select(F.least("best.pivot", "node").alias("a"), F.greatest("best.pivot", "node").alias("b")).distinct())
+    links = materialize(_linked(texts, nodes, tried, words, percent).unionByName(exact))
     labels = connected_components(links)
 
-    # lists whose members are in several classes still
-    placed = members.select("h", "node", "n").join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    # the lists whose members are in several classes still
+    placed = members.select("h", "node", "n", "pos").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
-    apart = materialize(placed.join(mixed, "h").select("h", "node", "n").distinct())
-    fits = lambda x, y: (percent * x <= 100 * y) & (percent * y <= 100 * x)
+    apart = materialize(placed.join(mixed, "h").select("h", "node", "n", "pos").distinct())
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    while True:
+
+    def may_link(x: str, y: str):
+        """Sizes fit, and both sets have room for enough shared shingles from this one on."""
+        n, m, i, j = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
+        return (percent * n <= 100 * m) & (percent * m <= 100 * n) & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
+
+    for _ in range(ROUNDS):
         # one member of each class against the list's first: merges what belongs together with few comparisons
-        placed = apart.join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        heads = placed.groupBy("h", "comp").agg(F.min(F.struct("n", "node")).alias("x"))
-        firsts = heads.groupBy("h").agg(F.min(F.struct("x.n", "x.node", "comp")).alias("f"))
-        meet = heads.join(firsts, "h").filter((F.col("comp") != F.col("f.comp")) & fits(F.col("x.n"), F.col("f.n")))
+        placed = apart.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        heads = placed.groupBy("h", "comp").agg(F.min(F.struct("n", "node", "pos")).alias("x"))
+        firsts = heads.groupBy("h").agg(F.min(F.struct("x.n", "x.node", "x.pos", "comp")).alias("f"))
+        meet = lookup(heads, "h", firsts, like=apart).filter((F.col("comp") != F.col("f.comp")) & may_link("x", "f"))
         some = meet.select(*pair("comp", "f.comp"), F.struct(*[c.alias(n) for c, n in zip(pair("x.node", "f.node"), "pq", strict=True)]).alias("m"))
         some = some.groupBy("a", "b").agg(F.min("m").alias("m")).select(F.col("m.p").alias("a"), F.col("m.q").alias("b")).distinct()
         some = materialize(some.join(tried, ["a", "b"], "left_anti"))
         if not some.limit(1).count():
             break
         tried = materialize(tried.unionByName(some))
-        more = materialize(_linked(docs, nodes, some, words, percent))
+        more = materialize(_linked(texts, nodes, some, words, percent))
         if not more.limit(1).count():
             break
-        links = materialize(links.unionByName(more))
-        labels = connected_components(links)
+        labels = merged(labels, more)
 
-    # whatever is left in different classes is compared exactly, list by list; of a list whose members are in one
-    # class nothing is, and the join itself leaves out sets that their fixed sketches show to be too far apart
-    placed = apart.join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    # whatever is left in different classes is compared exactly, list by list, wherever there is room for a link
+    placed = apart.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
-    placed = placed.join(mixed, "h").join(nodes.select("node", "fixed"), "node")
-    apart_by = F.aggregate(F.zip_with("one.fixed", "two.fixed", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    may_link = (100 + percent) * apart_by <= (100 - percent) * (F.col("one.n") + F.col("two.n"))
+    placed = placed.join(mixed, "h")
     one, two = placed.alias("one"), placed.alias("two")
-    rest = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.comp") < F.col("two.comp")) & fits(F.col("one.n"), F.col("two.n")) & may_link)
+    rest = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.comp") < F.col("two.comp")) & may_link("one", "two"))
     rest = materialize(rest.select(*pair("one.node", "two.node")).distinct().join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        more = materialize(_linked(docs, nodes, rest, words, percent))
-        if more.limit(1).count():
-            labels = connected_components(links.unionByName(more))
+        labels = merged(labels, _linked(texts, nodes, rest, words, percent))
 
     own = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.col("first._id").alias("least"))
     class_id = own.groupBy("comp").agg(F.min("least").alias("component"))
-    verdict = own.join(class_id, "comp").select("node", "component", "comp")
-    # rows of one node are dealt by node and a salt, as a node can have a third of all rows
-    salts = 16
-    salted = verdict.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, ["node", "_salt"], "left")
-    alone = F.col("n") == 0
-    return out.select(
+    verdict = materialize(lookup(own, "comp", class_id, like=labels).select("node", "component", "comp"))
+    discard(members, texts, tried, links, apart, rest, small)
+    # a node can have a third of all rows; rows without shingles have none
+    full_rows = lookup(_renamed(rows.filter("n > 0"), clashes), "node", verdict, like=rows.filter("n > 0"))
+    empty = rows.filter("n = 0").select("_id", "_key", "n", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("comp"))
+    return full_rows.select("_id", "_key", "n", "component", "comp").unionByName(empty).select(
         public_id().alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
-        F.when(alone, public_id()).otherwise(public_id("component")).alias("component_id"),
-        F.when(~alone, F.col("comp")).alias("class_node"),
+        F.when(F.col("n") == 0, public_id()).otherwise(public_id("component")).alias("component_id"),
+        F.col("comp").alias("class_node"),
         F.col("_key").alias("key"),
     )
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of nodes that link: first by sketches, which lose none, then exactly by the texts that are still
-    needed; the others are left out before anything is shuffled."""
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, _text) of the wanted nodes, by one scan of the documents; the others are left out before anything is shuffled."""
+    need = materialize(nodes.join(wanted, "node").select("node", F.col("first._id").alias("_id"), F.col("first._key").alias("_key")))
+    found = _maybe(docs.filter("_text is not null").select("_id", "_key", "_text"), need, "_key")
+    texts = materialize(found.join(need, ["_key", "_id"]).select("node", "_text").dropDuplicates(["node"]))
+    discard(need)
+    return texts
+
+
+def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows (with texts) whose key is among the wanted, and some others, by a Bloom filter of fixed size; no shuffle."""
+    bloom = rows.sparkSession.sparkContext.broadcast(_bloom(wanted, key))
+    bits = [F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.lit(1 << BLOOM_BITS)).alias(f"_b{k}") for k in range(3)]
+    return rows.select(*rows.columns, *bits).mapInArrow(_in_bloom(bloom, key, rows.columns), rows.schema)
+
+
+def _linked(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs of nodes that link: first by sketches, which lose none, then exactly by their texts."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(percent), "a long, b long")
-    pairs = materialize(near)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = materialize(nodes.join(ends, "node").select("node", F.col("first._id").alias("_id"), F.col("first._key").alias("_key")))
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(need, "_key"))
-    bits = [F.pmod(F.xxhash64(F.col("_key"), F.lit(k)), F.lit(1 << BLOOM_BITS)).alias(f"_b{k}") for k in range(3)]
-    texts = docs.filter("_text is not null").select("_id", "_key", "_text", *bits).mapInArrow(_in_bloom(bloom), "_id long, _key long, _text string")
-    texts = materialize(texts.join(need, ["_key", "_id"]).select("node", "_text").dropDuplicates(["node"]))
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), "b")
+    near = materialize(lookup(lookup(pairs, "a", side("a")), "b", side("b"), like=pairs).mapInArrow(_near(percent), "a long, b long"))
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    some = _maybe(texts, ends, "node")
+    with_a = lookup(near, "a", some.select(F.col("node").alias("a"), F.col("_text").alias("text_a")))
+    both = lookup(with_a, "b", some.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), like=near)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long")
