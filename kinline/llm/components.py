@@ -7,6 +7,8 @@ the next round among far fewer nodes; at the end the rounds' pointers are follow
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +19,17 @@ LEAST_HOT = 500  # rows that no key is hot with
 SALTS = 64
 
 
-def hot_keys(rows: DataFrame, key: str) -> list:
-    """The ``MOST_HOT`` keys with the most rows, of those with over ``LEAST_HOT``; any other has less than 1 / ``MOST_HOT`` of all rows."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNotNull() & (F.col("n") > LEAST_HOT))
-    return [r[0] for r in counts.orderBy(F.desc("n"), key).limit(MOST_HOT).collect()]
-
+def hot_keys(rows: DataFrame, *keys: str) -> dict[str, list]:
+    """Of each column of longs the ``MOST_HOT`` values with the most rows, of those with over ``LEAST_HOT``; any other
+    has less than 1 / ``MOST_HOT`` of all rows."""
+    one = lambda k: rows.filter(F.col(k).isNotNull()).groupBy(F.lit(k).alias("key"), F.col(k).alias("v")).agg(F.count("*").alias("n")).filter(F.col("n") > LEAST_HOT).orderBy(F.desc("n"), "v").limit(MOST_HOT)
+    found = reduce(DataFrame.unionByName, map(one, keys)).collect()
+    return {k: [r["v"] for r in found if r["key"] == k] for k in keys}
 
-def lookup(rows: DataFrame, key: str, values: DataFrame, how: str = "inner", like: DataFrame | None = None) -> DataFrame:
-    """``rows`` joined with ``values``, in which ``key`` is unique. Rows of hot keys are dealt to ``SALTS`` places each by
-    a hash of their other columns, and the few rows of ``values`` that they look up are sent to all of these.
 
-    Hot keys are counted in ``like`` (``rows`` if there is none): a table that is cheaper to read and has the keys.
-    """
-    hot = hot_keys(rows if like is None else like, key)
+def lookup(rows: DataFrame, key: str, values: DataFrame, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """``rows`` joined with ``values``, in which ``key`` is unique. Rows of ``hot`` keys are dealt to ``SALTS`` places each by
+    a hash of their other columns, and the few rows of ``values`` that they look up are sent to all of these."""
     if not hot:
         return rows.join(values, key, how)
     is_hot = F.col(key).isin(hot)
@@ -44,7 +44,7 @@ def _ends(up: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = up
     while True:
         above = up.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        after = materialize(lookup(up, "up", above).select("node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")))
+        after = materialize(lookup(up, "up", above, hot=hot_keys(up, "up")["up"]).select("node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")))
         up = after.select("node", "up")
         moved = after.filter("moved").limit(1).count()
         discard(before)
@@ -63,8 +63,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         up, table = _ends(materialize(near.groupBy("node").agg(F.least("node", F.min("other")).alias("up"))))
         rounds.append(up)
         tables += [table, left]
-        ends = lookup(left, "a", up.select(F.col("node").alias("a"), F.col("up").alias("x"))).select("b", "x")
-        ends = lookup(ends, "b", up.select(F.col("node").alias("b"), F.col("up").alias("y")), like=left)
+        hot = hot_keys(left, "a", "b")
+        ends = lookup(left, "a", up.select(F.col("node").alias("a"), F.col("up").alias("x")), hot=hot["a"])
+        ends = lookup(ends, "b", up.select(F.col("node").alias("b"), F.col("up").alias("y")), hot=hot["b"])
         left = materialize(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if not left.limit(1).count():
             break
@@ -72,7 +73,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         raise RuntimeError("components didn't settle")
     comp = rounds[0].withColumnRenamed("up", "comp")
     for up in rounds[1:]:
-        comp = lookup(comp, "comp", up.select(F.col("node").alias("comp"), F.col("up").alias("root")), "left").select("node", F.coalesce("root", "comp").alias("comp"))
+        comp = lookup(comp, "comp", up.select(F.col("node").alias("comp"), F.col("up").alias("root")), "left", hot_keys(comp, "comp")["comp"]).select("node", F.coalesce("root", "comp").alias("comp"))
     comp = materialize(comp)
     discard(*tables, left)
     return comp
@@ -82,8 +83,10 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """``labels`` (node, comp) after more edges between nodes: only edges between components are worked on."""
     edges = materialize(edges)
     of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
-    between = lookup(lookup(edges.select("a", "b"), "a", of("a"), "left"), "b", of("b"), "left", like=edges)
+    hot = hot_keys(edges, "a", "b")
+    between = lookup(lookup(edges.select("a", "b"), "a", of("a"), "left", hot["a"]), "b", of("b"), "left", hot["b"])
     between = materialize(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b"))
     moved = connected_components(between).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
     fresh = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))
-    return materialize(lookup(labels.unionByName(fresh), "comp", moved, "left").select("node", F.coalesce("root", "comp").alias("comp")))
+    labels = labels.unionByName(fresh)
+    return materialize(lookup(labels, "comp", moved, "left", hot_keys(labels, "comp")["comp"]).select("node", F.coalesce("root", "comp").alias("comp")))

@@ -7,8 +7,9 @@ Two sets link when 100 * |A and B| >= 80 * |A or B| (the percentage is a paramet
   a subset S, whatever links by way of S also links with the smallest of them, so that one's star is enough:
   no pairs, and no verification.
 * *Large sets* scan inverted lists. In one global order of shingles, rare before common, two linked sets
-  share one of their first n - ceil(0.8 n) + 1. Each set is first compared with one pivot, the smallest member
-  of most of its lists; then, for a few rounds, one member of each class with the first of each list that has
+  share one of their first n - ceil(0.8 n) + 1. Each set is first compared with one pivot, the first member
+  of most of its lists, lists being ordered by the place of the shingle in the set: of near copies the one with
+  the fewest shingles of its own comes first, which is the one that most others link with. Then, for a few rounds, one member of each class with the first of each list that has
   several classes. What is still in different classes meets list by list, but only where the places of the
   shared shingle in both sets leave room for enough others after it; a linked pair always has that room at the
   first shingle that it shares. That leaves few pairs that don't link, and loses none that does.
@@ -17,8 +18,8 @@ Two sets link when 100 * |A and B| >= 80 * |A or B| (the percentage is a paramet
 Equal sets count as one node from the start. A node is known by 64 bits of hash; sets whose 64 bits are equal
 but whose next 64 differ get nodes of their own, so that two sets are one only if 128 bits agree. Tasks settle
 their own lists first and send one row for each list, so a shingle in a third of all documents sends one row
-for each task. The list of common shingles is a bounded sketch that only orders shingles; any order gives the
-same links. Texts are read four times in all, whatever the number of comparisons: for the profile, the subsets, the
+for each task. The order of shingles is by a sketch of fixed size that counts all shingles of the input; any
+order gives the same links. Texts are read four times in all, whatever the number of comparisons: for the profile, the subsets, the
 lists, and to lay aside the texts of sets that have company. Before those are compared, parity sketches of about
 one bit for each shingle rule out pairs that are too far apart; they never rule out a link.
 
@@ -39,15 +40,14 @@ from pyspark.sql import functions as F
 
 from kinline.llm import kernels as K
 from kinline.llm.common import batch_of, discard, id_and_text, materialize, numpy, public_id, signed
-from kinline.llm.components import connected_components, lookup, merged
+from kinline.llm.components import connected_components, hot_keys, lookup, merged
 
 FLUSH = 1_000_000
+BUCKETS, CHUNK = 22, 16  # bits of the sketch of shingle counts, and of one row of it
 SEEN = 500_000  # nodes that a task remembers to pass over equal sets
-COMMON = 1 << 17  # shingles at most that are known to be common
-COMMON_FROM = 8  # copies within the blocks of the tasks that counted them
 MAX_BOUNDARY = 16
 BLOOM_BITS = 26
-ROUNDS = 3  # of comparing one member of each class with the first of each list; what they leave is compared exactly
+ROUNDS = 2  # of comparing one member of each class with the first of each list; what they leave is compared exactly
 MAX_CLASHES = 1_000_000  # sets at most that share 64 bits of hash with another (some 300 expected among 10**11)
 
 
@@ -107,18 +107,21 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 PROFILE = "kind byte, x long, y long, n int, node long, check long, sketch binary"
 
 
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(64 - BUCKETS)).astype(np.int64)
+
+
 def _profile(words: int, bits: int):
-    """Kind 0: (id, key, set size, node) of each row. Kind 1: (shingle, copies) among the different sets of a block."""
+    """Kind 0: (id, key, set size, node) of each row. Kind 1: counts of the shingles of the task's different sets, by bucket, in rows of 2**CHUNK buckets."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         held, n_held = [], 0
+        counts = np.zeros(1 << BUCKETS, np.uint32)
 
-        def common():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            u, c = u[c >= 3], c[c >= 3]
-            z = np.zeros(len(u), np.int64)
-            return batch_of(kind=z.astype(np.int8) + np.int8(1), x=signed(u), y=c.astype(np.int64), n=z.astype(np.int32), node=z, check=z, sketch=pa.nulls(len(u), pa.binary()))
+        def add():
+            u, c = np.unique(_bucket(np.concatenate(held)), return_counts=True)
+            counts[u] += c.astype(np.uint32)
 
         for batch in batches:
             ids, keys = numpy(batch, "_id"), numpy(batch, "_key")
@@ -136,48 +139,67 @@ def _profile(words: int, bits: int):
                 at = slice(b.first_row, b.first_row + b.rows)
                 yield batch_of(kind=np.zeros(b.rows, np.int8), x=ids[at], y=keys[at], n=n, node=node, check=check, sketch=pa.array(sketches, pa.binary()))
                 if n_held >= FLUSH:
-                    yield common()
+                    add()
                     held, n_held = [], 0
         if held:
-            yield common()
+            add()
+        rows = [(i, _pack_counts(part)) for i, part in enumerate(counts.reshape(-1, 1 << CHUNK)) if part.any()]
+        if rows:
+            z = np.zeros(len(rows), np.int64)
+            yield batch_of(kind=np.ones(len(rows), np.int8), x=np.array([i for i, _ in rows], np.int64), y=z, n=z.astype(np.int32), node=z, check=z, sketch=pa.array([r for _, r in rows], pa.binary()))
 
     return run
 
 
+def _pack_counts(part: np.ndarray) -> bytes:
+    """Counts of up to 255 for each bucket; only those that aren't 0, with their places, where that is shorter."""
+    at = np.flatnonzero(part)
+    few = np.minimum(part[at], 255).astype(np.uint8)
+    if 3 * len(at) < len(part):
+        return b"s" + at.astype("<u2").tobytes() + few.tobytes()
+    return b"d" + np.minimum(part, 255).astype(np.uint8).tobytes()
+
+
+def _unpack_counts(row: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if row[:1] == b"d":
+        return np.arange(1 << CHUNK), np.frombuffer(row, np.uint8, offset=1)
+    n = (len(row) - 1) // 3
+    return np.frombuffer(row, "<u2", n, 1).astype(np.int64), np.frombuffer(row, np.uint8, n, 1 + 2 * n)
+
+
+def _add_counts(batches):
+    """(chunk, levels): sums of a chunk's counts over all tasks, as 16-bit logarithms."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, row in zip(batch.column("x").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+            at, n = _unpack_counts(row)
+            np.add.at(sums.setdefault(i, np.zeros(1 << CHUNK, np.int64)), at, n)
+    for i, n in sums.items():
+        yield batch_of(chunk=np.array([i], np.int64), levels=pa.array([np.floor(256 * np.log2(1 + n)).astype("<u2").tobytes()], pa.binary()))
+
+
+def shingle_levels(profile: DataFrame) -> np.ndarray:
+    """How common the shingles of each of 2**BUCKETS buckets are: 8 MB, whatever the input's size."""
+    out = np.zeros((1 << (BUCKETS - CHUNK), 1 << CHUNK), np.uint16)
+    for r in profile.filter("kind = 1").select("x", "sketch").repartition("x").mapInArrow(_add_counts, "chunk long, levels binary").collect():  # 64 rows at most
+        out[r["chunk"]] = np.frombuffer(r["levels"], "<u2")
+    return out.ravel()
+
+
 LISTS = "kind byte, h long, node long, n int, pos int, pivot long"
 MEMBERS = "h long, node long, n int, pos int, pivot long"
 
 
-class _Common:
-    """Place of a common shingle in the global order; the others come before all of them."""
-
-    def __init__(self, shingles: np.ndarray, copies: np.ndarray):
-        by_count = np.lexsort((shingles, copies))
-        rank = np.empty(len(shingles), np.int64)
-        rank[by_count] = np.arange(len(shingles))
-        order = np.argsort(shingles)
-        self.shingles, self.rank = shingles[order], rank[order]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[shingles & np.uint64((1 << 22) - 1)] = True
-
-    def prefix(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The first n of a sorted set in the global order."""
-        at = np.flatnonzero(self.maybe[x & np.uint64((1 << 22) - 1)])
-        if len(at):
-            place = np.minimum(np.searchsorted(self.shingles, x[at]), len(self.shingles) - 1)
-            hit = self.shingles[place] == x[at]
-            at, place = at[hit], place[hit]
-        if not len(at):
-            return x[:n]
-        rest = np.delete(x, at)[:n]
-        return rest if len(rest) == n else np.concatenate((rest, x[at[np.argsort(self.rank[place])][: n - len(rest)]]))
-
-
-def _lists(words: int, percent: int, boundary: int, common, bits: int, clashes):
+def prefix(x: np.ndarray, n: int, levels: np.ndarray) -> np.ndarray:
+    """The first n of a sorted set in the global order: by level of the bucket, then by hash."""
+    return x[np.argsort(levels[_bucket(x)], kind="stable")[:n]]
+
+
+def _lists(words: int, percent: int, boundary: int, levels, bits: int, clashes):
     """Prefix shingles of large sets, settled within the task: kind 0 asks, 1 asks and has company, 2 has a pivot already."""
 
     def settle(h, node, n, pos):
-        order = np.lexsort((node, n, h))
+        order = np.lexsort((node, n, pos, h))
         h, node, n, pos = h[order], node[order], n[order], pos[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
@@ -190,7 +212,7 @@ def _lists(words: int, percent: int, boundary: int, common, bits: int, clashes):
             yield batch_of(kind=kind[s], h=signed(h[s]), node=node[s], n=n[s], pos=pos[s], pivot=pivot[s])
 
     def run(batches):
-        order, clash = common.value, clashes.value
+        order, clash = levels.value, clashes.value
         seen: set[int] = set()
         parts, total = [], 0
         for batch in batches:
@@ -205,7 +227,7 @@ def _lists(words: int, percent: int, boundary: int, common, bits: int, clashes):
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
-                    p = order.prefix(x, size - least_overlap(size, percent) + 1)
+                    p = prefix(x, size - least_overlap(size, percent) + 1, order)
                     parts.append((p, np.full(len(p), node), np.full(len(p), size, np.int32), np.arange(len(p), dtype=np.int32)))
                     total += len(p)
                 if total >= FLUSH:
@@ -218,7 +240,7 @@ def _lists(words: int, percent: int, boundary: int, common, bits: int, clashes):
 
 
 def _meet(batches):
-    """Of lists sorted by shingle, set size and node: members of those with company, each with the list's first as its pivot."""
+    """Of lists sorted by shingle, its place in the set, set size and node: members of those with company, each with the list's first as its pivot."""
     head = None  # of the last list: its first row, and whether that has been said to have company
     row = lambda x, at: batch_of(**{c: np.atleast_1d(x[c][at]) for c in ("h", "node", "n", "pos", "pivot")})
     for batch in batches:
@@ -388,8 +410,7 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     sizes = {r[0]: r[1] for r in rows.filter(f"n between 1 and {2 * MAX_BOUNDARY}").groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, percent)
-    common = profile.filter("kind = 1").groupBy("x").agg(F.sum("y").alias("y")).filter(f"y >= {COMMON_FROM}").orderBy(F.desc("y"), "x").limit(COMMON).toArrow()
-    common = spark.sparkContext.broadcast(_Common(common["x"].to_numpy().view(np.uint64), common["y"].to_numpy()))
+    common = spark.sparkContext.broadcast(shingle_levels(profile))
     shared = spark.sparkContext.broadcast(clashes)
 
     small = materialize(full.mapInArrow(_subsets(words, percent, boundary, hash_bits, shared), "key long, key2 long, size int, n int, node long").distinct())
@@ -397,7 +418,7 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     exact = small.join(heads, ["key", "key2"]).filter(f"head.node != node and {100 + percent} * size >= {percent} * (n + head.n)").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
 
     asked = full.mapInArrow(_lists(words, percent, boundary, common, hash_bits, shared), LISTS)
-    met = asked.filter("kind < 2").select("kind", "h", "node", "n", "pos").repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_meet, MEMBERS)
+    met = asked.filter("kind < 2").select("kind", "h", "node", "n", "pos").repartition("h").sortWithinPartitions("h", "pos", "n", "node").mapInArrow(_meet, MEMBERS)
     members = materialize(asked.filter("kind > 0").select("h", "node", "n", "pos", "pivot").unionByName(met))
     texts = _texts(docs, nodes, members.select("node").distinct())
     stars = members.filter("pivot != node").groupBy("node", "pivot").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("best"))
@@ -419,9 +440,9 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     for _ in range(ROUNDS):
         # one member of each class against the list's first: merges what belongs together with few comparisons
         placed = apart.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        heads = placed.groupBy("h", "comp").agg(F.min(F.struct("n", "node", "pos")).alias("x"))
-        firsts = heads.groupBy("h").agg(F.min(F.struct("x.n", "x.node", "x.pos", "comp")).alias("f"))
-        meet = lookup(heads, "h", firsts, like=apart).filter((F.col("comp") != F.col("f.comp")) & may_link("x", "f"))
+        heads = placed.groupBy("h", "comp").agg(F.min(F.struct("pos", "n", "node")).alias("x"))
+        firsts = heads.groupBy("h").agg(F.min(F.struct("x.pos", "x.n", "x.node", "comp")).alias("f"))
+        meet = lookup(heads, "h", firsts, hot=hot_keys(apart, "h")["h"]).filter((F.col("comp") != F.col("f.comp")) & may_link("x", "f"))
         some = meet.select(*pair("comp", "f.comp"), F.struct(*[c.alias(n) for c, n in zip(pair("x.node", "f.node"), "pq", strict=True)]).alias("m"))
         some = some.groupBy("a", "b").agg(F.min("m").alias("m")).select(F.col("m.p").alias("a"), F.col("m.q").alias("b")).distinct()
         some = materialize(some.join(tried, ["a", "b"], "left_anti"))
@@ -445,10 +466,10 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     own = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.col("first._id").alias("least"))
     class_id = own.groupBy("comp").agg(F.min("least").alias("component"))
-    verdict = materialize(lookup(own, "comp", class_id, like=labels).select("node", "component", "comp"))
+    verdict = materialize(lookup(own, "comp", class_id, hot=hot_keys(labels, "comp")["comp"]).select("node", "component", "comp"))
     discard(members, texts, tried, links, apart, rest, small)
     # a node can have a third of all rows; rows without shingles have none
-    full_rows = lookup(_renamed(rows.filter("n > 0"), clashes), "node", verdict, like=rows.filter("n > 0"))
+    full_rows = lookup(_renamed(rows.filter("n > 0"), clashes), "node", verdict, hot=hot_keys(rows.filter("n > 0"), "node")["node"])
     empty = rows.filter("n = 0").select("_id", "_key", "n", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("comp"))
     return full_rows.select("_id", "_key", "n", "component", "comp").unionByName(empty).select(
         public_id().alias(id_col),
@@ -478,9 +499,11 @@ def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 def _linked(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs of nodes that link: first by sketches, which lose none, then exactly by their texts."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    near = materialize(lookup(lookup(pairs, "a", side("a")), "b", side("b"), like=pairs).mapInArrow(_near(percent), "a long, b long"))
+    hot = hot_keys(pairs, "a", "b")
+    near = materialize(lookup(lookup(pairs, "a", side("a"), hot=hot["a"]), "b", side("b"), hot=hot["b"]).mapInArrow(_near(percent), "a long, b long"))
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     some = _maybe(texts, ends, "node")
-    with_a = lookup(near, "a", some.select(F.col("node").alias("a"), F.col("_text").alias("text_a")))
-    both = lookup(with_a, "b", some.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), like=near)
+    hot = hot_keys(near, "a", "b")
+    with_a = lookup(near, "a", some.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), hot=hot["a"])
+    both = lookup(with_a, "b", some.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), hot=hot["b"])
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long")
