@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from kinline.operators.keyed_pass import CAND, S1
 
 
-def combine(passes: list[tuple[DataFrame, int]]) -> DataFrame:
-    """(s1, candidate, pass_mask): each pair once, with the bits of the passes that found it."""
-    out = None
-    for df, bit in passes:
-        part = df.select(S1, CAND, F.lit(bit).alias("bit"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(S1, CAND).agg(F.bit_or("bit").cast("int").alias("pass_mask"))
+def combine(found: DataFrame) -> DataFrame:
+    """(s1, candidate, pass_mask) of rows (s1, candidate, bit): each pair once, with the bits of the passes that found it."""
+    return found.groupBy(S1, CAND).agg(F.bit_or("bit").cast("int").alias("pass_mask"))
 
 
 def mask_names(mask: Column, bits: dict[str, int]) -> Column:

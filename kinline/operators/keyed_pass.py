@@ -1,4 +1,10 @@
-"""The generic blocking join: two sources meet on keys that few targets share, and each anchor keeps its best."""
+"""The generic blocking join: sources meet on keys that few targets share, and each anchor keeps its best.
+
+Any number of passes runs as one join. Keys of all passes are exploded together, with the number of the pass
+and of the key as parts of the join key, so a table is read and normalised once, and what grows with the
+number of passes is the rows of one shuffle, not the number of shuffles. Guards and caps hold for each pass and
+each target source by itself.
+"""
 
 from __future__ import annotations
 
@@ -33,39 +39,60 @@ class Pass:
     valid: str = field(default="true")  # rows of either side that take part
 
 
-def _exploded(df: DataFrame, key: Column, id_as: str, distinct: bool) -> DataFrame:
-    key = F.array_distinct(key) if distinct else key
-    return df.select(F.col("entity_id").alias(id_as), F.explode(key).alias("k")).filter("k != ''")
+def _exploded(df: DataFrame, passes: list[Pass], side: str, id_as: str, extra: list[str]) -> DataFrame:
+    """(id, p, j, k): every key of every pass; ``p`` is the pass's place, ``j`` the key's."""
 
+    def of(i: int, j: int, p: Pass, key: Key) -> Column:
+        own = F.array_distinct(getattr(key, side)()) if p.distinct else getattr(key, side)()
+        own = own if p.valid == "true" else F.when(F.expr(p.valid), own).otherwise(F.array().cast("array<string>"))
+        return F.transform(own, lambda k: F.struct(F.lit(i).alias("p"), F.lit(j).alias("j"), k.alias("k")))
 
-def shared_keys(left: DataFrame, right: DataFrame, key: Key, distinct: bool = False) -> DataFrame:
-    """(s1, candidate, k) for every shared key that at most ``max_df`` target rows have.
+    keys = [of(i, j, p, key) for i, p in enumerate(passes) for j, key in enumerate(p.keys)]
+    rows = df.select(F.col("entity_id").alias(id_as), *extra, F.explode(F.concat(*keys)).alias("x"))
+    return rows.select(id_as, *extra, "x.p", "x.j", "x.k").filter("k != ''")
+
+
+def _by_key(passes: list[Pass], value: Callable[[Pass, Key], int | None]) -> Column:
+    """A number of each (p, j), as one expression of constants."""
+    out = None
+    for i, p in enumerate(passes):
+        for j, key in enumerate(p.keys):
+            this = (F.col("p") == i) & (F.col("j") == j)
+            out = F.when(this, F.lit(value(p, key)).cast("long")) if out is None else out.when(this, F.lit(value(p, key)).cast("long"))
+    return out
 
-    The guard is applied before the join, so no key fans out by more than ``max_df``; target rows whose key no
-    anchor has are left out first.
-    """
-    a, b = _exploded(left, key.left(), S1, distinct), _exploded(right, key.right(), CAND, distinct)
-    frequency = b.groupBy("k").count().filter(F.col("count") <= key.max_df).select("k")
-    wanted = frequency.join(a.select("k").distinct(), "k", "left_semi")
-    b = b.join(wanted, "k")
-    if key.posting_cap:
-        place = F.row_number().over(Window.partitionBy("k").orderBy(CAND))
-        b = b.withColumn("place", place).filter(F.col("place") <= key.posting_cap).drop("place")
-    return a.join(b, "k").select(S1, CAND, "k")
 
+def _by_pass(passes: list[Pass], value: Callable[[Pass], int]) -> Column:
+    return F.element_at(F.array(*[F.lit(value(p)) for p in passes]), F.col("p") + 1)
 
-def ranked(pairs: DataFrame, cap: int, by_score: bool) -> DataFrame:
-    order = [F.desc("score"), F.asc(CAND)] if by_score else [F.asc(CAND)]
-    out = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(S1).orderBy(*order)).cast("int"))
-    return out.filter(F.col("rank") <= cap)
+
+def shared_keys(left: DataFrame, right: DataFrame, passes: list[Pass]) -> DataFrame:
+    """(s1, candidate, source, p, j) for every shared key that at most its guard's number of a source's rows have.
+
+    The guard is applied before the join, so no key fans out by more than it; target rows whose key no anchor has
+    are left out first. Frequencies are added up within each task before they are shuffled.
+    """
+    a = _exploded(left, passes, "left", S1, [])
+    b = _exploded(right, passes, "right", CAND, ["source"])
+    frequency = b.groupBy("source", "p", "j", "k").count().filter(F.col("count") <= _by_key(passes, lambda p, key: key.max_df)).select("source", "p", "j", "k")
+    wanted = frequency.join(a.select("p", "j", "k").distinct(), ["p", "j", "k"], "left_semi")
+    b = b.join(wanted, ["source", "p", "j", "k"])
+    if any(key.posting_cap for p in passes for key in p.keys):
+        place = F.row_number().over(Window.partitionBy("source", "p", "j", "k").orderBy(CAND))
+        most = _by_key(passes, lambda p, key: key.posting_cap)
+        b = b.withColumn("place", place).filter(most.isNull() | (F.col("place") <= most)).drop("place")
+    return a.join(b, ["p", "j", "k"]).select(S1, CAND, "source", "p", "j")
+
+
+def keyed_passes(left: DataFrame, right: DataFrame, passes: list[Pass]) -> DataFrame:
+    """(s1_entity_id, candidate_entity_id, source, p, score, rank) of all passes; ``right`` has a column ``source``."""
+    score = shared_keys(left, right, passes).withColumn("w", _by_key(passes, lambda p, key: key.weight))
+    score = score.groupBy(S1, CAND, "source", "p").agg(F.sum("w").cast("long").alias("score")).filter(F.col("score") >= _by_pass(passes, lambda p: p.least_score))
+    best = F.when(_by_pass(passes, lambda p: int(p.by_score)) == 1, -F.col("score")).otherwise(F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(S1, "source", "p").orderBy(best, CAND)).cast("int")
+    return score.withColumn("rank", rank).filter(F.col("rank") <= _by_pass(passes, lambda p: p.cap))
 
 
 def keyed_pass(left: DataFrame, right: DataFrame, p: Pass) -> DataFrame:
-    """(s1_entity_id, candidate_entity_id, score, rank)."""
-    left, right = left.filter(p.valid), right.filter(p.valid)
-    hits = None
-    for key in p.keys:
-        part = shared_keys(left, right, key, p.distinct).withColumn("w", F.lit(key.weight))
-        hits = part if hits is None else hits.unionByName(part)
-    score = hits.groupBy(S1, CAND).agg(F.sum("w").cast("long").alias("score")).filter(F.col("score") >= p.least_score)
-    return ranked(score, p.cap, p.by_score)
+    """(s1_entity_id, candidate_entity_id, score, rank) of one pass; sources of ``right`` are taken as one."""
+    return keyed_passes(left, right.withColumn("source", F.lit(0)), [p]).select(S1, CAND, "score", "rank")

@@ -3,8 +3,9 @@
 A term is a character 3-gram or a word; idf = ln((1+n)/(1+df)) + 1 over both sides (of a partition), terms
 with df < 2 are dropped, rows are scaled to length 1. Terms of a row are ordered rare first; once what is
 left of a row is shorter than the bound, no pair over the bound can meet in it alone, so both sides join on
-the terms before that point only. Frequent terms hence take part in no join, and results are those of the
-full product.
+the terms before that point only: its head. Products of head terms are added up in the join itself, and a pair
+goes on to whole vectors only if they and the length of what is left of a row can reach the bound.
+Frequent terms hence take part in few joins, and results are those of the full product.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from kinline.operators.keyed_pass import CAND, S1
 
+SLACK = 1e-9  # of sums of products, so that rounding loses no pair
+
 
 def char_grams(col: str, n: int = 3) -> Column:
     x = F.regexp_replace(F.lower(F.col(col)), r"\s+", " ")
@@ -35,13 +38,18 @@ def tfidf_join(left: DataFrame, right: DataFrame, terms: Column, min_sim: float,
     weighted = tf.join(idf, ["p", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     vectors = weighted.groupBy("side", "p", "entity_id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    vectors = vectors.withColumn("norm", norm).withColumn("v", F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w")))).drop("norm")
-    # squared length of what is left from each term on
-    left_over = F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: F.aggregate(F.slice("v", i, F.size("v")), F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    head = F.filter(F.zip_with("v", left_over, lambda x, l: F.struct(x["term"].alias("term"), l.alias("l"))), lambda x: x["l"] >= min_sim * min_sim - 1e-9)
-    heads = vectors.select("side", "p", "entity_id", F.explode(F.transform(head, lambda x: x["term"])).alias("term"))
-    a, b = heads.filter("side = 0").select("p", "term", F.col("entity_id").alias(S1)), heads.filter("side = 1").select("p", "term", F.col("entity_id").alias(CAND))
-    pairs = a.join(b, ["p", "term"]).select(S1, CAND).distinct()
+    vectors = vectors.withColumn("norm", norm).withColumn("v", F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))))
+    # the head: terms before the point where what is left is shorter than the bound, in one pass; "rest" is the squared length after it
+    state = F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("n"))
+    least = min_sim * min_sim - SLACK
+    step = lambda a, x: F.when(a["rest"] >= least, F.struct((a["rest"] - x["w"] * x["w"]).alias("rest"), (a["n"] + 1).alias("n"))).otherwise(a)
+    vectors = vectors.withColumn("head", F.aggregate("v", state, step)).select("side", "p", "entity_id", "v", F.slice("v", F.lit(1), F.col("head.n")).alias("h"), F.sqrt(F.greatest(F.col("head.rest"), F.lit(0.0))).alias("rest"))
+    heads = vectors.select("side", "p", "entity_id", "rest", F.explode("h").alias("x")).select("side", "p", "entity_id", "rest", "x.term", "x.w")
+    a = heads.filter("side = 0").select("p", "term", F.col("entity_id").alias(S1), F.col("w").alias("wa"), F.col("rest").alias("ra"))
+    b = heads.filter("side = 1").select("p", "term", F.col("entity_id").alias(CAND), F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    met = a.join(b, ["p", "term"]).groupBy(S1, CAND).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+    # terms are in one order on both sides: if a's head ends first, all terms that either head lacks are in a's rest
+    pairs = met.filter(F.col("dot") + F.greatest("ra", "rb") > min_sim - 1e-6).select(S1, CAND)
     va = vectors.filter("side = 0").select(F.col("entity_id").alias(S1), F.col("v").alias("va"))
     vb = vectors.filter("side = 1").select(F.col("entity_id").alias(CAND), F.map_from_entries("v").alias("vb"))
     dot = F.aggregate("va", F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(F.try_element_at("vb", x["term"]), F.lit(0.0)))

@@ -1,4 +1,4 @@
-"""Blocking passes of all generations between source 1 and source 2, and their unions."""
+"""Blocking passes of all generations between source 1 and the target sources, and their unions."""
 
 from __future__ import annotations
 
@@ -9,25 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinline.operators.combine import combine, mask_names
-from kinline.operators.keyed_pass import CAND, S1, Pass, keyed_pass
+from kinline.operators.keyed_pass import CAND, S1, Pass, keyed_passes
 from kinline.operators.rules import address_tokens_v1
 from kinline.operators.similarity import char_grams, tfidf_join, word_terms
 from kinline.plans import passes as P
 from kinline.queries import sql
 from kinline.queries.registry import ORACLES, QUERIES
-from kinline.sources.entities import entities, split_sources
+from kinline.sources.entities import entities
 
 OUT = "SELECT s1 AS s1_entity_id, c AS candidate_entity_id, score, rank FROM pass"
+TARGETS = ("source = 1", "source = 2")
+TWICE = {1: "", 2: "z"}  # names of the common tables of either target source
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    one, two, _ = split_sources(entities(spark, sf_dir))
-    return one, two
+def _sides(ents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return ents.filter("source = 0"), ents.filter("source > 0")
+
+
+def _by_source(one: Callable[[DataFrame, DataFrame], DataFrame], left: DataFrame, right: DataFrame) -> DataFrame:
+    """What a join gives for each target source by itself."""
+    return reduce(DataFrame.unionByName, [one(left, right.filter(f"source = {s}")) for s in (1, 2)])
 
 
 def _register(name: str, p: Pass, keys: list[tuple[str, str]]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: keyed_pass(*_sides(spark, sf_dir), p)
-    ORACLES[name] = f"WITH {sql.ENT}, {sql.pass_ctes(p, keys)} {OUT}"
+    QUERIES[name] = lambda spark, sf_dir: keyed_passes(*_sides(entities(spark, sf_dir)), [p]).select(S1, CAND, "score", "rank")
+    ctes = ", ".join(sql.pass_ctes(p, keys, f"pass{s}", f"source = {s}") for s in (1, 2))
+    ORACLES[name] = f"WITH {sql.ENT}, {ctes}, pass AS (SELECT * FROM pass1 UNION ALL SELECT * FROM pass2) {OUT}"
 
 
 # Numbers of the passes in the catalogue of each generation.
@@ -44,49 +51,53 @@ for _gen, _specs, _keys in (("b1", P.v1, sql.v1_keys()), ("b2", P.v2, sql.v2_key
 
 
 def _b1_04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return address_tokens_v1(*_sides(spark, sf_dir))
+    return _by_source(address_tokens_v1, *_sides(entities(spark, sf_dir)))
+
+
+def address_ctes(name: str, target: str, max_df: int = 1000, lone_df: int = 50, cap: int = 30) -> str:
+    """CTEs of the pass over address tokens, ending in ``name`` (s1, c, score, rank)."""
+    n = name
+    return f"""{n}l AS (SELECT entity_id AS s1, {sql.numeric()} AS ks FROM ent WHERE source = 0 AND address_norm <> ''
+), {n}lk AS (SELECT s1, len(ks) AS n, unnest(list_distinct(ks)) AS k FROM {n}l
+), {n}r AS (SELECT entity_id AS c, unnest(list_distinct({sql.numeric()})) AS k FROM ent WHERE {target}
+), {n}rk AS (SELECT c, k, count(*) OVER (PARTITION BY k) AS df FROM {n}r
+), {n}h AS (SELECT s1, c, n, max(df) AS df, count(*) AS score FROM {n}lk JOIN {n}rk USING (k) WHERE df <= {max_df} GROUP BY s1, c, n
+), {n}ok AS (SELECT s1, c, score FROM {n}h WHERE (n >= 2 AND score >= 2) OR (n = 1 AND df <= {lone_df})
+), {n} AS (SELECT s1, c, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1 ORDER BY c) AS INTEGER) AS rank FROM {n}ok) WHERE rank <= {cap})"""
 
 
 QUERIES["b1_04_address_token"] = _b1_04
-ORACLES["b1_04_address_token"] = f"""
-WITH {sql.ENT}, l AS (SELECT entity_id AS s1, {sql.numeric()} AS ks FROM ent WHERE source = 0 AND address_norm <> ''
-), lk AS (SELECT s1, len(ks) AS n, unnest(list_distinct(ks)) AS k FROM l
-), r AS (SELECT entity_id AS c, unnest(list_distinct({sql.numeric()})) AS k FROM ent WHERE source = 1
-), rk AS (SELECT c, k, count(*) OVER (PARTITION BY k) AS df FROM r
-), h AS (SELECT s1, c, n, max(df) AS df, count(*) AS score FROM lk JOIN rk USING (k) WHERE df <= 1000 GROUP BY s1, c, n
-), ok AS (SELECT s1, c, score FROM h WHERE (n >= 2 AND score >= 2) OR (n = 1 AND df <= 50)
-)
-SELECT s1 AS s1_entity_id, c AS candidate_entity_id, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1 ORDER BY c) AS INTEGER) AS rank FROM ok) WHERE rank <= 30
-"""
-
-
-def _tfidf_sql(terms: str, min_sim: float, k: int, part: str = "''", max_df: float = 1.0) -> str:
-    return f"""
-WITH {sql.ENT}, v AS (SELECT entity_id, source, {part} AS p, {terms} AS t FROM ent WHERE source < 2 AND name_clean_legal <> ''
-), n AS (SELECT p, count(*) AS n FROM v GROUP BY p
-), tf AS (SELECT source, p, entity_id, g, count(*) AS tf FROM (SELECT source, p, entity_id, unnest(t) AS g FROM v) GROUP BY ALL
-), df AS (SELECT p, g, count(*) AS df FROM tf GROUP BY p, g
-), w0 AS (SELECT source, p, entity_id, g, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (p, g) JOIN n USING (p) WHERE df >= 2 AND df <= n * {max_df}
-), w AS (SELECT source, p, entity_id, g, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM w0
-), s AS (SELECT a.entity_id AS s1, b.entity_id AS c, round(sum(a.w * b.w), 9) AS cosine FROM w a JOIN w b ON a.p = b.p AND a.g = b.g AND a.source = 0 AND b.source = 1 GROUP BY a.entity_id, b.entity_id
-)
-SELECT s1 AS s1_entity_id, c AS candidate_entity_id, cosine, rank FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY s1 ORDER BY cosine DESC, c) AS INTEGER) AS rank FROM s WHERE cosine > {min_sim}) WHERE rank <= {k}
-"""
+ORACLES["b1_04_address_token"] = f"WITH {sql.ENT}, {address_ctes('p1_', TARGETS[0])}, {address_ctes('p2_', TARGETS[1])}, pass AS (SELECT * FROM p1_ UNION ALL SELECT * FROM p2_) {OUT}"
+
+
+def tfidf_ctes(name: str, target: str, terms: str, min_sim: float, k: int, part: str = "''", max_df: float = 1.0) -> str:
+    """CTEs of a TF-IDF pass against one target source, ending in ``name`` (s1, c, cosine, rank)."""
+    n = name
+    return f"""{n}v AS (SELECT entity_id, source, {part} AS p, {terms} AS t FROM ent WHERE (source = 0 OR {target}) AND name_clean_legal <> ''
+), {n}n AS (SELECT p, count(*) AS n FROM {n}v GROUP BY p
+), {n}tf AS (SELECT source, p, entity_id, g, count(*) AS tf FROM (SELECT source, p, entity_id, unnest(t) AS g FROM {n}v) GROUP BY ALL
+), {n}df AS (SELECT p, g, count(*) AS df FROM {n}tf GROUP BY p, g
+), {n}w0 AS (SELECT source, p, entity_id, g, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM {n}tf JOIN {n}df USING (p, g) JOIN {n}n USING (p) WHERE df >= 2 AND df <= n * {max_df}
+), {n}w AS (SELECT source, p, entity_id, g, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM {n}w0
+), {n}s AS (SELECT a.entity_id AS s1, b.entity_id AS c, round(sum(a.w * b.w), 9) AS cosine FROM {n}w a JOIN {n}w b ON a.p = b.p AND a.g = b.g AND a.source = 0 AND b.source > 0 GROUP BY a.entity_id, b.entity_id
+), {n} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1 ORDER BY cosine DESC, c) AS INTEGER) AS rank FROM {n}s WHERE cosine > {min_sim}) WHERE rank <= {k})"""
 
 
 _GRAMS = f"list_transform(range(1, length({sql.C}) - 1), lambda i: substring({sql.C}, i, 3))"
 _WORDS = rf"list_filter(string_split_regex({sql.C}, '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2)"
+_FIRST = "substring(name_clean_legal, 1, 1)"
 
 
-def _tfidf(name: str, min_sim: float, k: int, partitioned: bool = False, by_word: bool = False, max_df: float = 1.0) -> None:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        a, b = (x.filter(F.col("name_clean_legal") != "") for x in _sides(spark, sf_dir))
-        terms = word_terms("name_clean_legal") if by_word else char_grams("name_clean_legal")
-        return tfidf_join(a, b, terms, min_sim, k, F.substring("name_clean_legal", 1, 1) if partitioned else None, max_df)
+def _cosine(left: DataFrame, right: DataFrame, min_sim: float, k: int, partitioned: bool = False, by_word: bool = False, max_df: float = 1.0) -> DataFrame:
+    a, b = (x.filter(F.col("name_clean_legal") != "") for x in (left, right))
+    terms = word_terms("name_clean_legal") if by_word else char_grams("name_clean_legal")
+    return tfidf_join(a, b, terms, min_sim, k, F.substring("name_clean_legal", 1, 1) if partitioned else None, max_df)
 
-    QUERIES[name] = query
-    ORACLES[name] = _tfidf_sql(_WORDS if by_word else _GRAMS, min_sim, k, "substring(name_clean_legal, 1, 1)" if partitioned else "''", max_df)
+
+def _tfidf(name: str, min_sim: float, k: int, partitioned: bool = False, by_word: bool = False, max_df: float = 1.0) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _by_source(partial(_cosine, min_sim=min_sim, k=k, partitioned=partitioned, by_word=by_word, max_df=max_df), *_sides(entities(spark, sf_dir)))
+    ctes = ", ".join(tfidf_ctes(f"p{s}_", f"source = {s}", _WORDS if by_word else _GRAMS, min_sim, k, _FIRST if partitioned else "''", max_df) for s in (1, 2))
+    ORACLES[name] = f"WITH {sql.ENT}, {ctes} SELECT s1 AS s1_entity_id, c AS candidate_entity_id, cosine, rank FROM (SELECT * FROM p1_ UNION ALL SELECT * FROM p2_)"
 
 
 _tfidf("b1_05_char_ngram_070", 0.70, 10)
@@ -99,35 +110,48 @@ _tfidf("b4_12_word_tfidf", 0.50, 15, by_word=True, max_df=0.1)
 _tfidf("s_02_top_k_cosine", 0.60, 3)
 
 
-def _grams(left: DataFrame, right: DataFrame, min_sim: float, k: int, partitioned: bool = False) -> DataFrame:
-    a, b = (x.filter(F.col("name_clean_legal") != "") for x in (left, right))
-    return tfidf_join(a, b, char_grams("name_clean_legal"), min_sim, k, F.substring("name_clean_legal", 1, 1) if partitioned else None)
+# Passes of the unions that aren't keyed ones, as (operator, CTEs of its SQL); the third generation's takes 20 where it is combined.
+def _grams(min_sim: float, k: int, partitioned: bool = False) -> tuple[Callable, Callable]:
+    return partial(_cosine, min_sim=min_sim, k=k, partitioned=partitioned), lambda name, target: tfidf_ctes(name, target, _GRAMS, min_sim, k, _FIRST if partitioned else "''")
+
+
+V1_MORE = {"address_token": (address_tokens_v1, address_ctes), "char_ngram_0.70": _grams(0.70, 10), "char_ngram_0.50": _grams(0.50, 10)}
+V2_MORE = {"partitioned_tfidf": _grams(0.50, 15, True)}
+V3_MORE = {"partitioned_tfidf": _grams(0.45, 20, True)}
 
 
-# Passes of the unions that aren't keyed ones; the third generation's takes 20 where it is combined.
-V1_MORE = {"address_token": address_tokens_v1, "char_ngram_0.70": partial(_grams, min_sim=0.70, k=10), "char_ngram_0.50": partial(_grams, min_sim=0.50, k=10)}
-V2_MORE = {"partitioned_tfidf": partial(_grams, min_sim=0.50, k=15, partitioned=True)}
-V3_MORE = {"partitioned_tfidf": partial(_grams, min_sim=0.45, k=20, partitioned=True)}
+def found(ents: DataFrame, specs: list[Pass], bits: dict[str, int], more: dict[str, tuple]) -> DataFrame:
+    """(s1, candidate, bit): the pairs of every pass; each target source has guards and caps of its own."""
+    one, targets = _sides(ents)
+    number = F.element_at(F.array(*[F.lit(bits[p.name]) for p in specs]), F.col("p") + 1)
+    out = keyed_passes(one, targets, specs).select(S1, CAND, number.alias("bit"))
+    for name, (run, _) in more.items():
+        out = out.unionByName(_by_source(run, one, targets).select(S1, CAND, F.lit(bits[name]).alias("bit")))
+    return out
 
 
-def found(ents: DataFrame, specs: list[Pass], bits: dict[str, int], more: dict[str, Callable]) -> list[tuple[DataFrame, int]]:
-    """(pairs, bit) of every pass, rising; each target source has guards and caps of its own."""
-    one, *targets = split_sources(ents)
-    runs = {p.name: partial(keyed_pass, p=p) for p in specs} | more
-    return [(reduce(DataFrame.unionByName, [runs[n](one, t).select(S1, CAND) for t in targets]), b) for n, b in sorted(bits.items(), key=lambda x: x[1])]
+def found_ctes(specs: list[Pass], bits: dict[str, int], keys: dict, more: dict[str, tuple]) -> str:
+    """CTEs that end in ``found`` (s1, c, b) and ``cand`` (s1, c, pass_mask)."""
+    ctes, rows = [], []
+    for s in (1, 2):
+        for i, p in enumerate(specs):
+            ctes.append(sql.pass_ctes(p, keys[p.name], f"u{s}_{i}_", f"source = {s}"))
+            rows.append(f"SELECT s1, c, {bits[p.name]} AS b FROM u{s}_{i}_")
+        for i, (name, (_, more_ctes)) in enumerate(more.items()):
+            ctes.append(more_ctes(f"x{s}_{i}_", f"source = {s}"))
+            rows.append(f"SELECT s1, c, {bits[name]} AS b FROM x{s}_{i}_")
+    return f"{', '.join(ctes)}, found AS ({' UNION ALL '.join(rows)}), cand AS (SELECT s1, c, CAST(bit_or(b) AS INTEGER) AS pass_mask FROM found GROUP BY s1, c)"
 
 
-def _union(name: str, specs: list[Pass], bits: dict[str, int], keys: dict, more: dict[str, Callable]) -> None:
+def _union(name: str, specs: list[Pass], bits: dict[str, int], keys: dict, more: dict[str, tuple]) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = combine(found(entities(spark, sf_dir), specs, bits, more))
         return out.withColumn("blocking_passes", mask_names(F.col("pass_mask"), bits)).withColumn("num_passes", F.bit_count("pass_mask").cast("int"))
 
     QUERIES[name] = query
-    ctes = ", ".join(sql.pass_ctes(p, keys[p.name], f"u{i}_") for i, p in enumerate(specs))
-    rows = " UNION ALL ".join(f"SELECT s1, c, {bits[p.name]} AS b FROM u{i}_" for i, p in enumerate(specs))
     names = ", ".join(f"CASE WHEN pass_mask & {b} <> 0 THEN '{n}' END" for n, b in sorted(bits.items(), key=lambda x: x[1]))
-    ORACLES[name] = f"""WITH {sql.ENT}, {ctes}, m AS (SELECT s1, c, CAST(bit_or(b) AS INTEGER) AS pass_mask FROM ({rows}) GROUP BY s1, c)
-SELECT s1 AS s1_entity_id, c AS candidate_entity_id, pass_mask, concat_ws('|', {names}) AS blocking_passes, CAST(bit_count(pass_mask) AS INTEGER) AS num_passes FROM m"""
+    ORACLES[name] = f"""WITH {sql.ENT}, {found_ctes(specs, bits, keys, more)}
+SELECT s1 AS s1_entity_id, c AS candidate_entity_id, pass_mask, concat_ws('|', {names}) AS blocking_passes, CAST(bit_count(pass_mask) AS INTEGER) AS num_passes FROM cand"""
 
 
 _union("b1_u_combined", P.v1(), P.V1_BITS, sql.v1_keys(), V1_MORE)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinline.functions.features import FEATURES, jaccard, lookup, native_features, with_features
+from kinline.functions.similarity import jaro_winkler_col, token_sort_col
 from kinline.functions.text import tokens
 from kinline.operators import diagnostics as D
 from kinline.operators import metrics as M
@@ -15,25 +14,32 @@ from kinline.operators import submission as X
 from kinline.operators.combine import combine
 from kinline.operators.keyed_pass import CAND, S1
 from kinline.operators.rules import RULES, rule_matches
-from kinline.operators.sampling import fold, in_training, stratified, training_sample
+from kinline.operators.sampling import fold, hard_negative, in_training, stratified, training_sample
 from kinline.plans import passes as P
 from kinline.queries import sql
-from kinline.queries.blocking import V3_MORE, found
+from kinline.queries.blocking import V3_MORE, found, found_ctes
 from kinline.queries.registry import query
+from kinline.session import scratch_base
 from kinline.sources.entities import entities, truth
+from kinline.sources.files import cached, version
 
-# Passes of the SQL; the operators take all of the third generation, for each target source by itself.
-_ORDER = {"exact_clean_legal": 2, "rare_token_ranked": 4, "address_num_distinctive_token": 8}
+EXACT, TOKENS = P.V3_BITS["exact_clean_legal"], P.V3_BITS["rare_token_ranked"]
 
 
-def _found(ents: DataFrame) -> list[tuple[DataFrame, int]]:
-    return found(ents, P.v3(), P.V3_BITS, V3_MORE)
+def _found(ents: DataFrame) -> DataFrame:
+    """(s1, candidate, bit) of all passes of the third generation, for each target source; made once for each version of the records' files."""
+    make = lambda: found(ents, P.v3(), P.V3_BITS, V3_MORE)
+    return cached(ents.sparkSession, f"{scratch_base(ents.sparkSession)}/found-{version(ents)}", make) if ents.inputFiles() else make()
 
 
 def _candidates(ents: DataFrame) -> DataFrame:
     return combine(_found(ents))
 
 
+def _exact(ents: DataFrame) -> DataFrame:
+    return found(ents, [p for p in P.v3() if p.name == "exact_clean_legal"], P.V3_BITS, {}).select(S1, CAND)
+
+
 def _scored(ents: DataFrame) -> DataFrame:
     """Candidates with a probability that both engines agree on: word Jaccard of the legal names."""
     words = lambda c: F.array_distinct(tokens(c))
@@ -44,12 +50,11 @@ def _universe(ents: DataFrame) -> DataFrame:
     return ents.filter("source = 0").select(F.col("entity_id").alias(S1))
 
 
-_keys, _specs = sql.v3_keys(), [p for p in P.v3() if p.name in _ORDER]
-_PASSES = ", ".join(sql.pass_ctes(p, _keys[p.name], f"c{i}_", "source > 0") for i, p in enumerate(_specs))
-_ROWS = " UNION ALL ".join(f"SELECT s1, c, {_ORDER[p.name]} AS b FROM c{i}_" for i, p in enumerate(_specs))
 _W = lambda c: f"list_distinct({sql.tok(c)})"
 _JAC = lambda a, b: f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0 END"
-CAND_SQL = f"{sql.ENT}, {_PASSES}, found AS ({_ROWS}), cand AS (SELECT s1, c, CAST(bit_or(b) AS INTEGER) AS pass_mask FROM found GROUP BY s1, c)"
+_exact_spec = [p for p in P.v3() if p.name == "exact_clean_legal"]
+EXACT_SQL = f"{sql.ENT}, {found_ctes(_exact_spec, P.V3_BITS, sql.v3_keys(), {}).replace('cand AS', 'exact AS')}"
+CAND_SQL = f"{sql.ENT}, {found_ctes(P.v3(), P.V3_BITS, sql.v3_keys(), V3_MORE)}"
 SCORED = f"""{CAND_SQL}, looked AS (SELECT cand.*, a.name_norm AS ln, b.name_norm AS rn, a.name_clean_legal AS lc, b.name_clean_legal AS rc, a.address_norm AS la, b.address_norm AS ra, a.country_norm AS lo, b.country_norm AS ro
   FROM cand LEFT JOIN ent a ON a.entity_id = s1 LEFT JOIN ent b ON b.entity_id = c),
 scored AS (SELECT s1, c, pass_mask, round({_JAC(_W("lc"), _W("rc"))}, 6) AS probability FROM looked), uni AS (SELECT entity_id AS s1 FROM ent WHERE source = 0)"""
@@ -80,9 +85,35 @@ def _p_05(spark, d):
     return _scored(entities(spark, d)).filter("probability >= 0.5").select(S1, CAND, "probability")
 
 
-@_q("p_06_hard_negative", f"SELECT {_ID} FROM scored WHERE probability >= 0.5 OR bit_count(pass_mask) >= 2")
+# DuckDB's distances count bytes. Names are in lower case, so capital letters can stand for the letters beyond ASCII that
+# European names keep after normalisation; then bytes are letters. Fixed values.
+_BEYOND, _STANDIN = "ßæœøłđðþıħŋŧ", "ABCDEFGHIJKL"
+_ONE_BYTE = lambda c: f"translate({c}, '{_BEYOND}', '{_STANDIN}')"
+_SORTED = lambda c: f"array_to_string(list_sort({sql.tok(_ONE_BYTE(c))}), ' ')"
+_JW = f"CASE WHEN ln = '' OR rn = '' THEN 0 ELSE jaro_winkler_similarity({_ONE_BYTE('ln')}, {_ONE_BYTE('rn')}) END"
+
+
+def _common_sql(a: str, b: str) -> str:
+    """Longest common subsequence, with a row of the table as the bits of a number."""
+    full = f"((CAST(1 AS HUGEINT) << length({a})) - 1)"
+    where = f"list_transform(string_split({b}, ''), lambda ch: list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substring({a}, i, 1) = ch THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE CAST(0 AS HUGEINT) END))::HUGEINT)"
+    row = f"list_reduce(list_prepend({full}, {where}), lambda row, hit: ((row + (row & hit)) | (row - (row & hit))) & {full})"
+    return f"length({a}) - bit_count({row})"
+
+
+_SORT_SIM = "CASE WHEN ln = '' OR rn = '' THEN 0 ELSE 2 * lcs / (length(ls) + length(rs)) END"
+SIMS = f"sorted0 AS (SELECT s1, c, ln, rn, {_SORTED('ln')} AS ls, {_SORTED('rn')} AS rs FROM looked), sims AS (SELECT s1, c, round({_JW}, 9) AS jw, round({_SORT_SIM}, 9) AS sort_sim FROM (SELECT *, {_common_sql('ls', 'rs')} AS lcs FROM sorted0))"
+_HARD = "sort_sim >= 0.50 OR jw >= 0.70 OR bit_count(pass_mask) >= 2"
+
+
+def _with_sims(pairs: DataFrame) -> DataFrame:
+    """Pairs with what the hard-negative predicate looks at; rounded, so that sums of thirds are equal at its bounds in any engine."""
+    return pairs.withColumns({"name_token_sort_sim": F.round(token_sort_col("l_name_norm", "r_name_norm"), 9), "name_jaro_winkler": F.round(jaro_winkler_col("l_name_norm", "r_name_norm"), 9), "num_passes": F.bit_count("pass_mask")})
+
+
+@_q("p_06_hard_negative", f", {SIMS} SELECT {_ID} FROM scored JOIN sims USING (s1, c) WHERE {_HARD}")
 def _p_06(spark, d):
-    return _scored(entities(spark, d)).filter((F.col("probability") >= 0.5) | (F.bit_count("pass_mask") >= 2)).select(S1, CAND)
+    return _with_sims(_scored(entities(spark, d))).filter(hard_negative()).select(S1, CAND)
 
 
 @_q("p_07_name_or_address", f"SELECT {_ID} FROM looked WHERE (lc = rc AND lc <> '') OR (la = ra AND la <> '')")
@@ -130,11 +161,10 @@ def _j_10(spark, d):
     return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("h1").isNotNull() & F.col("h2").isNotNull()).alias("contained"))
 
 
-@_q("j_11_missed_truth", "SELECT s1 AS s1_entity_id, c AS candidate_entity_id FROM truth ANTI JOIN c0_ USING (s1, c)", CAND_SQL)
+@_q("j_11_missed_truth", "SELECT s1 AS s1_entity_id, c AS candidate_entity_id FROM truth ANTI JOIN exact USING (s1, c)", EXACT_SQL)
 def _j_11(spark, d):
     e = entities(spark, d)
-    exact = next(df for df, bit in _found(e) if bit == 2)
-    return truth(e).join(exact, [S1, CAND], "left_anti").select(S1, CAND)
+    return truth(e).join(_exact(e), [S1, CAND], "left_anti").select(S1, CAND)
 
 
 @_q("j_12_labels", f"SELECT {_ID}, CAST((s1, c) IN (SELECT (s1, c) FROM truth) AS INTEGER) AS label FROM cand", CAND_SQL)
@@ -153,11 +183,12 @@ def _j_13(spark, d):
     return M.entity_counts(_universe(e), _candidates(e), truth(e)).select(S1, "n_pred", "tp", "n_true")
 
 
-@_q("u_04_recovered_by_tokens_only", "SELECT s1 AS s1_entity_id, c AS candidate_entity_id FROM (SELECT s1, c FROM c1_ EXCEPT SELECT s1, c FROM c0_) SEMI JOIN truth USING (s1, c)", CAND_SQL)
+@_q("u_04_recovered_by_tokens_only", f"SELECT s1 AS s1_entity_id, c AS candidate_entity_id FROM (SELECT s1, c FROM found WHERE b = {TOKENS} EXCEPT SELECT s1, c FROM found WHERE b = {EXACT}) SEMI JOIN truth USING (s1, c)", CAND_SQL)
 def _u_04(spark, d):
     e = entities(spark, d)
-    by_bit = dict((bit, df) for df, bit in _found(e))
-    return by_bit[4].subtract(by_bit[2]).join(truth(e), [S1, CAND], "left_semi")
+    rows = found(e, [p for p in P.v3() if P.V3_BITS[p.name] in (EXACT, TOKENS)], P.V3_BITS, {})
+    by_bit = {b: rows.filter(F.col("bit") == b).select(S1, CAND) for b in (EXACT, TOKENS)}
+    return by_bit[TOKENS].subtract(by_bit[EXACT]).join(truth(e), [S1, CAND], "left_semi")
 
 
 @_q("u_05_subset_violations", "SELECT count(*) AS violations FROM (SELECT * FROM scored WHERE probability >= 0.5) ANTI JOIN cand USING (s1, c)")
@@ -238,7 +269,8 @@ def _w_06(spark, d):
     return _scored(entities(spark, d)).select(S1, CAND, rank.alias("rank")).filter("rank <= 5")
 
 
-_PRUNED = "pruned AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1 ORDER BY probability DESC, c) AS INTEGER) AS rank FROM (SELECT *, round(max(probability) OVER (PARTITION BY s1) - probability, 9) AS gap FROM scored WHERE probability >= 0.3) WHERE gap <= 0.15) WHERE rank <= 4)"
+# each target source by itself; its name is what an id has before its first hyphen
+_PRUNED = "pruned AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1, split_part(c, '-', 1) ORDER BY probability DESC, c) AS INTEGER) AS rank FROM (SELECT *, round(max(probability) OVER (PARTITION BY s1, split_part(c, '-', 1)) - probability, 9) AS gap FROM scored WHERE probability >= 0.3) WHERE gap <= 0.15) WHERE rank <= 4)"
 
 
 @_q("w_07_top_margin", f", {_PRUNED} SELECT {_ID}, probability, rank FROM pruned")
@@ -246,13 +278,15 @@ def _w_07(spark, d):
     return X.prune(_scored(entities(spark, d)).filter("probability >= 0.3").select(S1, CAND, "probability"))
 
 
+_BY_BIT = " ".join(f"WHEN {b} THEN '{n}'" for n, b in P.V3_BITS.items())
+
+
 @query("w_09_incremental_recall", f"""WITH {CAND_SQL}, f AS (SELECT s1, c, min(b) AS b FROM found SEMI JOIN truth USING (s1, c) GROUP BY s1, c), n AS (SELECT b, count(*) AS pairs FROM found GROUP BY b)
-SELECT n.b AS pass_order, CASE n.b WHEN 2 THEN 'exact_clean_legal' WHEN 4 THEN 'rare_token_ranked' ELSE 'address_num_distinctive_token' END AS pass_name, pairs, coalesce(k, 0) AS new_truths, CAST(sum(coalesce(k, 0)) OVER (ORDER BY n.b) AS BIGINT) AS found_so_far
+SELECT n.b AS pass_order, CASE n.b {_BY_BIT} END AS pass_name, pairs, coalesce(k, 0) AS new_truths, CAST(sum(coalesce(k, 0)) OVER (ORDER BY n.b) AS BIGINT) AS found_so_far
 FROM n LEFT JOIN (SELECT b, count(*) AS k FROM f GROUP BY b) x ON n.b = x.b""")
 def _w_09(spark, d):
     e = entities(spark, d)
-    rows = [df.select(S1, CAND, F.lit(bit).alias("pass_order")) for df, bit in _found(e)]
-    return M.incremental_recall(reduce(DataFrame.unionByName, rows), truth(e), P.V3_BITS)
+    return M.incremental_recall(_found(e).withColumnRenamed("bit", "pass_order"), truth(e), P.V3_BITS)
 
 
 @_q("w_10_stratified_sample", """, z AS (SELECT country_norm, count(*) AS n FROM ent WHERE source = 0 GROUP BY 1), q0 AS (SELECT country_norm, CAST(floor(n * 100 / sum(n) OVER ()) AS BIGINT) AS q FROM z
@@ -285,19 +319,17 @@ def _f_native(spark, d):
     return lookup(_candidates(e), e).select(S1, CAND, *[F.round(cols[n], 6).alias(n) for n in _NATIVE])
 
 
-@_q("f_02_jaro_winkler", f"SELECT {_ID}, round(CASE WHEN ln = '' OR rn = '' THEN 0 ELSE jaro_winkler_similarity(ln, rn) END, 6) AS value FROM looked WHERE regexp_matches(ln || rn, '^[a-z0-9 _]*$')")
+@_q("f_02_jaro_winkler", f"SELECT {_ID}, round({_JW}, 6) AS value FROM looked")
 def _f_02(spark, d):
     e = entities(spark, d)
     return _name_jaro_winkler(lookup(_candidates(e), e))
 
 
 def _name_jaro_winkler(x: DataFrame) -> DataFrame:
-    from kinline.functions.similarity import jaro_winkler_col
-
     return x.select(S1, CAND, F.round(jaro_winkler_col("l_name_norm", "r_name_norm"), 6).alias("value"))
 
 
-@_q("f_14_edit_distance", f"SELECT {_ID}, CAST(CASE WHEN ln = '' OR rn = '' THEN 0 ELSE levenshtein(ln, rn) END AS BIGINT) AS value FROM looked WHERE regexp_matches(ln || rn, '^[a-z0-9 _]*$')")
+@_q("f_14_edit_distance", f"SELECT {_ID}, CAST(CASE WHEN ln = '' OR rn = '' THEN 0 ELSE levenshtein({_ONE_BYTE('ln')}, {_ONE_BYTE('rn')}) END AS BIGINT) AS value FROM looked")
 def _f_14(spark, d):
     e = entities(spark, d)
     return _name_edit_distance(lookup(_candidates(e), e))
@@ -313,13 +345,13 @@ def _f_all(spark, d):
     return with_features(lookup(_candidates(e), e), F.bit_count("pass_mask")).select(S1, CAND, *FEATURES)
 
 
-@_q("m_03_training_sample", f""", lab AS (SELECT s1, c, CAST((s1, c) IN (SELECT (s1, c) FROM truth) AS INTEGER) AS label, probability >= 0.5 OR bit_count(pass_mask) >= 2 AS hard FROM scored
+@_q("m_03_training_sample", f""", {SIMS}, lab AS (SELECT s1, c, CAST((s1, c) IN (SELECT (s1, c) FROM truth) AS INTEGER) AS label, {_HARD} AS hard FROM scored JOIN sims USING (s1, c)
 ), k AS (SELECT *, CASE WHEN label = 1 THEN 'positive' WHEN hard THEN 'hard' ELSE 'easy' END AS kind FROM lab), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5(s1 || '|' || c), s1, c) AS place, sum(label) OVER () AS np FROM k)
 SELECT {_ID}, label, kind FROM r WHERE kind = 'positive' OR (kind = 'hard' AND place <= 3 * np) OR (kind = 'easy' AND place <= np)""")
 def _m_03(spark, d):
     e = entities(spark, d)
-    x = _scored(e).join(truth(e).distinct().withColumn("hit", F.lit(1)), [S1, CAND], "left")
-    x = x.select(S1, CAND, F.coalesce("hit", F.lit(0)).alias("label"), ((F.col("probability") >= 0.5) | (F.bit_count("pass_mask") >= 2)).alias("hard"))
+    x = _with_sims(_scored(e)).join(truth(e).distinct().withColumn("hit", F.lit(1)), [S1, CAND], "left")
+    x = x.select(S1, CAND, F.coalesce("hit", F.lit(0)).alias("label"), hard_negative().alias("hard"))
     return training_sample(x).select(S1, CAND, "label", "kind")
 
 
@@ -335,7 +367,7 @@ def _m_13(spark, d):
 
     e = entities(spark, d)
     rows = with_features(lookup(_candidates(e), e), F.bit_count("pass_mask")).join(truth(e).distinct().withColumn("hit", F.lit(1)), [S1, CAND], "left").withColumn("label", F.coalesce("hit", F.lit(0)))
-    rows = rows.withColumn("hard", (F.col("name_token_sort_sim") >= 0.5) | (F.col("name_jaro_winkler") >= 0.7) | (F.col("num_blocking_passes") >= 2))
+    rows = rows.withColumn("hard", hard_negative(passes="num_blocking_passes"))
     return score_ensemble(rows.select(S1, CAND, *FEATURES), train_ensemble(training_sample(rows).cache()))
 
 
@@ -497,7 +529,7 @@ _LS, _LO = _W("lc"), _W("rc")
 _CHARS = lambda c: f"list_distinct(list_filter(string_split(replace({c}, ' ', ''), ''), lambda z: z <> ''))"
 _TYPO = f"len(list_filter({_EXC(_LS, _LO)}, lambda a: len(list_filter({_EXC(_LO, _LS)}, lambda b: abs(length(a) - length(b)) <= 2 AND len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substring(a, i, 1) = substring(b, i, 1))) >= greatest(length(a), length(b)) * 0.6)) > 0)) > 0"
 _OTHER = "lo <> '' AND ro <> '' AND lo <> ro"
-_MISSED = f"{CAND_SQL}, missed AS (SELECT t.s1, t.c, a.name_norm AS ln, b.name_norm AS rn, a.name_clean_legal AS lc, b.name_clean_legal AS rc, a.address_norm AS la, b.address_norm AS ra, a.country_norm AS lo, b.country_norm AS ro FROM truth t JOIN ent a ON a.entity_id = s1 JOIN ent b ON b.entity_id = c ANTI JOIN c0_ ON c0_.s1 = t.s1 AND c0_.c = t.c)"
+_MISSED = f"{EXACT_SQL}, missed AS (SELECT t.s1, t.c, a.name_norm AS ln, b.name_norm AS rn, a.name_clean_legal AS lc, b.name_clean_legal AS rc, a.address_norm AS la, b.address_norm AS ra, a.country_norm AS lo, b.country_norm AS ro FROM truth t JOIN ent a ON a.entity_id = s1 JOIN ent b ON b.entity_id = c ANTI JOIN exact ON exact.s1 = t.s1 AND exact.c = t.c)"
 
 
 @_q("d_08_bench_categories", f""", j AS (SELECT *, {_JAC(_LS, _LO)} AS jac FROM missed), k AS (SELECT CASE
@@ -512,8 +544,7 @@ def _d_08(spark, d):
 def _missed(spark, d):
     """Truths that equal legal names don't find."""
     e = entities(spark, d)
-    exact = next(df for df, bit in _found(e) if bit == 2)
-    return lookup(truth(e).join(exact, [S1, CAND], "left_anti"), e)
+    return lookup(truth(e).join(_exact(e), [S1, CAND], "left_anti"), e)
 
 
 @query("d_09_audit_categories")

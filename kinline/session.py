@@ -22,3 +22,18 @@ def ship_package(spark: SparkSession) -> None:
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     sc.addPyFile(path)
     sc._kinline_shipped = True
+
+
+def scratch_base(spark: SparkSession) -> str:
+    """A folder of this application in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset a local session gets a temporary folder; on a cluster, whose executors wouldn't see it, that
+    is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="kinline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/kinline-{spark.sparkContext.applicationId}"

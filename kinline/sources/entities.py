@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinline.functions.text import normalise_source, tokens
-from kinline.session import ship_package
+from kinline.session import scratch_base, ship_package
+from kinline.sources.files import cached, version
 
 
 def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,9 @@ def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalise_source(raw_entities(spark, sf_dir))
+    """``raw_entities``, normalised once for each version of the files and then read back."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return cached(spark, f"{scratch_base(spark)}/entities-{version(documents)}", lambda: normalise_source(raw_entities(spark, sf_dir)))
 
 
 def split_sources(ents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

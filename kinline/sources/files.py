@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,16 @@ def discover(names: list[str], defaults: list[str]) -> str:
     raise FileNotFoundError(f"none of {names} or {defaults} is a folder")
 
 
+def version(df: DataFrame) -> str:
+    """A name for the files that a table is read from, by their paths, sizes and times of change."""
+    spark, seen = df.sparkSession, []
+    for f in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        seen.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.md5("\n".join(seen).encode()).hexdigest()
+
+
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
     """A table that is made once: read if it is there, else computed and written."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
