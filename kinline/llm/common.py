@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinline.session import ship_package
+from kinline.session import scratch_base, ship_package
 
 MIN_LONG = -(1 << 63)
 
@@ -30,18 +29,8 @@ def public_id(col: str = "_id"):
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name, under one folder for the application, in the shared folder that ``spark.checkpoint.dir`` names.
-
-    Where that is unset a local session gets a temporary folder; on a cluster, whose executors wouldn't see it, that
-    is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="kinline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/kinline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A new folder name under the application's in the shared folder."""
+    return f"{scratch_base(spark)}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

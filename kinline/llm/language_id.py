@@ -124,7 +124,9 @@ def train(documents: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return LanguageModel(langs, bits, log_prob, prior)
 
 
-def _score(model):
+def _score(model, least_fit: float | None = None):
+    """``least_fit``: texts whose n-grams are on average less likely, by so many nats, in the best language than if all n-grams were alike are unknown."""
+
     def run(batches):
         m = model.value
         names = [*m.langs, UNKNOWN]
@@ -140,6 +142,10 @@ def _score(model):
                 if len(m.langs):
                     best = ll.argmax(0)
                     score = 1 / np.exp(ll - ll.max(0)).sum(0)
+                    if least_fit is not None:
+                        n = np.diff(ends)
+                        alike = -n * m.bits * np.log(2)
+                        letters = letters & (ll.max(0) - m.prior[best] - alike >= least_fit * n)
                     best[~letters], score[~letters] = len(m.langs), 0
                 else:
                     best, score = np.zeros(b.rows, np.int64), np.zeros(b.rows)
@@ -157,14 +163,22 @@ def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     return out.select(public_id().alias(id_col), "lang_pred", "score")
 
 
-def accepted(documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known, with all their columns and without a shuffle."""
+def accepted(documents: DataFrame, model: LanguageModel, text_col: str = "text", languages: list[str] | None = None, least_score: float = 0.5, least_fit: float = 0.0) -> DataFrame:
+    """The rows whose language is one of ``languages`` (any that the model knows if None) with a probability of ``least_score``
+    or more, with all their columns and without a shuffle.
+
+    A text whose n-grams are less likely in its best language than if all n-grams were alike is in none of them. Texts
+    without a letter go. A model without languages can tell nothing else, so it keeps all texts with a letter.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    wanted = set(model.langs if languages is None else languages)
 
     def known(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], ["_id", "_text"])
-        out = [b.column("lang_pred") for b in _score(shared)([batch])]
-        return pa.array([x != UNKNOWN for part in out for x in part.to_pylist()], pa.bool_())
+        if not shared.value.langs:
+            return pa.array(np.concatenate([np.zeros(0, bool), *(grams(b, 16)[2] for b in K.blocks(texts))]), pa.bool_())
+        out = list(_score(shared, least_fit)([batch]))
+        return pa.array([x in wanted and p >= least_score for b in out for x, p in zip(b.column("lang_pred").to_pylist(), b.column("score").to_pylist(), strict=True)], pa.bool_())
 
     def call(x: pa.Array) -> pa.Array:
         return known(x)

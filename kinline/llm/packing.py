@@ -1,11 +1,14 @@
 """Harmonic packing of tokenised documents into sequences.
 
-Harmonic packing puts a length in (capacity/(k+1), capacity/k] into class k and fills each of that class's
-sequences with exactly k pieces. As documents may be cut, each is cut into whole sequences and then into
-falling powers of two, so that a class's length is exactly capacity/k and k pieces leave no gap. Every task
-fills its own sequences and knows nothing of the others; it holds at most one open sequence for each class.
-When it ends, the pieces of the open ones are laid in one falling run (each piece then starts at a multiple
-of its length) that is cut into sequences of powers of two; those need no padding either.
+A length in (capacity/(k+1), capacity/k] belongs to class k, and each of that class's sequences takes exactly k
+documents, whole ones. Lengths of capacity/``CLASSES`` or less are one class, whose sequences take documents as
+long as they fit. What k documents leave of a sequence is filled with pieces of filler documents: whenever a
+sequence waits for filler, the next document is cut into it, and what is left of that one fills the next.
+A document longer than the capacity is cut into whole sequences and a rest that is packed like a document.
+
+Every task fills its own sequences and knows nothing of the others; it holds at most one open sequence for each
+class, one that waits for filler, and a rest of filler. When it ends, what these hold is laid in one run that is cut into
+whole sequences and sequences of falling powers of two, so nothing is padded.
 
 Words are runs between ASCII white space. The tokenizer never joins what white space parts, so ids are
 looked up by word, and only words that a task hasn't met lately are tokenised.
@@ -16,10 +19,12 @@ like any other; other columns of the input are ignored; an empty table gives no
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,7 @@ from kinline.llm.common import batch_of, id_and_text, public_id
 
 CAPACITY = 4096
 END_ID = 2
+CLASSES = 16  # of lengths; those of capacity / CLASSES or less are one class
 MEMO_WORDS = 250_000  # words whose ids a task remembers; a longer memory is dropped and begun anew
 MEMO_CHARS = 64  # longer words aren't remembered
 
@@ -44,12 +50,25 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Fixed value: the split of tokenizers whose ids can be looked up by word.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_word(tokenizer_json: str) -> bool:
+    """Whether a tokenizer lower-cases, joins nothing across white space, and parts letters from signs."""
+    spec = json.loads(tokenizer_json)
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return "Lowercase" in steps and bool(splits) and splits[0].get("pattern", {}).get("Regex") == WORD_SPLIT and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+
+
 class WordIds:
     """Little-endian 32-bit ids of texts, by way of their words.
 
     The tokenizer lower-cases, so texts are lower-cased in ASCII first (but for those that may hold a special
     token), and signs after a word's last ASCII letter are always pieces of their own, so a word that is met for
-    the first time needs the tokenizer only if its part without them is new as well.
+    the first time needs the tokenizer only if its part without them is new as well. That holds for tokenizers of the
+    form that ``by_word`` knows; for any other whole texts are tokenised.
     """
 
     TAIL = b",.!?;:#$%&*|)"
@@ -58,7 +77,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer, self.split = Tokenizer.from_str(tokenizer_json), by_word(tokenizer_json)
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
 
@@ -70,6 +89,8 @@ class WordIds:
         return (core, word[len(core) :]) if core[-1:].isalpha() else (word, b"")
 
     def of(self, texts: list[bytes]) -> list[bytes]:
+        if not self.split:
+            return self._encode(texts)
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = set().union(*split).difference(self.words)
         if len(self.words) + len(new) > MEMO_WORDS:
@@ -106,83 +127,127 @@ def word_ids(tokenizer_json: str) -> WordIds:
     return _KEPT[key]
 
 
-def _cuts(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length): whole sequences, then falling powers of two."""
-    out, at = [], 0
-    while n - at >= capacity:
-        out.append((at, capacity))
-        at += capacity
-    size = capacity >> 1
-    while at < n:
-        if n - at >= size:
-            out.append((at, size))
-            at += size
-        size >>= 1
-    return out
+class Piece(NamedTuple):
+    """Part of a document's ids."""
+
+    doc: int | None
+    start: int
+    ids: bytes
+    total: int  # ids of the whole document
+
+    @property
+    def length(self) -> int:
+        return len(self.ids) // 4
+
+    def cut(self, n: int) -> tuple[Piece, Piece | None]:
+        """The first n ids, and the others if there are any."""
+        if n >= self.length:
+            return self, None
+        return self._replace(ids=self.ids[: 4 * n]), self._replace(start=self.start + n, ids=self.ids[4 * n :])
 
 
 class HarmonicPacker:
-    """Sequences of one task. ``add`` and ``close`` return pieces with their sequence and offset."""
+    """Sequences of one task; ``placed`` gathers (piece, sequence, offset) of those that are done."""
 
-    def __init__(self, capacity: int, first_sequence: int):
+    def __init__(self, capacity: int, first_sequence: int, classes: int = CLASSES):
         if capacity & (capacity - 1):
             raise ValueError("the capacity has to be a power of two")
-        self.capacity, self.next, self.open = capacity, first_sequence, {}
-
-    def _new(self) -> int:
+        self.capacity, self.next, self.classes = capacity, first_sequence, classes
+        self.open: dict[int, list[Piece]] = {}
+        self.used: dict[int, int] = {}
+        self.waiting: list[Piece] = []  # a sequence with its k documents that waits for filler
+        self.room = 0
+        self.spare: Piece | None = None  # filler; there is none while a sequence waits
+        self.placed: list[tuple[Piece, int, int]] = []
+
+    def _emit(self, pieces: list[Piece]) -> None:
+        at = 0
+        for p in pieces:
+            self.placed.append((p, self.next, at))
+            at += p.length
         self.next += 1
-        return self.next - 1
-
-    def add(self, length: int, piece) -> list[tuple]:
-        """``piece`` goes into the open sequence of its class; a class with capacity/length pieces is full."""
-        held = self.open.setdefault(length, [])
-        held.append(piece)
-        if len(held) * length < self.capacity:
-            return []
-        self.open[length] = []
-        sequence = self._new()
-        return [(p, sequence, i * length) for i, p in enumerate(held)]
-
-    def close(self) -> list[tuple]:
-        out, left = [], sum(length * len(held) for length, held in self.open.items())
-        room = used = 0
-        for length in sorted(self.open, reverse=True):
-            for piece in self.open[length]:
-                if used == room:
-                    room = min(self.capacity, 1 << (left.bit_length() - 1))
-                    left, used, sequence = left - room, 0, self._new()
-                out.append((piece, sequence, used))
-                used += length
-        self.open = {}
-        return out
+
+    def add(self, doc: int | None, ids: bytes) -> None:
+        rest: Piece | None = Piece(doc, 0, ids, len(ids) // 4)
+        while rest and rest.length >= self.capacity:
+            head, rest = rest.cut(self.capacity)
+            self._emit([head])
+        if rest and self.waiting:
+            self._fill(rest)
+        elif rest:
+            self._into_class(rest)
+
+    def _into_class(self, p: Piece) -> None:
+        k = min(self.capacity // p.length, self.classes)
+        if self.used.get(k, 0) + p.length > self.capacity:  # only in the class of the shortest
+            self._close(k)
+        held = self.open.setdefault(k, [])
+        held.append(p)
+        self.used[k] = self.used.get(k, 0) + p.length
+        if k < self.classes and len(held) == k:
+            self._close(k)
+
+    def _close(self, k: int) -> None:
+        pieces, room = self.open.pop(k), self.capacity - self.used.pop(k)
+        if not room:
+            return self._emit(pieces)
+        self.waiting, self.room = pieces, room
+        if self.spare:
+            spare, self.spare = self.spare, None
+            self._fill(spare)
+
+    def _fill(self, p: Piece) -> None:
+        """Filler for the waiting sequence; what is left of it is kept."""
+        head, self.spare = p.cut(self.room)
+        self.waiting.append(head)
+        self.room -= head.length
+        if not self.room:
+            self._emit(self.waiting)
+            self.waiting = []
+
+    def close(self) -> None:
+        left = [*self.waiting, *(p for k in sorted(self.open) for p in self.open[k]), *([self.spare] if self.spare else [])]
+        tokens, sequence, room = sum(p.length for p in left), [], 0
+        for p in left:
+            rest: Piece | None = p
+            while rest:
+                if not room:
+                    room = min(self.capacity, 1 << (tokens.bit_length() - 1))
+                    tokens -= room
+                head, rest = rest.cut(room)
+                sequence.append(head)
+                room -= head.length
+                if not room:
+                    self._emit(sequence)
+                    sequence = []
+        self.open, self.used, self.waiting, self.spare = {}, {}, [], None
 
 
 def _pack(tokenizer_json, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(placed: list[tuple]) -> pa.RecordBatch:
-        (doc, start, length, ids, total), sequence, offset = zip(*(p for p, _, _ in placed), strict=True), [s for _, s, _ in placed], [o for _, _, o in placed]
+        pieces, sequence, offset = zip(*placed, strict=True)
         long = lambda x: np.array(x, np.int64)
-        return batch_of(_id=long(doc), start=long(start), length=long(length), ids=pa.array(ids, pa.binary()), doc_tokens=long(total), sequence_id=long(sequence), offset=long(offset))
+        return batch_of(
+            _id=long([p.doc for p in pieces]), start=long([p.start for p in pieces]), length=long([p.length for p in pieces]), ids=pa.array([p.ids for p in pieces], pa.binary()),
+            doc_tokens=long([p.total for p in pieces]), sequence_id=long(sequence), offset=long(offset),
+        )
 
     def run(batches):
         words = word_ids(tokenizer_json.value)
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << 33)
-        placed: list[tuple] = []
         for batch in batches:
             ids = batch.column("_id").to_pylist()
             for b in K.blocks(batch.column("_text")):
                 for i, tokens in enumerate(words.of([b.text(i) for i in range(b.rows)])):
-                    tokens += end
-                    n = len(tokens) // 4
-                    for start, length in _cuts(n, capacity):
-                        placed += packer.add(length, (ids[b.first_row + i], start, length, tokens[4 * start : 4 * (start + length)], n))
-                if len(placed) >= 10_000:
-                    yield rows(placed)
-                    placed = []
-        placed += packer.close()
-        if placed:
-            yield rows(placed)
+                    packer.add(ids[b.first_row + i], tokens + end)
+                if len(packer.placed) >= 10_000:
+                    yield rows(packer.placed)
+                    packer.placed = []
+        packer.close()
+        if packer.placed:
+            yield rows(packer.placed)
 
     return run
 
