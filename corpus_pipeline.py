@@ -6,7 +6,7 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinline.llm import language_id as lid
@@ -17,15 +17,18 @@ from kinline.llm.ngram_jaccard import jaccard_classes
 from kinline.llm.packing import pack, with_digest
 from kinline.session import ship_package
 
-ID, KEY, EVERY, NUMBER = "__kinline_id", "__kinline_key", "__kinline_every", "__kinline_number"
+ID, KEY, ROW = "__kinline_id", "__kinline_key", "__kinline_row"
+WORD = r"[^\x20\x09-\x0D]"
+LANGUAGES = None  # wanted languages; None: any that the labelled rows have
+LEAST_SCORE = 0.5  # probability of the predicted language
 
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows whose id and key ``kept`` (ID, KEY, EVERY) has; of rows equal in both, one, or all where EVERY."""
-    tagged = docs.withColumns({ID: F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG))}).withColumn(KEY, F.xxhash64(ID, F.col("text").cast("string")))
-    first = F.row_number().over(Window.partitionBy(ID, KEY).orderBy(F.xxhash64(*docs.columns)))
-    found = tagged.join(kept, [ID, KEY]).withColumn(NUMBER, first)
-    return found.filter(f"{NUMBER} = 1 or {EVERY}").select(*docs.columns)
+    """One row for each id and key that ``kept`` (ID, KEY) has. Rows equal in both are joined up within tasks before any shuffle."""
+    tagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)).alias(ID), F.struct(*docs.columns).alias(ROW)).withColumn(KEY, F.xxhash64(ID, F.col(f"{ROW}.text").cast("string")))
+    hashable = [F.col(f"{ROW}.{f.name}") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = tagged.groupBy(ID, KEY).agg(F.min_by(ROW, F.xxhash64(*hashable)).alias(ROW))
+    return one.join(kept.select(ID, KEY).distinct(), [ID, KEY], "left_semi").select(*[F.col(f"{ROW}.{c}").alias(c) for c in docs.columns])
 
 
 def _id(col: str):
@@ -33,36 +36,42 @@ def _id(col: str):
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without text, go."""
+    """Documents go that are in none of ``LANGUAGES`` by a probability of ``LEAST_SCORE``, or without a letter or text.
+
+    The model learns from all labelled rows but a fifth; without labelled rows only texts without a letter go.
+    Repeated rows and null ids are kept or go like any others.
+    """
     ship_package(spark)
     model = lid.train(docs.filter(lid.fold("doc_id", 5) != 0))
-    return lid.accepted(docs, model)
+    return lid.accepted(docs, model, languages=LANGUAGES, least_score=LEAST_SCORE)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space one stays."""
+    """Of documents equal but for white space one stays: the longest, then the one with the smallest id (null before all).
+
+    Null and empty texts are equal to each other; of rows equal in everything one stays.
+    """
     ship_package(spark)
-    kept = exact_dedup(docs).filter("kept").select(_id("doc_id"), F.col("key").alias(KEY), F.lit(False).alias(EVERY))
+    kept = exact_dedup(docs).filter("kept").select(_id("doc_id"), F.col("key").alias(KEY))
     return _keep(docs, kept)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id stays; documents without words stay."""
+    """Of each class of linked documents the one with the smallest id stays; all documents without words stay."""
     ship_package(spark)
-    rows = materialize(jaccard_classes(docs))
-    one = rows.filter("n_shingles > 0").groupBy("class_node").agg(F.min(F.struct(_id("doc_id"), F.col("key").alias(KEY))).alias("x"))
-    kept = one.select(f"x.{ID}", f"x.{KEY}", F.lit(False).alias(EVERY))
-    empty = rows.filter("n_shingles = 0").select(_id("doc_id"), F.col("key").alias(KEY), F.lit(True).alias(EVERY)).distinct()
-    return _keep(docs, kept.unionByName(empty))
+    full = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    classes = jaccard_classes(docs).filter("n_shingles > 0")
+    one = classes.groupBy("class_node").agg(F.min(F.struct(_id("doc_id"), F.col("key").alias(KEY))).alias("x"))
+    return _keep(docs.filter(full), one.select(f"x.{ID}", f"x.{KEY}")).unionByName(docs.filter(~full))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; those without text, and repeated rows that hold none, stay."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4,096 tokens."""
+    """Pieces of documents in sequences of at most 4,096 tokens; a document without text is its end token alone."""
     ship_package(spark)
     return with_digest(pack(docs))
 
