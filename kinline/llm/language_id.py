@@ -163,12 +163,12 @@ def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     return out.select(public_id().alias(id_col), "lang_pred", "score")
 
 
-def accepted(documents: DataFrame, model: LanguageModel, text_col: str = "text", languages: list[str] | None = None, least_score: float = 0.5, least_fit: float = 0.0) -> DataFrame:
+def accepted(documents: DataFrame, model: LanguageModel, text_col: str = "text", languages: list[str] | None = None, least_score: float = 0.5, least_fit: float | None = None) -> DataFrame:
     """The rows whose language is one of ``languages`` (any that the model knows if None) with a probability of ``least_score``
     or more, with all their columns and without a shuffle.
 
-    A text whose n-grams are less likely in its best language than if all n-grams were alike is in none of them. Texts
-    without a letter go. A model without languages can tell nothing else, so it keeps all texts with a letter.
+    With a ``least_fit`` (0 will do), a text whose n-grams are on average less likely in its best language, by so many nats,
+    than if all n-grams were alike is in none of them. Texts without a letter go. A model without languages can tell nothing else, so it keeps all texts with a letter.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     wanted = set(model.langs if languages is None else languages)

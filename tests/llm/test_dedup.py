@@ -1,11 +1,13 @@
 """Edge rows and brute force for the deduplication operators, decontamination and the pipeline."""
 
+import collections
 import hashlib
 import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinline.llm import kernels as K
@@ -147,14 +149,50 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_multi_index_is_complete():
+@pytest.mark.parametrize(("n", "blocks"), [(300, None), (300, 1), (300, 8), (300, 13), (300, 37)])
+def test_multi_index_is_complete(n, blocks):
     rng = np.random.default_rng(2)
-    prints = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    near = prints[:50] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 30), replace=False)) for _ in range(50)], np.uint64)
-    q, item = MultiIndex(prints).find(near)
-    brute = {(i, j) for i in range(50) for j in range(300) if int(near[i] ^ prints[j]).bit_count() <= 24}
-    assert set(zip(q.tolist(), item.tolist(), strict=True)) == brute
-    assert len(simhashes(prints[:20], 5)) == 16
+    prints = rng.integers(0, 2**63, (n, 2), dtype=np.uint64)
+    near = prints[:50].copy()
+    for p in near:
+        for bit in rng.choice(128, rng.integers(0, 46), replace=False):
+            p[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    q, item = MultiIndex(prints, blocks=blocks).find(near)
+    brute = {(i, j) for i in range(50) for j in range(n) if sum(int(x).bit_count() for x in near[i] ^ prints[j]) <= 36}
+    assert len(brute) > 30 and set(zip(q.tolist(), item.tolist(), strict=True)) == brute
+    assert simhashes(prints[:20, 0], 5).shape == (16, 2)
+
+
+def test_multi_index_prunes_many_items():
+    """A query meets far fewer fingerprints than there are where there are many, and each once where there are few."""
+    rng = np.random.default_rng(4)
+    for n, share in ((50, 1.0), (400_000, 0.4)):
+        index = MultiIndex(rng.integers(0, 2**63, (n, 2), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (n, 2), dtype=np.uint64))
+        index.find(rng.integers(0, 2**63, (3, 2), dtype=np.uint64))
+        assert index.met <= share * 3 * n
+
+
+def test_recall_at_the_threshold():
+    """Windows that match with a similarity of 0.8 to 0.82, with and without repeated shingles, against brute force."""
+    rng = random.Random(5)
+    seen = total = 0
+    for t in range(120):
+        item = [f"w{rng.randrange(9000)}" for _ in range(60)]
+        if t % 3 == 0:
+            item[40:] = ["again"] * 20
+        window = list(item)
+        for at in ([20, 21] if t % 3 else [30, 31, 32]) if t % 2 else [3]:
+            window[at] = "changed"
+        if t % 3 == 0:
+            window[-3:] = ["other"] * 3
+        sh = lambda x: collections.Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
+        a, b = sh(item), sh(window)
+        both = sum((a & b).values())
+        if both >= 0.8 * sum((a | b).values()):
+            total += 1
+            (blk,) = K.blocks(pa.array([" ".join(window)]))
+            seen += bool(list(Items([(1, " ".join(item))]).matches(blk)))
+    assert total > 40 and seen == total
 
 
 def test_decontamination(spark):
@@ -170,6 +208,7 @@ def test_decontamination(spark):
     got = sorted((key(r.doc_id), r.item_id, round(r.similarity, 6)) for r in find_matches(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect() if r.item_id)
     assert got == [(LOW, 3, 1.0), (11, 1, 1.0), (12, 2, 1.0), (13, 3, 1.0), (14, 4, 1.0), (20, 4, round(50 / 60, 6)), (22, 3, 1.0), (22, 3, 1.0)]
     assert find_matches(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert find_matches(docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert list(Items([(1, "a b c d e f")]).matches(next(K.blocks(__import__("pyarrow").array(["q " * 50])))) ) == []
 
 

@@ -49,10 +49,79 @@ def test_packing_round_trip(spark):
 
 
 def test_harmonic_classes():
-    p = HarmonicPacker(16, 0)
-    full = [x for length in (4, 2, 4, 4, 2, 4, 8) for x in p.add(length, length)]
-    assert full == [(4, 0, 0), (4, 0, 4), (4, 0, 8), (4, 0, 12)]
-    assert p.close() == [(8, 1, 0), (2, 2, 0), (2, 2, 2)]
+    ids = lambda n: b"\0" * 4 * n
+    p = HarmonicPacker(16, 0, classes=4)
+    for doc, n in enumerate((7, 5, 40, 6)):  # class 2, class 3, two whole sequences and a rest of class 2, which fills it with the one before
+        p.add(doc, ids(n))
+    assert [(x.doc, x.start, x.length, s, o) for x, s, o in p.placed] == [(2, 0, 16, 0, 0), (2, 16, 16, 1, 0), (0, 0, 7, 2, 0), (2, 32, 8, 2, 7), (3, 0, 1, 2, 15)]
+    assert (p.spare.doc, p.spare.start, p.spare.length) == (3, 1, 5) and not p.waiting and [x.doc for x in p.open[3]] == [1]
+    p.close()
+    used = {}
+    for x, s, o in p.placed:
+        assert used.get(s, 0) == o
+        used[s] = o + x.length
+    assert sum(used.values()) == 58 and all(n & (n - 1) == 0 for n in used.values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packer_keeps_documents_whole(seed):
+    import random
+
+    rng = random.Random(seed)
+    p, lengths = HarmonicPacker(4096, 0), [rng.choice([1, 3, 30, 300, 900, 2500, 4096, 9000]) + rng.randrange(50) for _ in range(3000)]
+    for doc, n in enumerate(lengths):
+        p.add(doc, b"\0" * 4 * n)
+    p.close()
+    used, parts = {}, collections.defaultdict(list)
+    for x, s, o in p.placed:
+        assert used.get(s, 0) == o
+        used[s] = o + x.length
+        parts[x.doc].append((x.start, x.length))
+    assert all(n <= 4096 and n & (n - 1) == 0 for n in used.values())
+    for doc, n in enumerate(lengths):
+        at = 0
+        for start, length in sorted(parts[doc]):
+            assert start == at
+            at += length
+        assert at == n
+    assert len(p.placed) < 2 * len(lengths) + sum(lengths) / 4096
+
+
+def test_ids_crc32(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(word_bpe_path())
+    whole = lambda t: b"".join(struct.pack("<I", x) for x in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])
+    rows = [(i, t) for i, t in enumerate(t for _, t in EDGES)]
+    for r in with_digest(pack(edges(spark, rows))).collect():
+        ids = whole(rows[r.doc_id][1])
+        assert r.doc_tokens == len(ids) // 4 and r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)])
+
+
+def test_other_tokenizers_tokenise_whole_texts(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(word_bpe_path()).read())
+    spec["normalizer"] = None
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec))
+    text = "Some Words,  with CAPITALS"
+    (r,) = pack(edges(spark, [(1, text)]), str(path)).collect()[:1]
+    ids = [*Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids, 2]
+    assert r.doc_tokens == len(ids)
+
+
+def test_language_stage_goes_by_the_model(spark):
+    train = edges(spark, [(i, t) for i, t in enumerate(["the house of the", "and the other house of that"])])
+    model = language_id.train(train)
+    rows = [(1, "the house"), (2, "12"), (3, None), (4, "Ж" * 30), (5, "the house"), (5, "the house")]
+    keep = lambda **more: sorted(r.doc_id for r in language_id.accepted(edges(spark, rows), model, **more).collect())
+    assert keep() == [1, 4, 5, 5] and keep(least_fit=0.0) == [1, 5, 5]
+    assert keep(languages=["de"]) == [] and keep(languages=["en"], least_score=0.99) == [1, 4, 5, 5]
+    none = language_id.train(train.filter("false"))
+    assert sorted(r.doc_id for r in language_id.accepted(edges(spark, rows), none).collect()) == [1, 4, 5, 5]
 
 
 def test_language_edges(spark):
