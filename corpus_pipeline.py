@@ -21,6 +21,7 @@ ID, KEY, ROW = "__kinline_id", "__kinline_key", "__kinline_row"
 WORD = r"[^\x20\x09-\x0D]"
 LANGUAGES = None  # wanted languages; None: any that the labelled rows have
 LEAST_SCORE = 0.5  # probability of the predicted language
+LEAST_FIT = 0.0  # nats for each n-gram over what a text without a language would have
 
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -36,14 +37,14 @@ def _id(col: str):
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that are in none of ``LANGUAGES`` by a probability of ``LEAST_SCORE``, or without a letter or text.
+    """Documents go that are in none of ``LANGUAGES`` by a probability of ``LEAST_SCORE`` and a fit of ``LEAST_FIT``, or without a letter or text.
 
     The model learns from all labelled rows but a fifth; without labelled rows only texts without a letter go.
     Repeated rows and null ids are kept or go like any others.
     """
     ship_package(spark)
     model = lid.train(docs.filter(lid.fold("doc_id", 5) != 0))
-    return lid.accepted(docs, model, languages=LANGUAGES, least_score=LEAST_SCORE)
+    return lid.accepted(docs, model, languages=LANGUAGES, least_score=LEAST_SCORE, least_fit=LEAST_FIT)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
