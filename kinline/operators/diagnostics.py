@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinline.functions.features import jaccard
@@ -68,8 +68,12 @@ def audit_category() -> Column:
     )
 
 
+#: Words that count as legal forms in the investigation.
+INVESTIGATION_LEGAL = ["inc", "corp", "corporation", "incorporated", "llc", "ltd", "limited", "pvt", "private", "co", "company", "plc", "llp", "gmbh", "ag", "sa", "srl", "sl"]
+
+
 def investigation_category() -> Column:
-    """Category of a missed pair in the order of the investigation; what phonetics and words leave is ``other``."""
+    """Category of a missed pair in the order of the investigation; what no category before takes is ``other``."""
     from kinline.functions.keys import phonetic_code
     from kinline.functions.similarity import indel_ratio_col, partial_ratio_col
 
@@ -80,13 +84,26 @@ def investigation_category() -> Column:
     inside = lambda a, b: F.exists(a, lambda t: (F.length(t) <= 4) & F.exists(b, lambda u: u.contains(t) & (F.length(u) > F.length(t) + 2)))
     same = (F.size(s) > 0) & (F.size(F.array_except(s, o)) == 0) & (F.size(F.array_except(o, s)) == 0)
     digits = F.col("l_address_norm").rlike(r"\d") & F.col("r_address_norm").rlike(r"\d")
+    a, b = _words("l_name_norm"), _words("r_name_norm")
+    legal = F.array(*[F.lit(x) for x in INVESTIGATION_LEGAL])
+    only_legal = lambda x, y: F.size(F.array_except(F.array_except(x, y), legal)) == 0
+    suffix = (F.col("l_name_norm") != F.col("r_name_norm")) & only_legal(a, b) & only_legal(b, a)
     return (
-        F.when(F.col("l_country_norm") != F.col("r_country_norm"), "country mismatch").when(same & (l != r), "token reorder").when(_no_space("l_name_norm") == _no_space("r_name_norm"), "punctuation")
+        F.when(F.col("l_country_norm") != F.col("r_country_norm"), "country mismatch").when(suffix, "legal suffix").when(same & (l != r), "token reorder").when(_no_space("l_name_norm") == _no_space("r_name_norm"), "punctuation")
         .when(inside(s, o) | inside(o, s), "abbreviation").when(full & ((F.levenshtein(l, r) <= 2) | (indel_ratio_col(l, r) >= 0.8)), "spelling variation").when(full & (code("l_name_clean_legal") == code("r_name_clean_legal")), "phonetic miss")
-        .when(F.size(F.array_intersect(s, o)) >= 1, "missing name token").when(partial_ratio_col(l, r) >= 0.7, "transliteration").when(digits, "numeric/address variation").when(indel_ratio_col(l, r) < 0.4, "common name").otherwise("other")
+        .when(F.size(F.array_intersect(s, o)) >= 1, "missing name token").when(partial_ratio_col(l, r) >= 0.7, "transliteration").when(digits, "numeric/address variation").when((F.size(F.array_intersect(s, o)) == 0) & (indel_ratio_col(l, r) < 0.4), "common name").otherwise("other")
     )
 
 
+def category_samples(missed: DataFrame, category: Column, most: int = 3) -> DataFrame:
+    """(category, n, examples): the number of missed pairs of each category and the first ``most`` of them by id."""
+    named = missed.withColumn("category", category)
+    place = F.row_number().over(Window.partitionBy("category").orderBy("s1_entity_id", "candidate_entity_id"))
+    few = named.select("category", "s1_entity_id", "candidate_entity_id", place.alias("place")).filter(F.col("place") <= most)
+    shown = few.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "s1_entity_id", "candidate_entity_id"))), ", ").alias("examples"))
+    return named.groupBy("category").agg(F.count("*").alias("n")).join(shown, "category")
+
+
 def recovery_signals(pairs: DataFrame) -> DataFrame:
     """Share of true pairs that each equality recovers; a missing value equals nothing."""
     same = {c: (F.col(f"l_{c}") == F.col(f"r_{c}")) & (F.col(f"l_{c}") != "") for c in ("name_norm", "name_clean_legal", "address_norm", "country_norm")}

@@ -48,15 +48,24 @@ def score_ensemble(rows: DataFrame, models: list) -> DataFrame:
 
 
 def score_out_of_fold(rows: DataFrame, models: list) -> DataFrame:
-    """Each row by the model that didn't see its fold."""
-    df = _assembled(rows.withColumn("fold", fold(S1, FOLDS)))
-    out = None
+    """Each row by the model that didn't see its fold; a row of no fold (0: its anchor isn't in the mapping) has the probability 0.
+
+    ``rows`` may bring a column ``fold``; without one the fold goes by the hash of the anchor.
+    """
+    rows = rows if "fold" in rows.columns else rows.withColumn("fold", fold(S1, FOLDS))
+    df = _assembled(rows)
+    out = rows.filter((F.col("fold") == 0) | F.col("fold").isNull()).select(S1, CAND, F.lit(0.0).alias("probability"))
     for k, m in enumerate(models, 1):
         part = _probability(m, df.filter(F.col("fold") == k), "p").select(S1, CAND, F.col("p").alias("probability"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
+def accepted(scored: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose probability reaches the threshold, itself included."""
+    return scored.filter(F.col("probability") >= threshold)
+
+
 def importances(models: list) -> dict[str, float]:
     """Mean importance of each feature, largest first."""
     mean = {f: sum(float(m.featureImportances[i]) for m in models) / len(models) for i, f in enumerate(FEATURES)}

@@ -130,17 +130,17 @@ def found(ents: DataFrame, specs: list[Pass], bits: dict[str, int], more: dict[s
     return out
 
 
-def found_ctes(specs: list[Pass], bits: dict[str, int], keys: dict, more: dict[str, tuple]) -> str:
-    """CTEs that end in ``found`` (s1, c, b) and ``cand`` (s1, c, pass_mask)."""
+def found_ctes(specs: list[Pass], bits: dict[str, int], keys: dict, more: dict[str, tuple], as_: str = "") -> str:
+    """CTEs that end in ``found`` (s1, c, b) and ``cand`` (s1, c, pass_mask), all names with ``as_`` before them."""
     ctes, rows = [], []
     for s in (1, 2):
         for i, p in enumerate(specs):
-            ctes.append(sql.pass_ctes(p, keys[p.name], f"u{s}_{i}_", f"source = {s}"))
-            rows.append(f"SELECT s1, c, {bits[p.name]} AS b FROM u{s}_{i}_")
+            ctes.append(sql.pass_ctes(p, keys[p.name], f"{as_}u{s}_{i}_", f"source = {s}"))
+            rows.append(f"SELECT s1, c, {bits[p.name]} AS b FROM {as_}u{s}_{i}_")
         for i, (name, (_, more_ctes)) in enumerate(more.items()):
-            ctes.append(more_ctes(f"x{s}_{i}_", f"source = {s}"))
-            rows.append(f"SELECT s1, c, {bits[name]} AS b FROM x{s}_{i}_")
-    return f"{', '.join(ctes)}, found AS ({' UNION ALL '.join(rows)}), cand AS (SELECT s1, c, CAST(bit_or(b) AS INTEGER) AS pass_mask FROM found GROUP BY s1, c)"
+            ctes.append(more_ctes(f"{as_}x{s}_{i}_", f"source = {s}"))
+            rows.append(f"SELECT s1, c, {bits[name]} AS b FROM {as_}x{s}_{i}_")
+    return f"{', '.join(ctes)}, {as_}found AS ({' UNION ALL '.join(rows)}), {as_}cand AS (SELECT s1, c, CAST(bit_or(b) AS INTEGER) AS pass_mask FROM {as_}found GROUP BY s1, c)"
 
 
 def _union(name: str, specs: list[Pass], bits: dict[str, int], keys: dict, more: dict[str, tuple]) -> None:
@@ -157,3 +157,5 @@ SELECT s1 AS s1_entity_id, c AS candidate_entity_id, pass_mask, concat_ws('|', {
 _union("b1_u_combined", P.v1(), P.V1_BITS, sql.v1_keys(), V1_MORE)
 _union("b2_u_combined", P.v2(), P.V2_BITS, sql.v2_keys(), V2_MORE)
 _union("b3_u_combined", P.v3(), P.V3_BITS, sql.v3_keys(), V3_MORE)
+V1_TEST_MORE = V1_MORE | {"char_ngram_0.50": _grams(0.45, 20)}
+_union("b1_t_combined_test", P.v1(**P.V1_TEST), P.V1_BITS, sql.v1_keys(), V1_TEST_MORE)

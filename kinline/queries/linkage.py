@@ -40,10 +40,10 @@ def _exact(ents: DataFrame) -> DataFrame:
     return found(ents, [p for p in P.v3() if p.name == "exact_clean_legal"], P.V3_BITS, {}).select(S1, CAND)
 
 
-def _scored(ents: DataFrame) -> DataFrame:
-    """Candidates with a probability that both engines agree on: word Jaccard of the legal names."""
+def _scored(ents: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Candidates (those of the third generation by default) with a probability that both engines agree on: word Jaccard of the legal names."""
     words = lambda c: F.array_distinct(tokens(c))
-    return lookup(_candidates(ents), ents).withColumn("probability", F.round(jaccard(words("l_name_clean_legal"), words("r_name_clean_legal")), 6))
+    return lookup(_candidates(ents) if candidates is None else candidates, ents).withColumn("probability", F.round(jaccard(words("l_name_clean_legal"), words("r_name_clean_legal")), 6))
 
 
 def _universe(ents: DataFrame) -> DataFrame:
@@ -383,9 +383,16 @@ count(*) FILTER (n_true > 1 AND tp = n_true AND tp = n_pred) AS completely_corre
 (SELECT *, CASE WHEN n_pred = 0 AND n_true = 0 THEN 1.0 WHEN n_pred = 0 OR n_true = 0 THEN 0 ELSE tp / n_pred END AS p, CASE WHEN n_pred = 0 AND n_true = 0 THEN 1.0 WHEN n_pred = 0 OR n_true = 0 THEN 0 ELSE tp / n_true END AS r,
   CASE WHEN n_pred = 0 AND n_true = 0 THEN 1.0 WHEN tp = 0 THEN 0 ELSE 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * tp / n_pred + tp / n_true) END AS f FROM counts)"""
 _UNI = "uni AS (SELECT entity_id AS s1 FROM ent WHERE source = 0)"
+
+
+def _rule_tables() -> dict[str, str]:
+    """A common table ``rp`` (s1, c) of each rule's matches."""
+    same = lambda cols: " AND ".join(f"a.{c} = b.{c} AND a.{c} <> ''" for c in cols)
+    return {r: f"rp AS (SELECT a.entity_id AS s1, b.entity_id AS c FROM ent a JOIN ent b ON {same(cols)} WHERE a.source = 0 AND b.source > 0)" for r, cols in RULES.items()}
+
+
 for _i, (_rule, _cols) in enumerate(RULES.items(), 1):
-    _same = " AND ".join(f"a.{c} = b.{c} AND a.{c} <> ''" for c in _cols)
-    _pred = f"rp AS (SELECT a.entity_id AS s1, b.entity_id AS c FROM ent a JOIN ent b ON {_same} WHERE a.source = 0 AND b.source > 0)"
+    _pred = _rule_tables()[_rule]
 
     @query(f"r_{_i:02d}_rule_{_rule.lower()}", f"WITH {sql.ENT}, {_UNI}, {_pred}, {_COUNTS.format(pred='rp')} {_REPORT}")
     def _rule_report(spark, d, cols=_cols):

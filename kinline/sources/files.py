@@ -23,6 +23,48 @@ def read_source(spark: SparkSession, path: str, missing_as_empty: bool = False)
     return out.fillna("") if missing_as_empty else out
 
 
+def head(df: DataFrame, n: int, order: str = "entity_id") -> DataFrame:
+    """The first n rows by id; the order of a file isn't one of a table."""
+    return df.orderBy(order).limit(n)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def normalised_path(spark: SparkSession, folder: str, source: str) -> str:
+    """Where the normalised test table of a source is, under either of its names."""
+    for name in (f"{source}_test_normalized", f"test_{source}_normalized"):
+        for path in (f"{folder}/{name}", f"{folder}/{name}.parquet"):
+            if _exists(spark, path):
+                return path
+    raise FileNotFoundError(f"{folder} has no normalised table of {source}")
+
+
+def back_up(spark: SparkSession, path: str) -> str:
+    """Copies an output once beside itself; a copy that is there is never overwritten."""
+    copy = f"{path.rstrip('/')}.backup"
+    if _exists(spark, path) and not _exists(spark, copy):
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+        a, b = hadoop.Path(path), hadoop.Path(copy)
+        hadoop.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+    return copy
+
+
+def read_threshold(spark: SparkSession, path: str, default: float = 0.95) -> float:
+    """``optimal_threshold`` of a JSON file of metrics, or the default where the file or the value is missing."""
+    if not _exists(spark, path):
+        return default
+    value = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.optimal_threshold").cast("double")).first()
+    return default if value is None or value[0] is None else value[0]
+
+
+def truth_sets(pairs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(s1, ids): every anchor with the set of its matches, empty where it has none."""
+    return anchors.select(S1).join(pairs.groupBy(S1).agg(F.array_sort(F.collect_set(CAND)).alias("ids")), S1, "left").select(S1, F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+
+
 def truth_id_column(columns: list[str]) -> str:
     for c in TRUTH_ID_COLUMNS:
         if c in columns:
@@ -81,8 +123,7 @@ def version(df: DataFrame) -> str:
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
     """A table that is made once: read if it is there, else computed and written."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not _exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
