@@ -41,3 +41,15 @@ def rule_matches(left: DataFrame, right: DataFrame, columns: list[str]) -> DataF
     full = " and ".join(f"{c} != ''" for c in columns)
     a = left.filter(full).select(F.col("entity_id").alias(S1), *columns)
     return a.join(right.filter(full).select(F.col("entity_id").alias(CAND), *columns), columns).select(S1, CAND)
+
+
+def rule_counts(anchors: DataFrame, targets: DataFrame, columns: list[str], truth: DataFrame) -> DataFrame:
+    """(s1, n_pred, n_true, tp) of every anchor, without its matches: a name that k anchors and m targets share is
+    counted once on each side, not k * m times. Ids are unique on either side."""
+    full = " and ".join(f"{c} != ''" for c in columns)
+    sizes = targets.filter(full).groupBy(*columns).agg(F.count("*").alias("n_pred"))
+    predicted = anchors.filter(full).select(F.col("entity_id").alias(S1), *columns).join(sizes, columns).select(S1, "n_pred")
+    key = F.when(F.expr(full), F.struct(*columns))
+    pairs = truth.select(S1, CAND).distinct().join(anchors.select(F.col("entity_id").alias(S1), key.alias("ka")), S1, "left").join(targets.select(F.col("entity_id").alias(CAND), key.alias("kb")), CAND, "left")
+    true = pairs.groupBy(S1).agg(F.count("*").alias("n_true"), F.count_if(F.col("ka") == F.col("kb")).alias("tp"))
+    return anchors.select(F.col("entity_id").alias(S1)).join(predicted, S1, "left").join(true, S1, "left").fillna(0, ["n_pred", "n_true", "tp"])

@@ -11,7 +11,7 @@ from kinline.operators import diagnostics as D
 from kinline.operators import metrics as M
 from kinline.operators import submission as X
 from kinline.operators.keyed_pass import CAND, S1
-from kinline.operators.rules import RULES, rule_matches
+from kinline.operators.rules import RULES, rule_counts, rule_matches
 from kinline.plans import passes as P
 from kinline.queries import sql
 from kinline.queries.blocking import V1_MORE, V2_MORE, V3_MORE, found, found_ctes
@@ -108,8 +108,7 @@ _RULE_TABLES = _rule_tables()
 @query("r_11_best_rule", f"WITH {sql.ENT}, uni AS (SELECT entity_id AS s1 FROM ent WHERE source = 0) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, x.* FROM (WITH {p}, {_COUNTS.format(pred='rp')} {_REPORT}) x" for r, p in _RULE_TABLES.items()) + ") ORDER BY macro_f05 DESC, rule LIMIT 1")
 def _r_11(spark, d):
     e = entities(spark, d)
-    t, every = truth(e), _universe(e)
-    reports = [M.rule_report(M.entity_counts(every, rule_matches(e.filter("source = 0"), e.filter("source > 0"), cols), t)).withColumn("rule", F.lit(r)) for r, cols in RULES.items()]
+    reports = [M.rule_report(rule_counts(e.filter("source = 0"), e.filter("source > 0"), cols, truth(e))).withColumn("rule", F.lit(r)) for r, cols in RULES.items()]
     return reduce(DataFrame.unionByName, reports).orderBy(F.desc("macro_f05"), "rule").limit(1)
 
 

@@ -13,7 +13,7 @@ from kinline.operators import metrics as M
 from kinline.operators import submission as X
 from kinline.operators.combine import combine
 from kinline.operators.keyed_pass import CAND, S1
-from kinline.operators.rules import RULES, rule_matches
+from kinline.operators.rules import RULES, rule_counts, rule_matches
 from kinline.operators.sampling import fold, hard_negative, in_training, stratified, training_sample
 from kinline.plans import passes as P
 from kinline.queries import sql
@@ -397,8 +397,7 @@ for _i, (_rule, _cols) in enumerate(RULES.items(), 1):
     @query(f"r_{_i:02d}_rule_{_rule.lower()}", f"WITH {sql.ENT}, {_UNI}, {_pred}, {_COUNTS.format(pred='rp')} {_REPORT}")
     def _rule_report(spark, d, cols=_cols):
         e = entities(spark, d)
-        found = rule_matches(e.filter("source = 0"), e.filter("source > 0"), cols)
-        return M.rule_report(M.entity_counts(_universe(e), found, truth(e)))
+        return M.rule_report(rule_counts(e.filter("source = 0"), e.filter("source > 0"), cols, truth(e)))
 
 
 @_q("r_10_ambiguous_keys", "SELECT name_clean_legal AS k, count(*) AS targets FROM ent WHERE source > 0 AND name_clean_legal <> '' AND name_clean_legal IN (SELECT name_clean_legal FROM ent WHERE source = 0) GROUP BY 1 HAVING count(*) > 1 ORDER BY targets DESC, k LIMIT 10", sql.ENT)
