@@ -31,7 +31,7 @@ from kinline.llm.common import batch_of, id_and_text, materialize, public_id
 
 WHITE = b" \t\n\x0b\x0c\r"
 SALTS = 64
-MAX_LIVE = 200_000  # digests that a task holds before it sends the oldest half on and deletes them
+MAX_LIVE = 200_000  # digests that a task holds before it sends the oldest half on and deletes them; their groups are merged later
 
 
 class CuckooIndex:
@@ -145,16 +145,16 @@ def _batch(items: list) -> pa.RecordBatch:
     return batch_of(_digest=pa.array(k, pa.binary()), chars=chars, keep=keep, row=row, size=size, salts=salts)
 
 
-def _through_index(batches, read, bounded: bool):
+def _through_index(batches, most: int):
     index, order = CuckooIndex(), []
     for batch in batches:
-        for digest, value in read(batch):
+        for digest, value in _rows(batch):
             held = index.find(digest)
-            if held is None and bounded:
+            if held is None:
                 order.append(digest)
             index.insert(digest, value if held is None else _better(held, value))
-            if bounded and index.live >= MAX_LIVE:
-                old, order = order[: MAX_LIVE // 2], order[MAX_LIVE // 2 :]
+            if index.live >= most:
+                old, order = order[: most // 2], order[most // 2 :]
                 yield _batch([(k, index.find(k)) for k in old])
                 for k in old:
                     index.delete(k)
@@ -173,12 +173,27 @@ def _groups(batch):
     return ((d, (c, i, r, n, s & 0xFFFFFFFFFFFFFFFF)) for d, c, i, r, n, s in zip(*cols, strict=True))
 
 
-def _partial(batches):
-    return _through_index(batches, _rows, bounded=True)
+def _partial(most: int):
+    return lambda batches: _through_index(batches, most)
 
 
 def _merge(batches):
-    return _through_index(batches, _groups, bounded=False)
+    """Of groups sorted by digest one for each: a digest that is followed by another is complete, is sent on and deleted from the index."""
+    index, done, last = CuckooIndex(), [], None
+    for batch in batches:
+        for digest, value in _groups(batch):
+            if digest != last and last is not None:
+                done.append((last, index.find(last)))
+                index.delete(last)
+                if len(done) >= 50_000:
+                    yield _batch(done)
+                    done = []
+            held = index.find(digest)
+            index.insert(digest, value if held is None else _better(held, value))
+            last = digest
+    done += index.items()
+    if done:
+        yield _batch(done)
 
 
 def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,18 +203,18 @@ def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return materialize(out).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
+def verdicts(rows: DataFrame, max_live: int = MAX_LIVE) -> DataFrame:
     """(_digest, _salt, keep, row, size) of each group, once for every salt that it has rows of."""
-    partial = rows.repartition("_digest", "_salt").mapInArrow(_partial, GROUPS)
-    merged = partial.repartition("_digest").mapInArrow(_merge, GROUPS)
+    partial = rows.repartition("_digest", "_salt").mapInArrow(_partial(max_live), GROUPS)
+    merged = partial.repartition("_digest").sortWithinPartitions("_digest").mapInArrow(_merge, GROUPS)
     salt = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftrightunsigned(salts, s) & 1) = 1)"))
     return merged.select("_digest", salt.alias("_salt"), F.col("keep").alias("_keep"), F.col("row").alias("_kept_row"), F.col("size").alias("_size"))
 
 
-def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_live: int = MAX_LIVE) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256, key): one row for each row of the input; ``key`` is a hash of id and text."""
     rows = digests(documents, id_col, text_col)
-    out = rows.join(verdicts(rows), ["_digest", "_salt"])
+    out = rows.join(verdicts(rows, max_live), ["_digest", "_salt"])
     return out.select(
         public_id().alias(id_col),
         public_id("_keep").alias("keep_id"),
