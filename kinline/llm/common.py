@@ -24,6 +24,25 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
 
+def cut(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """``most`` rows at most of n (_id, _text and more), by the order of a hash of id and text; before any row moves, a
+    bound on that hash leaves little more than ``most``."""
+    if n <= most:
+        return rows
+    bound = MIN_LONG + int(2**64 * min(1, (1.05 * most + 100) / n)) - 1
+    return rows.withColumn("_h", F.xxhash64("_id", "_text", F.lit(7))).filter(F.col("_h") <= bound).orderBy("_h", "_id").limit(most).drop("_h")
+
+
+def bounded_rows(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """Of ``docs`` (_id, _text) rows with an id in ``known`` (_id and more columns, ids not null), joined with it: ``most`` at most.
+
+    ``most`` rows of ``known`` by a hash of the id are broadcast; as an id may have any number of documents, their rows are cut as well.
+    """
+    chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(most))
+    rows = docs.filter(F.col("_id") != MIN_LONG).join(chosen, "_id")
+    return cut(rows, rows.count(), most)
+
+
 def public_id(col: str = "_id"):
     return F.when(F.col(col) != F.lit(MIN_LONG), F.col(col))
 

@@ -10,15 +10,18 @@
 3. *Scoring.* Words of the restored text and their first four to six bytes are features; those that lean
    towards toxic rows in a bounded sample of labelled training rows get weights by logistic regression.
 
+Labels are learned from at most ``SAMPLE`` rows of documents with a label, by the order of a hash of id and text; a
+feature has a weight if ``MIN_TOXIC`` toxic rows of these have it and it is among the ``FEATURES`` that lean most
+towards them. These are parameters of what is fitted. Every text is counted, restored and scored whole.
+
 Defined results: null and empty texts score like a text without features; rows and ids may repeat; a null
-id counts as an empty text in the fold rule; labels of unknown or repeated ids count once for each row;
+id counts as an empty text in the fold rule; labels with a null id or of unknown ids are passed over, repeated ones count once for each row;
 without labels of both kinds every score is the share of toxic rows (0 without labels); other columns are
 ignored.
 """
 
 from __future__ import annotations
 
-import re
 from math import log
 
 import numpy as np
@@ -27,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinline.llm import kernels as K
-from kinline.llm.common import batch_of, id_and_text, numpy, public_id, signed
+from kinline.llm.common import batch_of, bounded_rows, id_and_text, numpy, public_id, signed
 from kinline.llm.language_id import fold
 from kinline.llm.linear import adam, sigmoid
 
 SAMPLE = 20_000  # labelled rows at most that weights are fitted on, by the order of a hash of the id
 FEATURES = 4_096  # features at most that have a weight
+MIN_TOXIC = 3  # toxic rows that have a feature with a weight
 ORDER = 4
 OTHER, SPACE = 26, 27
 SYMBOLS = 28
@@ -40,7 +44,6 @@ SYMBOLS = 28
 # What a sign may stand for.
 RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "#": "h", "%": "o", "&": "a"}
 SEPARATORS = "-_.*~'`"
-LAG = 128
 SAME, LIKE, DROP, REPEAT = log(0.9), log(0.08), log(0.05), log(0.4)
 
 _CLASS = np.full(256, SPACE, np.int64)
@@ -55,23 +58,21 @@ _LIKES = [c.encode() for c in RESEMBLES]
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in RESEMBLES]] = True
 _SIGN[[ord(c) for c in SEPARATORS]] = True
-_RUN = re.compile(r"(?<!\S)(?:\S[ \-_.*~]){2,}\S(?!\S)")
 
 
 def _count(batches):
     total = np.zeros(SYMBOLS**ORDER, np.int64)
     for batch in batches:
         for b in K.blocks(batch.column("_text")):
-            if len(b.data) < ORDER:
+            if not len(b.data):
                 continue
-            c = _CLASS[b.data].copy()
-            c[b.offsets[:-1][b.offsets[:-1] < len(c)]] = SPACE
+            c = np.insert(_CLASS[b.data], b.offsets[:-1], SPACE)
             keep = np.ones(len(c), bool)
             keep[1:] = (c[1:] < OTHER) | (c[1:] != c[:-1])  # one space between words, one mark for the bytes of a letter
             c = c[keep]
-            code = c[: len(c) - ORDER + 1].copy()
+            code = c[: max(0, len(c) - ORDER + 1)].copy()
             for i in range(1, ORDER):
-                code = code * SYMBOLS + c[i : len(c) - ORDER + 1 + i]
+                code = code * SYMBOLS + c[i : i + len(code)]
             if len(code):
                 total += np.bincount(code, minlength=len(total))
     at = np.flatnonzero(total)
@@ -108,19 +109,31 @@ def _symbol(ch: str) -> int:
     return ord(ch) - 97 if "a" <= ch <= "z" else OTHER if ch.isalpha() else SPACE
 
 
-def viterbi(text: str, model: CharModel, spaced: bool = False) -> str:
-    """The likeliest plain text of a disguised word; ``spaced``: single blanks may be part of the disguise too."""
-    states: dict[tuple, tuple[float, str]] = {(SPACE, SPACE, SPACE): (0.0, "")}
-    previous, head = "", []
-    for at, ch in enumerate(text.lower(), 1):
+def steps(text: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    """The lattice: what each character may stand for, and the channel's log-probability of that."""
+    out, previous = [], ""
+    for ch in text.lower():
         options: list[tuple[str, float]] = [(ch, SAME)]
         options += [(x, LIKE - log(len(RESEMBLES[ch]))) for x in RESEMBLES.get(ch, "")]
         if ch in SEPARATORS or (spaced and ch == " "):
             options.append(("", log(0.5) if spaced else DROP))
         if ch == previous:
             options.append(("", REPEAT))
-        new: dict[tuple, tuple[float, str]] = {}
-        for (a, b, c), (score, out) in states.items():
+        out.append(options)
+        previous = ch
+    return out
+
+
+def viterbi(text: str, model: CharModel, spaced: bool = False) -> str:
+    """The likeliest plain text of a disguised word; ``spaced``: single blanks may be part of the disguise too.
+
+    A state is the last three symbols, so there are as many at most as three characters have readings, whatever the
+    length; none is dropped. Paths share their beginnings, so memory grows with the length and not with its square.
+    """
+    states: dict[tuple, tuple[float, tuple | None]] = {(SPACE, SPACE, SPACE): (0.0, None)}
+    for options in steps(text, spaced):
+        new: dict[tuple, tuple[float, tuple | None]] = {}
+        for (a, b, c), (score, path) in states.items():
             for x, channel in options:
                 key, s = (a, b, c), score + channel
                 if x:
@@ -129,15 +142,14 @@ def viterbi(text: str, model: CharModel, spaced: bool = False) -> str:
                         s += model.of(a, b, c, d)
                         key = (b, c, d)
                 if key not in new or s > new[key][0]:
-                    new[key] = (s, out + x)
-        states = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:64])
-        previous = ch
-        if at % LAG == 0:  # what lies ``LAG`` characters back is settled by the best path; all paths go on
-            settled = next(iter(states.values()))[1][:-LAG]
-            if settled:
-                head.append(settled)
-                states = {k: (v, out[len(settled) :]) for k, (v, out) in states.items() if out.startswith(settled)}
-    return "".join(head) + max((s + model.of(a, b, c, SPACE) * (c != SPACE), out) for (a, b, c), (s, out) in states.items())[1]
+                    new[key] = (s, (path, x) if x else path)
+        states = new
+    path = max(((s + model.of(a, b, c, SPACE) * (c != SPACE), path) for (a, b, c), (s, path) in states.items()), key=lambda x: x[0])[1]
+    out = []
+    while path:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -315,9 +327,8 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_
     sc = documents.sparkSession.sparkContext
     counts = language_model(documents, text_col)
     shared = sc.broadcast(counts)
-    chosen = labels.filter(F.col(label_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = id_and_text(documents, id_col, text_col).join(F.broadcast(chosen), "_id")  # at most ``sample`` rows of 12 bytes
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    rows = bounded_rows(id_and_text(documents, id_col, text_col), known, sample)
     n = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
     prior = toxic / max(1, toxic + other)
@@ -326,7 +337,7 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_
         return none
     by_feature = rows.mapInArrow(_feature_counts(shared), "f long, toxic long, other long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lean = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
-    best = by_feature.filter(f"toxic >= 3 and toxic * {other} > 2 * other * {toxic}").orderBy(F.desc(F.col("toxic") * lean), "f").limit(FEATURES).toArrow()
+    best = by_feature.filter(f"toxic >= {MIN_TOXIC} and toxic * {other} > 2 * other * {toxic}").orderBy(F.desc(F.col("toxic") * lean), "f").limit(FEATURES).toArrow()
     hashes = np.sort(best["f"].to_numpy().view(np.uint64))
     if not len(hashes):
         return none
