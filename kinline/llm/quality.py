@@ -7,11 +7,12 @@ class prior is estimated: a first classifier of positives against unlabelled tex
 prior is the least ratio, over all cuts, of the share of unlabelled texts above a cut to the share of
 positives above it, each within its sampling error.
 
-Positives and unlabelled texts are samples of at most ``SAMPLE`` rows each, by the order of a hash of the id;
-that is documented as a bound on what is fitted, and every row is scored.
+Weights are fitted on at most ``SAMPLE`` rows of trusted positives and as many unlabelled ones, by the order of a hash
+of id and text; that is documented as a bound on what is fitted. The unlabelled side of the class prior comes from all rows: the
+first classifier scores every text into a histogram of ``LEVELS`` levels, added up within tasks. Every row is scored.
 
 Defined results: null and empty texts have the statistics of an empty text; rows and ids may repeat; a null
-id counts as an empty text in the fold rule; without positives every score is 0.5; other columns are ignored.
+id counts as an empty text in the fold rule, and labels with one are passed over; without positives every score is 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinline.llm import kernels as K
-from kinline.llm.common import MIN_LONG, batch_of, id_and_text, public_id
+from kinline.llm.common import batch_of, bounded_rows, cut, id_and_text, public_id
 from kinline.llm.linear import adam, sigmoid
 
 SAMPLE = 20_000
 BINS = 12
+LEVELS = 4_000  # of scores in the histograms that the class prior comes from
 _KIND = np.zeros(256, np.int64)  # 0 sign, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 other byte, 7 sentence sign
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[9, 11, 12, 13, 32]], _KIND[10], _KIND[128:] = 1, 2, 3, 4, 5, 6
 _KIND[[ord(c) for c in ".,;:?'"]] = 7
@@ -86,49 +88,82 @@ class QualityModel:
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(self.edges[j], x[:, j], "right") + j * (BINS + 1) for j in range(x.shape[1])], axis=1)
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return self.weights[self.bins(x)].sum(1) + self.bias
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.weights[self.bins(x)].sum(1) + self.bias)
+        return sigmoid(self.raw(x))
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Least ratio of unlabelled to positive mass above a cut, with Hoeffding margins of each share."""
-    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.95, 96)))
-    up = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
-    uu = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
-    e_p, e_u = (np.sqrt(np.log(40) / (2 * n)) for n in (len(positive), len(unlabelled)))
-    ok = up > 2 * e_p
+    """Least ratio of unlabelled to positive mass above a cut, with Hoeffding margins of each share. Both are counts by rising level of score."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    above = lambda n: np.cumsum(n[::-1])[::-1] / max(1, n.sum())
+    up, uu = above(positive), above(unlabelled)
+    e_p, e_u = (np.sqrt(np.log(40) / (2 * max(1, n))) for n in (n_p, n_u))
+    ok = up > max(2 * e_p, 0.05)
     return float(np.clip(np.min((uu[ok] + e_u) / (up[ok] - e_p), initial=1), 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> QualityModel:
-    both = np.concatenate((positive, unlabelled))
-    edges = np.quantile(both, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
-    model = QualityModel(edges, np.zeros(both.shape[1] * (BINS + 1)), 0.0, 0.5)
-    p, u = model.bins(positive), model.bins(unlabelled)
-    size = len(model.weights)
+def levels(z: np.ndarray) -> np.ndarray:
+    """Counts of scores before the sigmoid in LEVELS steps from -20 to 20."""
+    return np.bincount(np.clip((z + 20) / 40 * LEVELS, 0, LEVELS - 1).astype(np.int64), minlength=LEVELS)
+
+
+class Fit:
+    """The two classifiers over one binning of the statistics of the sampled rows."""
+
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400):
+        both = np.concatenate((positive, unlabelled))
+        edges = np.quantile(both, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
+        self.steps, self.model = steps, QualityModel(edges, np.zeros(both.shape[1] * (BINS + 1)), 0.0, 0.5)
+        self.p, self.u, self.size = self.model.bins(positive), self.model.bins(unlabelled), len(self.model.weights)
+
+    def _spread(self, d, at):
+        return np.bincount(at.ravel(), weights=np.repeat(d, at.shape[1]), minlength=self.size)
+
+    def ordering(self) -> QualityModel:
+        """Positives against unlabelled rows: its scores only order texts."""
+        p, u, size = self.p, self.u, self.size
+
+        def gradient(w):
+            dp = (sigmoid(w[p].sum(1) + w[size]) - 1) / len(p)
+            du = sigmoid(w[u].sum(1) + w[size]) / len(u)
+            return np.append(self._spread(dp, p) + self._spread(du, u) + 1e-4 * w[:size], dp.sum() + du.sum())
 
-    def spread(d, at):
-        return np.bincount(at.ravel(), weights=np.repeat(d, at.shape[1]), minlength=size)
+        w = adam(gradient, size + 1, self.steps, 0.05)
+        return QualityModel(self.model.edges, w[:size], float(w[size]), 0.5)
 
-    def plain(w):
-        dp = (sigmoid(w[p].sum(1) + w[size]) - 1) / len(p)
-        du = sigmoid(w[u].sum(1) + w[size]) / len(u)
-        return np.append(spread(dp, p) + spread(du, u) + 1e-4 * w[:size], dp.sum() + du.sum())
+    def non_negative(self, prior: float) -> QualityModel:
+        """Minimises the non-negative unbiased risk under a class prior."""
+        p, u, size = self.p, self.u, self.size
 
-    first = adam(plain, size + 1, steps, 0.05)
-    prior = estimate_prior(first[p].sum(1), first[u].sum(1))
+        def gradient(w):
+            zp, zu = w[p].sum(1) + w[size], w[u].sum(1) + w[size]
+            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+            du, dn = sigmoid(zu) / len(u), -prior * sigmoid(zp) / len(p)
+            dp = prior * (sigmoid(zp) - 1) / len(p)
+            if negative < 0:  # only climb back until the risk of the negatives isn't below 0
+                return np.append(-(self._spread(du, u) + self._spread(dn, p)), -(du.sum() + dn.sum()))
+            return np.append(self._spread(dp + dn, p) + self._spread(du, u) + 1e-4 * w[:size], (dp + dn).sum() + du.sum())
 
-    def non_negative(w):
-        zp, zu = w[p].sum(1) + w[size], w[u].sum(1) + w[size]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        du, dn = sigmoid(zu) / len(u), -prior * sigmoid(zp) / len(p)
-        dp = prior * (sigmoid(zp) - 1) / len(p)
-        if negative < 0:  # only climb back until the risk of the negatives isn't below 0
-            return np.append(-(spread(du, u) + spread(dn, p)), -(du.sum() + dn.sum()))
-        return np.append(spread(dp + dn, p) + spread(du, u) + 1e-4 * w[:size], (dp + dn).sum() + du.sum())
+        w = adam(gradient, size + 1, self.steps, 0.05)
+        return QualityModel(self.model.edges, w[:size], float(w[size]), prior)
 
-    w = adam(non_negative, size + 1, steps, 0.05)
-    return QualityModel(edges, w[:size], float(w[size]), prior)
+
+def _histogram(model):
+    """Levels of all texts of a task."""
+
+    def run(batches):
+        m, total = model.value, np.zeros(LEVELS, np.int64)
+        for batch in batches:
+            for b in K.blocks(batch.column("_text")):
+                total += levels(m.raw(statistics(b)))
+        at = np.flatnonzero(total)
+        if len(at):
+            yield batch_of(level=at, n=total[at])
+
+    return run
 
 
 def _statistics(batches):
@@ -140,17 +175,24 @@ def _statistics(batches):
 
 def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel | None:
     """``labels`` are those that may be learned from, of which only the positive ones are read."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(MIN_LONG)).alias("_id")
-    positive = labels.filter(F.col(label_col) == 1).select(key).distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(sample)
-    anything = documents.select(key).distinct().orderBy(F.xxhash64("_id", F.lit(2)), "_id").limit(sample)
-    chosen = positive.withColumn("_kind", F.lit(1)).unionByName(anything.withColumn("_kind", F.lit(0)))
-    rows = id_and_text(documents, id_col, text_col).join(F.broadcast(chosen), "_id")  # at most twice ``sample`` ids
+    docs = id_and_text(documents, id_col, text_col)
+    trusted = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id")).distinct()
+    positive = bounded_rows(docs, trusted, sample).withColumn("_kind", F.lit(1))
+    anything = cut(docs, docs.count(), sample).withColumn("_kind", F.lit(0))
+    rows = positive.unionByName(anything)
     got = rows.mapInArrow(_statistics, "kind int, x array<double>").toArrow().combine_chunks()
     kind = got["kind"].to_numpy()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(kind), -1) if len(kind) else np.zeros((0, len(NAMES)))
     if not (kind == 1).any() or not (kind == 0).any():
         return None
-    return fit(x[kind == 1], x[kind == 0])
+    fit = Fit(x[kind == 1], x[kind == 0])
+    first = fit.ordering()
+    shared = documents.sparkSession.sparkContext.broadcast(first)
+    got = docs.select("_text").mapInArrow(_histogram(shared), "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).toArrow()  # LEVELS rows at most
+    everything = np.zeros(LEVELS, np.int64)
+    everything[got["level"].to_numpy()] = got["n"].to_numpy()
+    positives = levels(first.raw(x[kind == 1]))
+    return fit.non_negative(estimate_prior(positives, everything))
 
 
 def _score(model):
