@@ -2,7 +2,7 @@
 
 Logs often hold a conversation once after every turn. A conversation goes if its turns are the first turns
 of a longer one, or all turns of one with a smaller id. Prefixes are compared by rolling hashes: a turn's
-prefix hash is the exclusive or of 128 bits of hash of (turn, role, text) over it and all turns before it.
+prefix hash is the exclusive or of 120 bits of hash of (turn, role, text) over it and all turns before it.
 Anti-joins against the distinct prefix hashes retain maximal conversations, which are then rendered.
 
 A conversation of any number of turns is dealt out in blocks of turns: the running hash within a block is a
@@ -11,16 +11,26 @@ text comes in segments of the same blocks, so no task gathers a conversation who
 
 Everything is DataFrame functions. Defined results: a turn that is repeated (same conversation, number, role
 and text) counts once; turns of one number are ordered by role and text; null role and text count as empty
-when rendered, and differ from empty ones in comparisons; a null turn comes first; rows without a
-conversation id are left out; other columns are ignored.
+when rendered, and differ from empty ones in comparisons; a null turn comes before all others when rendered with them
+in a segment, and counts as turn -1 among the numbers; rows without a conversation id are left out; an empty table
+gives none; other columns are ignored. Control tokens within a role or text are rendered with a blank after their first
+character, and line ends of a role as blanks, so no text can forge a turn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 256  # turns of a segment
+CONTROL = ["<|im_start|>", "<|im_end|>"]  # fixed values
+
+
+def _plain(x: Column, role: bool = False) -> Column:
+    """Without control tokens: the bar of each gets a blank before it. A role is one line."""
+    for token in CONTROL:
+        x = F.replace(x, F.lit(token), F.lit(f"<{' '}{token[1:]}"))
+    return F.translate(x, "\r\n", "  ") if role else x
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
@@ -58,5 +68,5 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     kept = maximal_conversations(conversations)
     key = F.struct(F.coalesce("turn", F.lit(-1)).alias("t"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     segments = _turns(conversations).groupBy("conv_id", "seg").agg(F.array_sort(F.collect_list(key)).alias("turns"))
-    text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit("<|im_start|>"), t["role"], F.lit("\n"), t["text"], F.lit("<|im_end|>\n"))), "")
+    text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit("<|im_start|>"), _plain(t["role"], role=True), F.lit("\n"), _plain(t["text"]), F.lit("<|im_end|>\n"))), "")
     return segments.join(kept, "conv_id").select("conv_id", F.col("seg").alias("segment"), "n_turns", "n_copies", text.alias("rendered"))
