@@ -7,7 +7,7 @@ own block. Record ids are urn:uuid names made from page id, URL and digest, so a
 Text: scripts, styles and comments go; block tags end lines; other tags go; five common entities and the
 no-break space are resolved; blanks are joined. Everything is DataFrame functions on single rows, without a
 shuffle. Defined results: null html is empty and gives records with empty text; null ids and URLs are empty
-in names and null in the output; repeated rows give the same records again; a page whose html begins with
+in names and null in the output; repeated rows give the same records again; an empty table gives none; a page whose html begins with
 ``HTTP/`` has its header block up to the first empty line; other columns are ignored.
 """
 
@@ -81,10 +81,12 @@ def derivatives(pages: DataFrame) -> DataFrame:
 
 
 def rendered(records: DataFrame, date: str) -> DataFrame:
-    """Each record as the text of a WARC/1.1 file's record, dated ``date``."""
+    """Each record as the text of a WARC/1.1 file's record, dated ``date``. A record without a URL has no header for one, and none
+    claims the response's payload digest as its own; the metadata record names it as the source's."""
+    of_response = F.when(F.col("target_uri").isNotNull(), F.concat(F.lit("\r\nWARC-Refers-To-Target-URI: "), "target_uri", F.lit("\r\nWARC-Target-URI: "), "target_uri")).otherwise(F.lit(""))
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), "record_type", F.lit("\r\nWARC-Record-ID: <"), "record_id", F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Refers-To: <"), "refers_to",
-        F.lit(">\r\nWARC-Target-URI: "), F.coalesce("target_uri", F.lit("")), F.lit("\r\nWARC-Payload-Digest: "), "payload_digest", F.lit("\r\nWARC-Block-Digest: "), "block_digest",
-        F.lit("\r\nContent-Type: "), "content_type", F.lit("\r\nContent-Length: "), F.col("content_length").cast("string"), F.lit("\r\n\r\n"), "content", F.lit("\r\n\r\n"),
+        F.lit(">"), of_response, F.lit("\r\nWARC-Block-Digest: "), "block_digest", F.lit("\r\nContent-Type: "), "content_type",
+        F.lit("\r\nContent-Length: "), F.col("content_length").cast("string"), F.lit("\r\n\r\n"), "content", F.lit("\r\n\r\n"),
     )
     return records.select("page_id", "record_type", "record_id", header.alias("record"))
