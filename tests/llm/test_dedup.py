@@ -11,10 +11,10 @@ import pyarrow as pa
 import pytest
 
 from kinline.llm import kernels as K
-from kinline.llm.components import connected_components
+from kinline.llm.components import connected_components, merged
 from kinline.llm.decontamination import Items, MultiIndex, find_matches, simhashes
 from kinline.llm.exact_dedup import CuckooIndex, exact_dedup
-from kinline.llm.ngram_jaccard import jaccard_classes, sketch, sketch_distance
+from kinline.llm.ngram_jaccard import _pack_counts, _unpack_counts, jaccard_classes, prefix, sketch, sketch_distance
 from kinline.llm.substring_dedup import cover_for, difference_cover, substring_dedup
 
 SCHEMA = "doc_id long, text string, n_words long, kept string, _id long, h long"  # with names that clash
@@ -91,6 +91,16 @@ def test_cuckoo_index():
     assert all(index.find(d) == live.get(d) for d in digests)
 
 
+def test_exact_with_deletion(spark):
+    """Tasks that may hold four digests at a time send groups on, delete them and meet them again."""
+    rows = [(i, f"text {i % 37}" + " " * (i % 5)) for i in range(400)]
+    got = exact_dedup(docs(spark, rows), max_live=4).collect()
+    assert len(got) == 400 and sum(r.kept for r in got) == 37
+    for r in got:
+        same = [(-len(t), i) for i, t in rows if i % 37 == r.doc_id % 37]
+        assert (r.keep_id, r.group_size) == (min(same)[1], len(same))
+
+
 def test_exact(spark):
     rows = [*corpus(5), (90, "a bc"), (91, "ab  \n c"), (92, "abc"), (93, "ab c    ")]
     norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
@@ -135,6 +145,26 @@ def test_classes(spark, seed):
     assert got == expected
 
 
+def test_classes_where_hashes_clash(spark):
+    """With five bits of hash most sets share theirs with others, and are still told apart."""
+    rows = corpus(4)
+    see = lambda bits: sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in jaccard_classes(docs(spark, rows), hash_bits=bits).collect())
+    assert see(5) == see(64)
+
+
+def test_prefix_of_the_global_order():
+    rng = np.random.default_rng(0)
+    levels = rng.integers(0, 50, 1 << 22).astype(np.uint16)
+    x = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2))
+    want = sorted(x.tolist(), key=lambda h: (int(levels[h >> 42]), h))
+    assert prefix(x, 90, levels).tolist() == want[:90]
+    for part in (rng.integers(0, 2, 1 << 16).astype(np.uint32), (rng.random(1 << 16) < 0.01).astype(np.uint32) * 999):
+        at, n = _unpack_counts(_pack_counts(part))
+        out = np.zeros(1 << 16, np.int64)
+        out[at] = n
+        assert (out == np.minimum(part, 255)).all()
+
+
 def test_sketch_never_overstates():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -147,6 +177,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)]
     got = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    rng = random.Random(9)
+    edges = [(0, i) for i in range(1, 1500)] + [(rng.randrange(2000, 4000), rng.randrange(2000, 4000)) for _ in range(900)]
+    want = {i: i for e in edges for i in e}
+    while True:
+        after = dict(want)
+        for a, b in edges:
+            after[a] = after[b] = min(after[a], after[b])
+        if after == want:
+            break
+        want = after
+    half = len(edges) // 2
+    one = connected_components(spark.createDataFrame(edges[:half], "a long, b long"))
+    got = {r.node: r.comp for r in merged(one, spark.createDataFrame(edges[half:], "a long, b long")).collect()}
+    group = lambda labels: {frozenset(i for i in labels if labels[i] == c) for c in set(labels.values())}
+    lone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    assert group({i: c for i, c in got.items() if i not in lone}) == group({i: c for i, c in want.items() if i not in lone})
 
 
 @pytest.mark.parametrize(("n", "blocks"), [(300, None), (300, 1), (300, 8), (300, 13), (300, 37)])
