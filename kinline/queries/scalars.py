@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinline.functions import keys as k
 from kinline.functions import wordlists as W
-from kinline.functions.text import canonical_address, strip_accents, strip_domain, strip_legal_suffix, tokens
+from kinline.functions.text import canonical_address, normalise_source, strip_accents, strip_domain, strip_legal_suffix, tokens
 from kinline.operators.combine import mask_names
 from kinline.operators.diagnostics import char_jaccard, typo_like
 from kinline.plans.passes import V1_BITS
@@ -83,7 +83,7 @@ def _fn_05(spark, sf_dir):
 
 @query("fn_07_normalize_source", f"WITH {sql.ENT} SELECT entity_id, name_norm, name_clean_legal, address_norm, country_norm FROM ent")
 def _fn_07(spark, sf_dir):
-    return entities(spark, sf_dir).select("entity_id", "name_norm", "name_clean_legal", "address_norm", "country_norm")
+    return normalise_source(raw_entities(spark, sf_dir)).select("entity_id", "name_norm", "name_clean_legal", "address_norm", "country_norm")
 
 
 @query("fn_31_mask_names", "SELECT o_orderkey, concat_ws('|', " + ", ".join(f"CASE WHEN (o_orderkey % 1024) & {b} <> 0 THEN '{n}' END" for n, b in sorted(V1_BITS.items(), key=lambda x: x[1])) + ") AS value FROM orders")

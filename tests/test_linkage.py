@@ -34,17 +34,29 @@ def test_guard_and_cap(spark):
     assert got(by_name(5, 2)) == [("S1-1", "S2-0"), ("S1-1", "S2-1"), ("S1-2", "S2-9")]
 
 
-def test_features_of_smoke_pairs(spark):
+def test_features_by_hand(spark):
+    """Two words of three shared; nothing shared and no address; equal names of other countries."""
     rows = [
-        ("acme industrial corp", "acme industrial", "123 main st springfield il", "us", "acme industries", "acme industries", "123 main street springfield il", "us", 2),
-        ("empty address inc", "empty address", "", "us", "empty address corp", "empty address", "", "us", 1),
-        ("", "", "456 oak rd", "in", "unknown shop", "unknown shop", "789 pine ave", "fr", 0),
+        ("red fox mill", "red fox mill", "9 elm 20", "de", "red fox barn", "red fox barn", "9 oak 20", "de", 3),
+        ("abc", "abc", "", "de", "xyzw", "xyzw", "1 q", "", 1),
+        ("lark", "lark", "5 lark row", "fr", "lark", "lark", "5 lark row", "it", 2),
     ]
     names = [f"{s}_{c}" for s in "lr" for c in ("name_norm", "name_clean_legal", "address_norm", "country_norm")]
     df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", passes int")
-    got = with_features(df, df.passes).select(FEATURES).collect()
-    assert len(FEATURES) == 30 and all(v is not None and v == v for r in got for v in r)
-    assert got[1].name_clean_exact == 1 and got[1].addr_missing_either == 1 and got[2].name_jw_gap == 1 and got[0].num_blocking_passes == 2
+    got = [r.asDict() for r in with_features(df, df.passes).select(FEATURES).collect()]
+    assert len(FEATURES) == 30 and all(v is not None and v == v for r in got for v in r.values())
+    # "mill" to "barn" are four replacements; 8 characters are a common subsequence of 12 and 12; the numbers 9 and 20 are shared
+    assert got[0] == pytest.approx({
+        "name_norm_exact": 0, "name_clean_exact": 0, "name_jaro_winkler": S.jaro_winkler("red fox mill", "red fox barn"), "name_levenshtein_sim": 2 * 8 / 24, "name_token_sort_sim": S.token_sort_ratio("red fox mill", "red fox barn"),
+        "name_token_set_sim": 2 * 7 / (7 + 12), "name_partial_sim": S.partial_ratio("red fox mill", "red fox barn"), "name_token_jaccard": 2 / 4, "name_token_overlap": 2 / 3, "name_len_diff": 0, "name_token_count_diff": 0,
+        "name_jw_gap": 1 - S.jaro_winkler("red fox mill", "red fox barn"), "name_lev_gap": 1 - 16 / 24, "name_sort_gap": 1 - S.token_sort_ratio("red fox mill", "red fox barn"), "name_edit_distance": 4, "addr_exact": 0,
+        "addr_token_jaccard": 2 / 4, "addr_token_overlap": 2 / 3, "addr_levenshtein_sim": 2 * 5 / 16, "addr_numeric_match": 1, "country_exact": 1, "num_blocking_passes": 3, "name_addr_both_present": 1, "addr_missing_either": 0,
+        "name_in_addr": 0, "common_rare_name_tokens": 0, "name_containment": 0, "name_first_token_match": 1, "name_x_addr_sim": S.token_sort_ratio("red fox mill", "red fox barn") * 10 / 16, "name_x_country": S.token_sort_ratio("red fox mill", "red fox barn"),
+    }, abs=1e-9)
+    assert {k for k, v in got[1].items() if v} == {"name_len_diff", "name_jw_gap", "name_lev_gap", "name_sort_gap", "name_edit_distance", "num_blocking_passes", "addr_missing_either"}
+    assert (got[1]["name_len_diff"], got[1]["name_edit_distance"]) == (0.25, 4)
+    ones = {"name_norm_exact", "name_clean_exact", "addr_exact", "name_containment", "name_first_token_match", "common_rare_name_tokens", "name_x_addr_sim", "name_partial_sim", "name_token_set_sim", "addr_numeric_match"}
+    assert all(got[2][k] == 1 for k in ones) and got[2]["country_exact"] == got[2]["name_x_country"] == 0 and got[2]["name_in_addr"] == 2
 
 
 @pytest.mark.parametrize(("convention", "expected"), [("macro", (0.75, 0.625, 0.25)), ("rule", (0.5, 0.375, 0.25 + 0.25 * 0.0)), ("zero", (0.25, 0.125, 0.0))])
