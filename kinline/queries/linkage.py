@@ -89,7 +89,7 @@ def _p_05(spark, d):
 # European names keep after normalisation; then bytes are letters. Fixed values.
 _BEYOND, _STANDIN = "ßæœøłđðþıħŋŧ", "ABCDEFGHIJKL"
 _ONE_BYTE = lambda c: f"translate({c}, '{_BEYOND}', '{_STANDIN}')"
-_SORTED = lambda c: f"array_to_string(list_sort({sql.tok(_ONE_BYTE(c))}), ' ')"
+_SORTED = lambda c: _ONE_BYTE(f"array_to_string(list_sort({sql.tok(c)}), ' ')")
 _JW = f"CASE WHEN ln = '' OR rn = '' THEN 0 ELSE jaro_winkler_similarity({_ONE_BYTE('ln')}, {_ONE_BYTE('rn')}) END"
 
 
