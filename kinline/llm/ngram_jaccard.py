@@ -395,6 +395,24 @@ def _renamed(rows: DataFrame, clashes: dict) -> DataFrame:
     return rows.join(F.broadcast(fresh), ["node", "check"], "left").withColumn("node", F.coalesce("fresh", "node")).drop("check", "fresh")
 
 
+def _mixed(placed: DataFrame, percent: int) -> DataFrame:
+    """Members of lists with several classes, without those that have no room for a link with any other of their list.
+
+    Sets of n and m link by way of a shingle at places i and j only if ``room`` of each, (100 + percent) * (n - i) - percent * n,
+    is at least percent * the other's size. In a list of two that is tested with the other member, in longer ones with
+    the least size and the most room of the list, which are bounds for any member.
+    """
+    n = F.col("n").cast("long")
+    placed = placed.withColumn("room", (100 + percent) * (n - F.col("pos")) - percent * n)
+    lists = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum(n).alias("all_n"), F.sum("room").alias("all_room"), F.min(n).alias("least"), F.max("room").alias("most"))
+    # a list whose members have no room for its smallest set has no link
+    lists = lists.filter(f"lo != hi and most >= {percent} * least").withColumnRenamed("h", "list")
+    other_n = F.when(F.col("c") == 2, F.col("all_n") - n).otherwise(F.col("least"))
+    other_room = F.when(F.col("c") == 2, F.col("all_room") - F.col("room")).otherwise(F.col("most"))
+    may = (F.col("room") >= percent * other_n) & (other_room >= percent * n)
+    return placed.join(lists, (F.col("h") == F.col("list")) & may).select("h", "node", "n", "pos", "comp")
+
+
 def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, hash_bits: int = 64) -> DataFrame:
     """(id, n_shingles, component_id, class_node, key) of each row. ``component_id`` is the smallest id that links reach; ``class_node``
     names the class (null without shingles), ``key`` is a hash of id and text."""
@@ -428,8 +446,7 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     # the lists whose members are in several classes still
     placed = members.select("h", "node", "n", "pos").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
-    apart = materialize(placed.join(mixed, "h").select("h", "node", "n", "pos").distinct())
+    apart = materialize(_mixed(placed, percent).select("h", "node", "n", "pos").distinct())
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     def may_link(x: str, y: str):
@@ -456,8 +473,7 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     # whatever is left in different classes is compared exactly, list by list, wherever there is room for a link
     placed = apart.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h")
-    placed = placed.join(mixed, "h")
+    placed = _mixed(placed, percent)
     one, two = placed.alias("one"), placed.alias("two")
     rest = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.comp") < F.col("two.comp")) & may_link("one", "two"))
     rest = materialize(rest.select(*pair("one.node", "two.node")).distinct().join(tried, ["a", "b"], "left_anti"))
