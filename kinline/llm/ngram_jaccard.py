@@ -473,7 +473,7 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     # whatever is left in different classes is compared exactly, list by list, wherever there is room for a link
     placed = apart.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = _mixed(placed, percent)
+    placed = materialize(_mixed(placed, percent))  # both sides of the join read it
     one, two = placed.alias("one"), placed.alias("two")
     rest = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.comp") < F.col("two.comp")) & may_link("one", "two"))
     rest = materialize(rest.select(*pair("one.node", "two.node")).distinct().join(tried, ["a", "b"], "left_anti"))
@@ -483,7 +483,7 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     own = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.col("first._id").alias("least"))
     class_id = own.groupBy("comp").agg(F.min("least").alias("component"))
     verdict = materialize(lookup(own, "comp", class_id, hot=hot_keys(labels, "comp")["comp"]).select("node", "component", "comp"))
-    discard(members, texts, tried, links, apart, rest, small)
+    discard(members, texts, tried, links, apart, placed, rest, small)
     # a node can have a third of all rows; rows without shingles have none
     full_rows = lookup(_renamed(rows.filter("n > 0"), clashes), "node", verdict, hot=hot_keys(rows.filter("n > 0"), "node")["node"])
     empty = rows.filter("n = 0").select("_id", "_key", "n", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("comp"))
