@@ -14,7 +14,7 @@ from kinline.llm import kernels as K
 from kinline.llm.components import connected_components, merged
 from kinline.llm.decontamination import Items, MultiIndex, find_matches, simhashes
 from kinline.llm.exact_dedup import CuckooIndex, exact_dedup
-from kinline.llm.ngram_jaccard import _pack_counts, _unpack_counts, jaccard_classes, prefix, sketch, sketch_distance
+from kinline.llm.ngram_jaccard import _mixed, _pack_counts, _unpack_counts, jaccard_classes, prefix, sketch, sketch_distance
 from kinline.llm.substring_dedup import cover_for, difference_cover, substring_dedup
 
 SCHEMA = "doc_id long, text string, n_words long, kept string, _id long, h long"  # with names that clash
@@ -262,3 +262,21 @@ def test_empty_tables(spark):
     none = docs(spark, [(1, "x")]).filter("false")
     for f in (substring_dedup, exact_dedup, jaccard_classes):
         assert f(none).count() == 0
+
+
+def test_mixed_lists_keep_every_pair_with_room(spark):
+    """Of random lists: both members of every pair that may link stay, and of a list of two nothing else does."""
+    rng = random.Random(5)
+    rows = []
+    for h in range(300):
+        for node in rng.sample(range(1000), rng.choice([1, 2, 2, 3, 6])):
+            n = rng.randint(17, 60)
+            rows.append((h, node, n, rng.randint(0, n // 5), node % 7))
+    got = {tuple(r) for r in _mixed(spark.createDataFrame(rows, "h long, node long, n int, pos int, comp long"), 80).collect()}
+    room = lambda x, y: 180 * min(x[2] - x[3], y[2] - y[3]) >= 80 * (x[2] + y[2])
+    lists = {}
+    for r in rows:
+        lists.setdefault(r[0], []).append(r)
+    need = {x for members in lists.values() for x in members if any(x[4] != y[4] and room(x, y) for y in members)}
+    assert need and need <= got <= set(rows)
+    assert all(r in need for r in got if len(lists[r[0]]) == 2)
