@@ -38,7 +38,7 @@ from kinline.llm.common import batch_of, id_and_text, public_id
 CAPACITY = 4096
 END_ID = 2
 CLASSES = 16  # of lengths; those of capacity / CLASSES or less are one class
-MEMO_WORDS = 250_000  # words whose ids a task remembers, in two halves: when one is full, the older one goes
+MEMO_WORDS = 250_000  # words whose ids a task remembers; a longer memory is dropped and begun anew
 MEMO_CHARS = 64  # longer words aren't remembered
 
 PIECES = "_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -80,30 +80,26 @@ class WordIds:
         self.tokenizer, self.split = Tokenizer.from_str(tokenizer_json), by_word(tokenizer_json)
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}  # what is met again moves to the newer half, so frequent words stay
-        self.old_cores: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(self.TAIL)
+        return (core, word[len(core) :]) if core[-1:].isalpha() else (word, b"")
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         if not self.split:
             return self._encode(texts)
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > MEMO_WORDS // 2:
-            self.old_words, self.words = self.words, {}
+        if len(self.words) + len(new) > MEMO_WORDS:
+            self.words.clear()
             new = set().union(*split)
-        if len(self.cores) > MEMO_WORDS // 2:
-            self.old_cores, self.cores = self.cores, {}
-        again = new.intersection(self.old_words)
-        self.words.update((w, self.old_words[w]) for w in again)
-        new -= again
-        parts = {w: (c, w[len(c) :]) if (c := w.rstrip(self.TAIL))[-1:].isalpha() else (w, b"") for w in new}
-        fresh = set().union(*zip(*parts.values(), strict=True)).difference(self.cores, (b"",))
-        again = fresh.intersection(self.old_cores)
-        self.cores.update((x, self.old_cores[x]) for x in again)
-        fresh -= again
+        if len(self.cores) > MEMO_WORDS:
+            self.cores.clear()
+        parts = {w: self._parts(w) for w in new}
+        fresh = {x for pair in parts.values() for x in pair if x}.difference(self.cores)
         long = {x for x in fresh if len(x) > MEMO_CHARS}
         fresh = [*(fresh - long)]
         self.cores.update(zip(fresh, self._encode(fresh), strict=True))
