@@ -129,3 +129,20 @@ def test_keyed_passes_are_made_part_by_part(spark):
     assert len(parts) == B.KEYED > 1 and max(map(len, bits)) <= 4 and sum(map(len, bits)) == len(set().union(*bits))
     rows = lambda x: sorted(map(tuple, x.collect()))
     assert sorted(r for x in parts.values() for r in rows(x)) == rows(B.found(ents, P.v3(), P.V3_BITS, {}))
+
+
+def test_sample_shuffles_no_row_that_is_taken_whole(spark):
+    """The counts of three kinds are broadcast, whatever the session's threshold."""
+    from kinline.operators.sampling import training_sample
+
+    pairs = spark.range(6_000).selectExpr("cast(id AS string) AS s1_entity_id", "cast(id AS string) AS candidate_entity_id", "cast(id < 2000 AS int) AS label", "false AS hard")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = training_sample(pairs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 2
+        assert sorted((r["kind"], r["count"]) for r in out.groupBy("kind").count().collect()) == [("easy", 2000), ("positive", 2000)]
+    finally:
+        spark.conf.set(key, before)
