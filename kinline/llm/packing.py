@@ -40,6 +40,7 @@ END_ID = 2
 CLASSES = 16  # of lengths; those of capacity / CLASSES or less are one class
 MEMO_WORDS = 250_000  # words whose ids a task remembers; a longer memory is dropped and begun anew
 MEMO_CHARS = 64  # longer words aren't remembered
+LINES = 500  # words that are tokenised as one text
 
 PIECES = "_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -62,6 +63,17 @@ def by_word(tokenizer_json: str) -> bool:
     return "Lowercase" in steps and bool(splits) and splits[0].get("pattern", {}).get("Regex") == WORD_SPLIT and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
 
 
+def word_ends(tokenizer_json: str) -> np.ndarray | None:
+    """By id: whether a token ends a word; None where the model doesn't mark that."""
+    model = json.loads(tokenizer_json)["model"]
+    mark = model.get("end_of_word_suffix")
+    if model.get("type") != "BPE" or not mark:
+        return None
+    out = np.zeros(max(model["vocab"].values()) + 1_000, bool)  # and ids of added tokens, which letters alone don't have
+    out[[i for t, i in model["vocab"].items() if t.endswith(mark)]] = True
+    return out
+
+
 class WordIds:
     """Little-endian 32-bit ids of texts, by way of their words.
 
@@ -80,10 +92,38 @@ class WordIds:
         self.tokenizer, self.split = Tokenizer.from_str(tokenizer_json), by_word(tokenizer_json)
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
+        self.ends = word_ends(tokenizer_json) if self.split else None
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
+    def _encode_lines(self, lines: list[str]) -> list[bytes] | None:
+        """Ids of words of letters alone, tokenised as one text, where each has one id that ends a word; else None.
+
+        Each has at least one, so that as many ends as words are one of each.
+        """
+        (e,) = self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(lines):
+            return None
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends)]  # noqa: B905  the last end begins nothing
+
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word; those of letters alone by ``LINES`` at a time, which spares the tokenizer's cost of each text."""
+        if self.ends is None:
+            return dict(zip(words, self._encode(words), strict=True))
+        out, plain, other = {}, [], []
+        for w in words:
+            (plain if (x := w.decode()).isalpha() else other).append((w, x))
+        for i in range(0, len(plain), LINES):
+            some, lines = zip(*plain[i : i + LINES], strict=True)
+            ids = self._encode_lines([*lines])
+            out.update(zip(some, self._encode([*some]) if ids is None else ids, strict=True))
+        out.update(zip([w for w, _ in other], self._encode([w for w, _ in other]), strict=True))
+        return out
+
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         core = word.rstrip(self.TAIL)
         return (core, word[len(core) :]) if core[-1:].isalpha() else (word, b"")
@@ -102,7 +142,7 @@ class WordIds:
         fresh = {x for pair in parts.values() for x in pair if x}.difference(self.cores)
         long = {x for x in fresh if len(x) > MEMO_CHARS}
         fresh = [*(fresh - long)]
-        self.cores.update(zip(fresh, self._encode(fresh), strict=True))
+        self.cores.update(self._encode_words(fresh))
         extra = dict(zip(long, self._encode([*long]), strict=True)) if long else {}
         cores = self.cores
         cores[b""] = b""

@@ -326,3 +326,19 @@ def test_batches_of_texts_are_small(spark):
     rows = spark.range(0, 200, 1, 1).select(F.concat(F.repeat(F.lit("x"), 100_000), F.col("id").cast("string")).alias("text"))
     got = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
     assert sum(got) > 20_000_000 and max(got) < 8_000_000
+
+
+def test_words_of_letters_are_tokenised_together_as_alone():
+    from pathlib import Path
+
+    from kinline.llm import packing as P
+
+    texts = ["plain words gibberisheng über", "İstanbul i̇ ﬁn ǅ", "क़ख़ é á", "a b   　", "don't 's I'LL l'été", "日本語 𠀀 가 각", "ª ʰ ͅ Ⅷ ² 1a", "</w> a</w>", "x" * 70]
+    ids = P.WordIds(Path(P.word_bpe_path()).read_text())
+    calls = []
+    encode = ids._encode
+    ids._encode = lambda words: calls.extend(words) or encode(words)
+    assert ids.of([x.encode() for x in texts]) == [P.array("I", ids.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
+    calls.clear()
+    ids.of([b"entirely newlettered lines"])
+    assert not calls  # one text of three lines, no text for each word
