@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinline.session import scratch_base, ship_package
+from kinline.session import scratch_base, ship_package, shuffles_go
 
 MIN_LONG = -(1 << 63)
 
@@ -53,10 +53,11 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes the rows as a Parquet table in the shared folder and reads them back."""
+    """Cuts lineage: writes the rows as a Parquet table in the shared folder and reads them back. The shuffle files of that go at once."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    with shuffles_go(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinline_scratch = path
     return out

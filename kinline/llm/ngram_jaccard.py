@@ -9,19 +9,21 @@ Two sets link when 100 * |A and B| >= 80 * |A or B| (the percentage is a paramet
 * *Large sets* scan inverted lists. In one global order of shingles, rare before common, two linked sets
   share one of their first n - ceil(0.8 n) + 1. Each set is first compared with one pivot, the first member
   of most of its lists, lists being ordered by the place of the shingle in the set: of near copies the one with
-  the fewest shingles of its own comes first, which is the one that most others link with. Then, for a few rounds, one member of each class with the first of each list that has
-  several classes. What is still in different classes meets list by list, but only where the places of the
-  shared shingle in both sets leave room for enough others after it; a linked pair always has that room at the
-  first shingle that it shares. That leaves few pairs that don't link, and loses none that does.
+  the fewest shingles of its own comes first, which is the one that most others link with. Then, for a few rounds, one
+  member of each class with the first of each list of more than two that has several classes. What is still in different
+  classes meets list by list, but only where the places of the shared shingle in both sets leave room for enough others
+  after it; a linked pair always has that room at the first shingle that it shares. That leaves few pairs that don't link,
+  and loses none that does.
 * The *boundary* is the size with the least estimated cost, from a histogram of set sizes.
 
 Equal sets count as one node from the start. A node is known by 64 bits of hash; sets whose 64 bits are equal
 but whose next 64 differ get nodes of their own, so that two sets are one only if 128 bits agree. Tasks settle
 their own lists first and send one row for each list, so a shingle in a third of all documents sends one row
 for each task. The order of shingles is by a sketch of fixed size that counts all shingles of the input; any
-order gives the same links. Texts are read four times in all, whatever the number of comparisons: for the profile, the subsets, the
-lists, and to lay aside the texts of sets that have company. Before those are compared, parity sketches of about
-one bit for each shingle rule out pairs that are too far apart; they never rule out a link.
+order gives the same links. Texts are read for the profile, the subsets and the lists, and once for each of the at most
+four comparisons that has pairs: parity sketches of about one bit for each shingle rule out those that are too far apart, and never
+a link, before any text is shuffled; only texts of the pairs that are left are.
+
 
 Defined results: a null or empty text has no shingles, is a class of its own and linked with nothing; texts
 of fewer than ``words`` words have one shingle; a null id counts as the smallest and shows as null; rows may
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 from kinline.llm import kernels as K
 from kinline.llm.common import batch_of, discard, id_and_text, materialize, numpy, public_id, signed
 from kinline.llm.components import connected_components, hot_keys, lookup, merged
+from kinline.session import shuffles_go
 
 FLUSH = 1_000_000
 BUCKETS, CHUNK = 22, 16  # bits of the sketch of shingle counts, and of one row of it
@@ -181,7 +184,9 @@ def _add_counts(batches):
 def shingle_levels(profile: DataFrame) -> np.ndarray:
     """How common the shingles of each of 2**BUCKETS buckets are: 8 MB, whatever the input's size."""
     out = np.zeros((1 << (BUCKETS - CHUNK), 1 << CHUNK), np.uint16)
-    for r in profile.filter("kind = 1").select("x", "sketch").repartition("x").mapInArrow(_add_counts, "chunk long, levels binary").collect():  # 64 rows at most
+    with shuffles_go(profile.sparkSession):
+        rows = profile.filter("kind = 1").select("x", "sketch").repartition("x").mapInArrow(_add_counts, "chunk long, levels binary").collect()  # 64 rows at most
+    for r in rows:
         out[r["chunk"]] = np.frombuffer(r["levels"], "<u2")
     return out.ravel()
 
@@ -239,34 +244,65 @@ def _lists(words: int, percent: int, boundary: int, levels, bits: int, clashes):
     return run
 
 
-def _meet(batches):
-    """Of lists sorted by shingle, its place in the set, set size and node: members of those with company, each with the list's first as its pivot."""
-    head = None  # of the last list: its first row, and whether that has been said to have company
-    row = lambda x, at: batch_of(**{c: np.atleast_1d(x[c][at]) for c in ("h", "node", "n", "pos", "pivot")})
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = {c: numpy(batch, c) for c in ("kind", "h", "node", "n", "pos")}
-        h, node = x["h"], x["node"]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        goes_on = head is not None and h[0] == head[0]["h"]
-        new[0] = not goes_on
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-        x["pivot"] = np.where(first >= 0, node[first], head[0]["node"] if goes_on else 0)
-        out = ~new & (node != x["pivot"])
-        firsts = np.unique(first[out])
-        if len(firsts) and firsts[0] < 0:  # a first row of the batch before, which asked alone, has company now
-            if head[0]["kind"] == 0 and not head[1]:
-                yield row({c: np.atleast_1d(v) for c, v in head[0].items()}, slice(None))
-            head, firsts = (head[0], True), firsts[1:]
-        take = out.copy()
-        take[firsts[x["kind"][firsts] == 0]] = True
-        if take.any():
-            yield row(x, take)
-        i = first[-1]
-        if i >= 0:
-            head = ({c: v[i] for c, v in x.items()}, bool(out[i:].any()))
+def _no_room(x: dict, new: np.ndarray, percent: int) -> np.ndarray:
+    """Of rows of lists, of which the first and the last may be cut: those that no other row of their list can link with, by the bounds of ``_mixed``.
+
+    A list of which a task has settled members (kind 1) isn't whole here, and is left as it is.
+    """
+    n = x["n"].astype(np.int64)
+    room = (100 + percent) * (n - x["pos"]) - percent * n
+    first = np.flatnonzero(new)
+    if not len(first):
+        return np.zeros(len(n), bool)
+    size = np.diff(np.append(first, len(n)))
+    whole = np.maximum.reduceat(x["kind"], first) == 0
+    whole[-1] = False
+    at = np.repeat(np.arange(len(first)), size)
+    two, row = (size == 2)[at], np.arange(first[0], len(n))
+    other = np.where(two, 2 * first[at] + 1 - row, row)
+    other_n = np.where(two, n[other], np.minimum.reduceat(n, first)[at])
+    other_room = np.where(two, room[other], np.maximum.reduceat(room, first)[at])
+    out = np.zeros(len(n), bool)
+    out[first[0] :] = whole[at] & ~((room[row] >= percent * other_n) & (other_room >= percent * n[row]))
+    return out
+
+
+def _meet(percent: int):
+    """Of lists sorted by shingle, its place in the set, set size and node: members of those with company, each with the list's first as its pivot.
+
+    Members of a list without room for a link with another of it have no company there.
+    """
+
+    def run(batches):
+        head = None  # of the last list: its first row, and whether that has been said to have company
+        row = lambda x, at: batch_of(**{c: np.atleast_1d(x[c][at]) for c in ("h", "node", "n", "pos", "pivot")})
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {c: numpy(batch, c) for c in ("kind", "h", "node", "n", "pos")}
+            goes_on = head is not None and x["h"][0] == head[0]["h"]
+            new = np.append(not goes_on, x["h"][1:] != x["h"][:-1])
+            stays = ~_no_room(x, new, percent)  # the last list does, and one that goes on
+            x, new = {c: v[stays] for c, v in x.items()}, np.append(False, x["h"][stays][1:] != x["h"][stays][:-1])
+            new[0] = not goes_on
+            node = x["node"]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
+            x["pivot"] = np.where(first >= 0, node[first], head[0]["node"] if goes_on else 0)
+            out = ~new & (node != x["pivot"])
+            firsts = np.unique(first[out])
+            if len(firsts) and firsts[0] < 0:  # a first row of the batch before, which asked alone, has company now
+                if head[0]["kind"] == 0 and not head[1]:
+                    yield row({c: np.atleast_1d(v) for c, v in head[0].items()}, slice(None))
+                head, firsts = (head[0], True), firsts[1:]
+            take = out.copy()
+            take[firsts[x["kind"][firsts] == 0]] = True
+            if take.any():
+                yield row(x, take)
+            i = first[-1]
+            if i >= 0:
+                head = ({c: v[i] for c, v in x.items()}, bool(out[i:].any()))
+
+    return run
 
 
 def _subsets(words: int, percent: int, boundary: int, bits: int, clashes):
@@ -395,12 +431,12 @@ def _renamed(rows: DataFrame, clashes: dict) -> DataFrame:
     return rows.join(F.broadcast(fresh), ["node", "check"], "left").withColumn("node", F.coalesce("fresh", "node")).drop("check", "fresh")
 
 
-def _mixed(placed: DataFrame, percent: int) -> DataFrame:
+def _mixed(placed: DataFrame, percent: int, *more: str) -> DataFrame:
     """Members of lists with several classes, without those that have no room for a link with any other of their list.
 
     Sets of n and m link by way of a shingle at places i and j only if ``room`` of each, (100 + percent) * (n - i) - percent * n,
     is at least percent * the other's size. In a list of two that is tested with the other member, in longer ones with
-    the least size and the most room of the list, which are bounds for any member.
+    the least size and the most room of the list, which are bounds for any member. ``more``: ``c``, how many members the list had.
     """
     n = F.col("n").cast("long")
     placed = placed.withColumn("room", (100 + percent) * (n - F.col("pos")) - percent * n)
@@ -410,7 +446,7 @@ def _mixed(placed: DataFrame, percent: int) -> DataFrame:
     other_n = F.when(F.col("c") == 2, F.col("all_n") - n).otherwise(F.col("least"))
     other_room = F.when(F.col("c") == 2, F.col("all_room") - F.col("room")).otherwise(F.col("most"))
     may = (F.col("room") >= percent * other_n) & (other_room >= percent * n)
-    return placed.join(lists, (F.col("h") == F.col("list")) & may).select("h", "node", "n", "pos", "comp")
+    return placed.join(lists, (F.col("h") == F.col("list")) & may).select("h", "node", "n", "pos", "comp", *more)
 
 
 def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, hash_bits: int = 64) -> DataFrame:
@@ -436,17 +472,17 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
     exact = small.join(heads, ["key", "key2"]).filter(f"head.node != node and {100 + percent} * size >= {percent} * (n + head.n)").select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
 
     asked = full.mapInArrow(_lists(words, percent, boundary, common, hash_bits, shared), LISTS)
-    met = asked.filter("kind < 2").select("kind", "h", "node", "n", "pos").repartition("h").sortWithinPartitions("h", "pos", "n", "node").mapInArrow(_meet, MEMBERS)
+    met = asked.filter("kind < 2").select("kind", "h", "node", "n", "pos").repartition("h").sortWithinPartitions("h", "pos", "n", "node").mapInArrow(_meet(percent), MEMBERS)
     members = materialize(asked.filter("kind > 0").select("h", "node", "n", "pos", "pivot").unionByName(met))
-    texts = _texts(docs, nodes, members.select("node").distinct())
     stars = members.filter("pivot != node").groupBy("node", "pivot").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("best"))
     tried = materialize(stars.select(F.least("best.pivot", "node").alias("a"), F.greatest("best.pivot", "node").alias("b")).distinct())
-    links = materialize(_linked(texts, nodes, tried, words, percent).unionByName(exact))
+    links = materialize(_linked(docs, nodes, tried, words, percent).unionByName(exact))
     labels = connected_components(links)
 
     # the lists whose members are in several classes still
     placed = members.select("h", "node", "n", "pos").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = materialize(_mixed(placed, percent).select("h", "node", "n", "pos").distinct())
+    apart = materialize(_mixed(placed, percent, "c").select("h", "node", "n", "pos", "c").distinct())
+    long = apart.filter("c > 2")  # a list of two is one pair, which is compared once at the end
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     def may_link(x: str, y: str):
@@ -456,34 +492,34 @@ def jaccard_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     for _ in range(ROUNDS):
         # one member of each class against the list's first: merges what belongs together with few comparisons
-        placed = apart.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        placed = long.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         heads = placed.groupBy("h", "comp").agg(F.min(F.struct("pos", "n", "node")).alias("x"))
         firsts = heads.groupBy("h").agg(F.min(F.struct("x.pos", "x.n", "x.node", "comp")).alias("f"))
-        meet = lookup(heads, "h", firsts, hot=hot_keys(apart, "h")["h"]).filter((F.col("comp") != F.col("f.comp")) & may_link("x", "f"))
+        meet = lookup(heads, "h", firsts, hot=hot_keys(long, "h")["h"]).filter((F.col("comp") != F.col("f.comp")) & may_link("x", "f"))
         some = meet.select(*pair("comp", "f.comp"), F.struct(*[c.alias(n) for c, n in zip(pair("x.node", "f.node"), "pq", strict=True)]).alias("m"))
         some = some.groupBy("a", "b").agg(F.min("m").alias("m")).select(F.col("m.p").alias("a"), F.col("m.q").alias("b")).distinct()
         some = materialize(some.join(tried, ["a", "b"], "left_anti"))
         if not some.limit(1).count():
             break
         tried = materialize(tried.unionByName(some))
-        more = materialize(_linked(texts, nodes, some, words, percent))
+        more = _linked(docs, nodes, some, words, percent)
         if not more.limit(1).count():
             break
         labels = merged(labels, more)
 
     # whatever is left in different classes is compared exactly, list by list, wherever there is room for a link
-    placed = apart.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = apart.drop("c").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = materialize(_mixed(placed, percent))  # both sides of the join read it
     one, two = placed.alias("one"), placed.alias("two")
     rest = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.comp") < F.col("two.comp")) & may_link("one", "two"))
     rest = materialize(rest.select(*pair("one.node", "two.node")).distinct().join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        labels = merged(labels, _linked(texts, nodes, rest, words, percent))
+        labels = merged(labels, _linked(docs, nodes, rest, words, percent))
 
     own = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.col("first._id").alias("least"))
     class_id = own.groupBy("comp").agg(F.min("least").alias("component"))
     verdict = materialize(lookup(own, "comp", class_id, hot=hot_keys(labels, "comp")["comp"]).select("node", "component", "comp"))
-    discard(members, texts, tried, links, apart, placed, rest, small)
+    discard(members, tried, links, apart, placed, rest, small)
     # a node can have a third of all rows; rows without shingles have none
     full_rows = lookup(_renamed(rows.filter("n > 0"), clashes), "node", verdict, hot=hot_keys(rows.filter("n > 0"), "node")["node"])
     empty = rows.filter("n = 0").select("_id", "_key", "n", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("comp"))
@@ -500,7 +536,8 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, _text) of the wanted nodes, by one scan of the documents; the others are left out before anything is shuffled."""
     need = materialize(nodes.join(wanted, "node").select("node", F.col("first._id").alias("_id"), F.col("first._key").alias("_key")))
     found = _maybe(docs.filter("_text is not null").select("_id", "_key", "_text"), need, "_key")
-    texts = materialize(found.join(need, ["_key", "_id"]).select("node", "_text").dropDuplicates(["node"]))
+    # rows may repeat; with the join's keys, these are left out where the join has put them
+    texts = materialize(found.join(need, ["_key", "_id"]).dropDuplicates(["_key", "_id", "node"]).select("node", "_text"))
     discard(need)
     return texts
 
@@ -512,14 +549,18 @@ def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return rows.select(*rows.columns, *bits).mapInArrow(_in_bloom(bloom, key, rows.columns), rows.schema)
 
 
-def _linked(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of nodes that link: first by sketches, which lose none, then exactly by their texts."""
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs of nodes that link: first by sketches, which lose none, then exactly by the texts of those that are left."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     hot = hot_keys(pairs, "a", "b")
     near = materialize(lookup(lookup(pairs, "a", side("a"), hot=hot["a"]), "b", side("b"), hot=hot["b"]).mapInArrow(_near(percent), "a long, b long"))
+    if not near.limit(1).count():
+        return near
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    some = _maybe(texts, ends, "node")
+    texts = _texts(docs, nodes, ends)
     hot = hot_keys(near, "a", "b")
-    with_a = lookup(near, "a", some.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), hot=hot["a"])
-    both = lookup(with_a, "b", some.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), hot=hot["b"])
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long")
+    with_a = lookup(near, "a", texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), hot=hot["a"])
+    both = lookup(with_a, "b", texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), hot=hot["b"])
+    linked = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"))
+    discard(near, texts)
+    return linked

@@ -11,10 +11,12 @@ import pyarrow as pa
 import pytest
 
 from kinline.llm import kernels as K
+from kinline.llm import ngram_jaccard as J
+from kinline.llm.common import materialize
 from kinline.llm.components import connected_components, merged
 from kinline.llm.decontamination import Items, MultiIndex, find_matches, simhashes
 from kinline.llm.exact_dedup import CuckooIndex, exact_dedup
-from kinline.llm.ngram_jaccard import _mixed, _pack_counts, _unpack_counts, jaccard_classes, prefix, sketch, sketch_distance
+from kinline.llm.ngram_jaccard import _meet, _mixed, _pack_counts, _unpack_counts, jaccard_classes, prefix, sketch, sketch_distance
 from kinline.llm.substring_dedup import cover_for, difference_cover, substring_dedup
 
 SCHEMA = "doc_id long, text string, n_words long, kept string, _id long, h long"  # with names that clash
@@ -280,3 +282,56 @@ def test_mixed_lists_keep_every_pair_with_room(spark):
     need = {x for members in lists.values() for x in members if any(x[4] != y[4] and room(x, y) for y in members)}
     assert need and need <= got <= set(rows)
     assert all(r in need for r in got if len(lists[r[0]]) == 2)
+
+
+def _met(rows, cuts):
+    """Members that ``_meet`` gives for (kind, h, node, n, pos), in batches cut at some places."""
+    rows = sorted(rows, key=lambda r: (r[1], r[4], r[3], r[2]))
+    types = ("int8", "int64", "int64", "int32", "int32")
+    batches = [pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows[x:y]], t) for i, (c, t) in enumerate(zip(("kind", "h", "node", "n", "pos"), types, strict=True))}) for x, y in itertools.pairwise([0, *sorted(cuts), len(rows)])]
+    return [tuple(r.values()) for b in _meet(80)(iter(batches)) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lists_pass_on_members_with_room(seed):
+    """Wherever batches are cut, both members of a pair that may link are passed on, or known from their task; most others aren't."""
+    rng = random.Random(seed)
+    rows = []
+    for h in range(400):
+        for node in rng.sample(range(1000), rng.choice([1, 2, 2, 2, 3, 6])):
+            n = rng.randint(17, 200)
+            rows.append((int(rng.random() < 0.05), h, node, n, rng.randint(0, n // 5)))
+    got = _met(rows, rng.sample(range(len(rows)), rng.choice([0, 3, 40])))
+    lists = {}
+    for r in rows:
+        lists.setdefault(r[1], []).append(r)
+    may = lambda x, y: 180 * min(x[3] - x[4], y[3] - y[4]) >= 80 * (x[3] + y[3])
+    need = {x[1:] for m in lists.values() for x, y in itertools.permutations(m, 2) if may(x, y)}
+    known = {r[1:] for r in rows if r[0]}  # these go another way as well
+    found = {r[:4] for r in got}
+    assert need <= found | known and len(got) == len(found)
+    assert found <= {r[1:] for m in lists.values() if len(m) > 1 for r in m}
+    alone = [m for m in lists.values() if len(m) == 2 and not any(r[0] for r in m) and not may(*m)]
+    assert len([m for m in alone if m[0][1:] in found or m[1][1:] in found]) <= 41 < len(alone)  # at most one list for each batch
+
+
+def test_tables_between_steps_leave_no_shuffle_files(spark):
+    open_ = lambda: spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    before = open_()
+    table = materialize(spark.range(1000).selectExpr("id % 700 AS k").groupBy("k").count())
+    assert open_() <= before and table.count() == 700
+
+
+def test_texts_of_chance_company_stay_where_they_are(spark, monkeypatch):
+    """Sets that share a passage but are far apart by their sketches have their texts shuffled in no comparison."""
+    asked = []
+    laid = J._texts
+    monkeypatch.setattr(J, "_texts", lambda docs, nodes, wanted: asked.append({r[0] for r in wanted.collect()}) or laid(docs, nodes, wanted))
+    rng = random.Random(3)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    shared, rows = text()[:12], [(i, " ".join([*text(), *text()])) for i in range(4)]
+    rows += [(10 + i, " ".join([*shared, *text()])) for i in range(12)]
+    rows += [(30, rows[0][1] + " x"), (31, rows[1][1] + " y")]
+    got = {r.doc_id: r.component_id for r in jaccard_classes(docs(spark, rows)).collect()}
+    assert got == {i: {30: 0, 31: 1}.get(i, i) for i, _ in rows}
+    assert len(set().union(*asked)) == 4
