@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +76,27 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_KEPT: dict[tuple, Any] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
+def lean() -> None:
+    """At a task's beginning: what earlier tasks have left in this Python worker goes, the memory that another operator
+    keeps and what Arrow and the C library hold of freed memory. Workers live on from one operator to the next."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps for later tasks of one operator; another operator's is dropped for it."""
+    if key not in _KEPT:
+        lean()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def numpy(batch: pa.RecordBatch, name: str, dtype=None) -> np.ndarray:
     out = batch.column(name).to_numpy(zero_copy_only=False)
     return out if dtype is None else out.view(dtype) if out.dtype.itemsize == np.dtype(dtype).itemsize else out.astype(dtype)

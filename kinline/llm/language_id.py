@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinline.llm import kernels as K
-from kinline.llm.common import batch_of, id_and_text, public_id
+from kinline.llm.common import batch_of, id_and_text, lean, public_id
 
 BITS = 16
 MAX_CELLS = 1 << 25
 UNKNOWN = "und"
 SMOOTHING = 0.5
+BLOCK = 1 << 18  # bytes of text whose n-grams are held at a time; some 30 times as much
 _TABLE: list[np.ndarray] = []
 
 
@@ -85,11 +86,13 @@ def grams(b: K.Block, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(langs: list[str], bits: int):
     def run(batches):
+        lean()
         total = np.zeros((len(langs), 1 << bits), np.int64)
+        most = BLOCK if total.size <= 1 << 20 else K.CHUNK_BYTES  # all cells are added up for each block
         index = {x: i for i, x in enumerate(langs)}
         for batch in batches:
             label = np.array([index[x] for x in batch.column("_lang").to_pylist()], np.int64)
-            for b in K.blocks(batch.column("_text")):
+            for b in K.blocks(batch.column("_text"), most):
                 g, ends, _ = grams(b, bits)
                 row = np.repeat(label[b.first_row : b.first_row + b.rows], np.diff(ends))
                 total += np.bincount(row << bits | g, minlength=len(langs) << bits).reshape(total.shape)
@@ -128,10 +131,11 @@ def _score(model, least_fit: float | None = None):
     """``least_fit``: texts whose n-grams are on average less likely, by so many nats, in the best language than if all n-grams were alike are unknown."""
 
     def run(batches):
+        lean()
         m = model.value
         names = [*m.langs, UNKNOWN]
         for batch in batches:
-            for b in K.blocks(batch.column("_text")):
+            for b in K.blocks(batch.column("_text"), BLOCK):
                 g, ends, letters = grams(b, m.bits)
                 ll = np.zeros((len(m.langs), b.rows))
                 full = np.flatnonzero(np.diff(ends))

@@ -41,11 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinline.llm import kernels as K
-from kinline.llm.common import batch_of, discard, id_and_text, materialize, numpy, public_id, signed
+from kinline.llm.common import batch_of, discard, id_and_text, lean, materialize, numpy, public_id, signed
 from kinline.llm.components import connected_components, hot_keys, lookup, merged
 from kinline.session import shuffles_go
 
-FLUSH = 1_000_000
+FLUSH, HELD = 1_000_000, 250_000  # shingles that a task gathers before it settles or counts them
+BLOCK = 1 << 18  # bytes of text whose hashes are held at a time; some 50 times as much
 BUCKETS, CHUNK = 22, 16  # bits of the sketch of shingle counts, and of one row of it
 SEEN = 500_000  # nodes that a task remembers to pass over equal sets
 MAX_BOUNDARY = 16
@@ -118,6 +119,7 @@ def _profile(words: int, bits: int):
     """Kind 0: (id, key, set size, node) of each row. Kind 1: counts of the shingles of the task's different sets, by bucket, in rows of 2**CHUNK buckets."""
 
     def run(batches):
+        lean()
         seen: set[tuple[int, int]] = set()
         held, n_held = [], 0
         counts = np.zeros(1 << BUCKETS, np.uint32)
@@ -128,7 +130,7 @@ def _profile(words: int, bits: int):
 
         for batch in batches:
             ids, keys = numpy(batch, "_id"), numpy(batch, "_key")
-            for b in K.blocks(batch.column("_text")):
+            for b in K.blocks(batch.column("_text"), BLOCK):
                 n, node, check, sketches = np.zeros(b.rows, np.int32), np.zeros(b.rows, np.int64), np.zeros(b.rows, np.int64), [None] * b.rows
                 for i, x in shingle_sets(b, words):
                     node[i], check[i] = known = set_hash(x, bits)
@@ -141,7 +143,7 @@ def _profile(words: int, bits: int):
                         n_held += len(x)
                 at = slice(b.first_row, b.first_row + b.rows)
                 yield batch_of(kind=np.zeros(b.rows, np.int8), x=ids[at], y=keys[at], n=n, node=node, check=check, sketch=pa.array(sketches, pa.binary()))
-                if n_held >= FLUSH:
+                if n_held >= HELD:
                     add()
                     held, n_held = [], 0
         if held:
@@ -217,11 +219,12 @@ def _lists(words: int, percent: int, boundary: int, levels, bits: int, clashes):
             yield batch_of(kind=kind[s], h=signed(h[s]), node=node[s], n=n[s], pos=pos[s], pivot=pivot[s])
 
     def run(batches):
+        lean()
         order, clash = levels.value, clashes.value
         seen: set[int] = set()
         parts, total = [], 0
         for batch in batches:
-            for b in K.blocks(batch.column("_text")):
+            for b in K.blocks(batch.column("_text"), BLOCK):
                 for _, x in shingle_sets(b, words):
                     size = len(x)
                     if 100 * size <= percent * boundary:
@@ -309,8 +312,9 @@ def _subsets(words: int, percent: int, boundary: int, bits: int, clashes):
     """(subset hash of 128 bits, its size, set size, node) of the small sets."""
 
     def run(batches):
+        lean()
         for batch in batches:
-            for b in K.blocks(batch.column("_text")):
+            for b in K.blocks(batch.column("_text"), BLOCK):
                 key, key2, size, n, node = [], [], [], [], []
                 for _, x in shingle_sets(b, words):
                     if len(x) > boundary:
@@ -334,11 +338,12 @@ def _verify(words: int, percent: int):
     """Of pairs with both texts: those that link."""
 
     def run(batches):
+        lean()
         last: tuple = (None, None)
         for batch in batches:
             a, bb = numpy(batch, "a"), numpy(batch, "b")
             left = batch.column("text_a")
-            for b in K.blocks(batch.column("text_b")):
+            for b in K.blocks(batch.column("text_b"), BLOCK):
                 keep = []
                 for i, y in shingle_sets(b, words):
                     r = b.first_row + i

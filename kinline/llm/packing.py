@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinline.llm import kernels as K
-from kinline.llm.common import batch_of, id_and_text, public_id
+from kinline.llm.common import batch_of, id_and_text, kept, public_id
 
 CAPACITY = 4096
 END_ID = 2
@@ -155,16 +155,9 @@ class WordIds:
         return [b"".join([self.words[w] if w in self.words else once[w] for w in words]) for words in split]
 
 
-_KEPT: dict[int, WordIds] = {}
-
-
 def word_ids(tokenizer_json: str) -> WordIds:
     """The memory of this Python worker, which later tasks find again."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = WordIds(tokenizer_json)
-    return _KEPT[key]
+    return kept(("words", zlib.crc32(tokenizer_json.encode())), lambda: WordIds(tokenizer_json))
 
 
 class Piece(NamedTuple):

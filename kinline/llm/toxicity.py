@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinline.llm import kernels as K
-from kinline.llm.common import batch_of, bounded_rows, id_and_text, numpy, public_id, signed
+from kinline.llm.common import batch_of, bounded_rows, id_and_text, kept, numpy, public_id, signed
 from kinline.llm.language_id import fold
 from kinline.llm.linear import adam, sigmoid
 
@@ -236,16 +236,9 @@ class Restorer:
         return K.Block(b.first_row, np.frombuffer(b"".join(out), np.uint8), offsets, b.null), changed
 
 
-_KEPT: dict[int, Restorer] = {}
-
-
 def restorer_of(counts: np.ndarray) -> Restorer:
     """The restorer of this Python worker, whose memory of words later tasks find again."""
-    key = zlib.crc32(counts.tobytes())
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Restorer(counts)
-    return _KEPT[key]
+    return kept(("restorer", zlib.crc32(counts.tobytes())), lambda: Restorer(counts))
 
 
 PREFIXES = (4, 5, 6)
