@@ -10,8 +10,8 @@ Every task fills its own sequences and knows nothing of the others; it holds at
 class, one that waits for filler, and a rest of filler. When it ends, what these hold is laid in one run that is cut into
 whole sequences and sequences of falling powers of two, so nothing is padded.
 
-Words are runs between ASCII white space. The tokenizer never joins what white space parts, so ids are
-looked up by word, and only words that a task hasn't met lately are tokenised.
+Words are runs between ASCII white space, and signs after a letter. The tokenizer never joins what these part, so ids are
+looked up by word, and only words that a worker hasn't met lately are tokenised.
 
 Defined results: a null or empty text is the end-of-document id alone; repeated rows and null ids are packed
 like any other; other columns of the input are ignored; an empty table gives no pieces.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from pathlib import Path
@@ -38,7 +39,8 @@ from kinline.llm.common import batch_of, id_and_text, kept, public_id
 CAPACITY = 4096
 END_ID = 2
 CLASSES = 16  # of lengths; those of capacity / CLASSES or less are one class
-MEMO_WORDS = 250_000  # words whose ids a task remembers; a longer memory is dropped and begun anew
+MEMO_WORDS = 400_000  # words whose ids a task remembers; a longer memory is dropped and begun anew
+MEMO_IDS = 4_000_000  # likewise; 16 MB
 MEMO_CHARS = 64  # longer words aren't remembered
 LINES = 500  # words that are tokenised as one text
 
@@ -74,85 +76,153 @@ def word_ends(tokenizer_json: str) -> np.ndarray | None:
     return out
 
 
+# Letters that the normalizer leaves as they are, each in one piece with its neighbours whatever the version of Unicode.
+LATIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+STEPS = {"NFC", "Replace", "Lowercase"}
+
+
+def for_latin(tokenizer_json: str) -> str | None:
+    """A ``by_word`` tokenizer for words that ``LATIN`` matches, parted by white space: the same model without the normalizer and
+    the regular expression, which do nothing to them. None where the normalizer has other steps."""
+    spec = json.loads(tokenizer_json)
+    steps = spec["normalizer"]["normalizers"]
+    if any(n["type"] not in STEPS or n["type"] == "Replace" and n["pattern"] != {"Regex": r"\s+"} for n in steps):
+        return None
+    spec["normalizer"], spec["added_tokens"] = None, []
+    spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    return json.dumps(spec)
+
+
+class Numbers(dict):
+    """Words by number; one that is met for the first time gets the next, and is in ``new`` until it is tokenised."""
+
+    def __init__(self, zero: bytes):
+        super().__init__({zero: 0})
+        self.next, self.new = 1, []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = self.next
+        self.next += 1
+        self.new.append(word)
+        return n
+
+
+def _bytes_in(chars: bytes) -> np.ndarray:
+    return np.isin(np.arange(256), [*chars])
+
+
 class WordIds:
     """Little-endian 32-bit ids of texts, by way of their words.
 
-    The tokenizer lower-cases, so texts are lower-cased in ASCII first (but for those that may hold a special
-    token), and signs after a word's last ASCII letter are always pieces of their own, so a word that is met for
-    the first time needs the tokenizer only if its part without them is new as well. That holds for tokenizers of the
-    form that ``by_word`` knows; for any other whole texts are tokenised.
+    The tokenizer lower-cases, so texts are lower-cased in ASCII first, but for capitals before what may be a mark, since
+    some marks compose with the small letter alone. Signs after an ASCII letter are always pieces of their own, so they are
+    made words of their own. Texts that may hold a special token are only parted by white space. Words are numbered: ``ids``
+    has those of number n from ``begin[n]`` on, ``length[n]`` of them; ``END`` is number 0 and has none. All that holds for
+    tokenizers of the form that ``by_word`` knows; for any other whole texts are tokenised.
     """
 
-    TAIL = b",.!?;:#$%&*|)"
+    TAIL = _bytes_in(b",.!?;:#$%&*|)")
+    LETTER = _bytes_in(b"abcdefghijklmnopqrstuvwxyz")
+    LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+    MARK = 0xCC  # least first byte of a mark in UTF-8
+    END = b"\xff"  # after each text; no byte of UTF-8
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split = Tokenizer.from_str(tokenizer_json), by_word(tokenizer_json)
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
         self.ends = word_ends(tokenizer_json) if self.split else None
+        latin = for_latin(tokenizer_json) if self.ends is not None else None
+        self.latin = Tokenizer.from_str(latin) if latin else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = Numbers(self.END)
+        self.ids, self.begin, self.length = array("I"), array("q", [0]), array("q", [0])
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def _encode_lines(self, lines: list[str]) -> list[bytes] | None:
-        """Ids of words of letters alone, tokenised as one text, where each has one id that ends a word; else None.
+    def _encode_lines(self, lines: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words of letters alone, tokenised as one text, and where each word's end, if each has one id that ends a word; else None.
 
         Each has at least one, so that as many ends as words are one of each.
         """
-        (e,) = self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)
+        (e,) = tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)
         ids = np.array(e.ids, "<u4")
-        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(ends) != len(lines):
-            return None
-        data, ends = ids.tobytes(), ends.tolist()
-        return [data[i:j] for i, j in zip([0, *ends], ends)]  # noqa: B905  the last end begins nothing
-
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word; those of letters alone by ``LINES`` at a time, which spares the tokenizer's cost of each text."""
-        if self.ends is None:
-            return dict(zip(words, self._encode(words), strict=True))
-        out, plain, other = {}, [], []
-        for w in words:
-            (plain if (x := w.decode()).isalpha() else other).append((w, x))
-        for i in range(0, len(plain), LINES):
-            some, lines = zip(*plain[i : i + LINES], strict=True)
-            ids = self._encode_lines([*lines])
-            out.update(zip(some, self._encode([*some]) if ids is None else ids, strict=True))
-        out.update(zip([w for w, _ in other], self._encode([w for w, _ in other]), strict=True))
-        return out
-
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        core = word.rstrip(self.TAIL)
-        return (core, word[len(core) :]) if core[-1:].isalpha() else (word, b"")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, ends) if len(ends) == len(lines) else None
+
+    def _alone(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._encode(words)
+        return np.frombuffer(b"".join(ids), "<u4"), np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Adds the ids of words that have the next numbers; those of letters alone are tokenised by ``LINES`` at a time, which spares
+        the tokenizer's cost of each text."""
+        texts = b"\n".join(words).decode().split("\n")
+        latin, letters, other = [], [], []
+        for i, x in enumerate(texts):
+            (other if self.ends is None else latin if self.latin and LATIN(x) else letters if x.isalpha() else other).append(i)
+        lines = [(tokenizer, some[i : i + LINES]) for tokenizer, some in ((self.latin, latin), (self.tokenizer, letters)) for i in range(0, len(some), LINES)]
+        begin, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for tokenizer, some in [*lines, *([(None, other)] if other else [])]:
+            got = self._encode_lines([texts[i] for i in some], tokenizer) if tokenizer else None
+            ids, ends = got or self._alone([words[i] for i in some])
+            length[some] = np.diff(ends, prepend=0)
+            begin[some] = len(self.ids) + ends - length[some]
+            self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.begin.frombytes(begin.tobytes())
+        self.length.frombytes(length.tobytes())
+
+    def _spaced(self, texts: list[bytes]) -> bytes:
+        """All texts, with white space between words and ``END`` as a word after each."""
+        space = b" " + self.END + b" "
+        joined = space.join([*texts, b""])
+        raw = np.frombuffer(joined, np.uint8)
+        data = self.LOWER[raw]
+        marked = np.flatnonzero(raw[1:] >= self.MARK)
+        data[marked] = raw[marked]
+        cut = self.LETTER[data[:-1]] & self.TAIL[data[1:]]
+        if b"<|" in joined:
+            at = 0
+            for t in texts:
+                if b"<|" in t:
+                    data[at : at + len(t)], cut[at : at + len(t)] = raw[at : at + len(t)], False
+                at += len(t) + len(space)
+        return np.insert(data, np.flatnonzero(cut) + 1, 32).tobytes()
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         if not self.split:
             return self._encode(texts)
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > MEMO_WORDS:
-            self.words.clear()
-            new = set().union(*split)
-        if len(self.cores) > MEMO_WORDS:
-            self.cores.clear()
-        parts = {w: self._parts(w) for w in new}
-        fresh = {x for pair in parts.values() for x in pair if x}.difference(self.cores)
-        long = {x for x in fresh if len(x) > MEMO_CHARS}
-        fresh = [*(fresh - long)]
-        self.cores.update(self._encode_words(fresh))
-        extra = dict(zip(long, self._encode([*long]), strict=True)) if long else {}
-        cores = self.cores
-        cores[b""] = b""
-        if not extra:
-            self.words.update((w, cores[x] + cores[y]) for w, (x, y) in parts.items())
-            return [b"".join(map(self.words.__getitem__, words)) for words in split]
-        get = lambda x: cores[x] if x in cores else extra[x]
-        once = {w: get(x) + get(y) for w, (x, y) in parts.items()}
-        self.words.update((w, ids) for w, ids in once.items() if len(w) <= MEMO_CHARS)
-        return [b"".join([self.words[w] if w in self.words else once[w] for w in words]) for words in split]
+        try:
+            out = self._of(texts)
+        except BaseException:  # numbers without ids
+            self._forget()
+            raise
+        if self.numbers.next > MEMO_WORDS or len(self.ids) > MEMO_IDS:
+            self._forget()
+        return out
+
+    def _of(self, texts: list[bytes]) -> list[bytes]:
+        words, numbers = self._spaced(texts).split(), self.numbers
+        at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        del words
+        if numbers.new:
+            self._learn(numbers.new)
+            for w in numbers.new:
+                if len(w) > MEMO_CHARS:
+                    del numbers[w]
+            numbers.new = []
+        length = np.frombuffer(self.length, np.int64)[at]
+        until = np.cumsum(length)
+        place = np.repeat(np.frombuffer(self.begin, np.int64)[at] - until + length, length) + np.arange(until[-1] if len(at) else 0)
+        ids = np.frombuffer(self.ids, np.uint32)[place].astype("<u4").tobytes()
+        ends = (4 * until[at == 0]).tolist()
+        if len(ends) != len(texts):
+            raise ValueError("a text isn't UTF-8")
+        return [ids[i:j] for i, j in zip([0, *ends], ends)]  # noqa: B905  the last end begins nothing
 
 
 def word_ids(tokenizer_json: str) -> WordIds:

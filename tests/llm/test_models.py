@@ -344,6 +344,64 @@ def test_words_of_letters_are_tokenised_together_as_alone():
     assert not calls  # one text of three lines, no text for each word
 
 
+def test_ids_are_the_tokenizers_where_only_small_letters_compose():
+    """H, T, W, Y and J have no form with these marks, the small letters have; signs, digits and marks in any order."""
+    import random
+    from pathlib import Path
+
+    from kinline.llm import packing as P
+
+    rng, some = random.Random(5), [*"abHJTWYtz.,;!)|'-(09éÉß×", "\u0331", "\u0308", "\u030c", "\u0323", "\u0338", *" \n\x1c\x85\xa0", "'s", "'LL", "<|", "İ", "日", "<|endoftext|>"]
+    texts = ["H\u0331", "T\u0308 W\u030a, Y\u030a.", "J\u0323\u030c J\u030c", *("".join(rng.choices(some, k=rng.randrange(60))) for _ in range(2_000))]
+    ids = P.WordIds(Path(P.word_bpe_path()).read_text())
+    assert ids.of([x.encode() for x in texts]) == [P.array("I", ids.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
+
+
+def test_words_are_tokenised_once():
+    """300,000 words, with signs and capitals, aren't tokenised anew when they come again; the first time without a regular expression."""
+    from pathlib import Path
+
+    from kinline.llm import packing as P
+
+    class Counts:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.words = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.words += sum(len(t.split()) for t in texts)
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    ids = P.WordIds(Path(P.word_bpe_path()).read_text())
+    ids.tokenizer = whole = Counts(ids.tokenizer)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    for again in range(2):
+        for i in range(0, 300_000, 10_000):
+            words = [name(j) for j in range(i, i + 10_000)]
+            ids.of([" ".join(words).encode(), (", ".join(words).title() + ".").encode()] if again else [" ".join(words).encode()])
+    assert whole.words <= 2  # the comma and the stop
+
+
+def test_words_that_go_leave_nothing(monkeypatch):
+    """Long words aren't remembered, a full memory begins anew, and a text that fails leaves no words without ids."""
+    from pathlib import Path
+
+    from kinline.llm import packing as P
+
+    ids = P.WordIds(Path(P.word_bpe_path()).read_text())
+    texts = [b"a " + b"x" * 1_000 + b" b", b"", b"c, d", b"x" * 1_000]
+    first = ids.of(texts)
+    assert max(map(len, ids.numbers)) <= P.MEMO_CHARS and ids.of(texts) == first
+    with pytest.raises(UnicodeDecodeError):
+        ids.of([b"a newer word", b"\xc3"])
+    with pytest.raises(ValueError):
+        ids.of([b"a \xff b"])
+    assert ids.of([b"a newer word", *texts])[1:] == first
+    monkeypatch.setattr(P, "MEMO_WORDS", 3)
+    for _ in range(3):
+        assert ids.of(texts) == first and len(ids.numbers) == 1
+    assert ids.of([]) == []
+
+
 def test_workers_keep_the_memory_of_one_operator():
     """What packing remembers goes when the same worker counts n-grams, and stays for more packing."""
     from kinline.llm import packing as P
