@@ -43,6 +43,8 @@ MEMO_WORDS = 400_000  # words whose ids a task remembers; a longer memory is dro
 MEMO_IDS = 4_000_000  # likewise; 16 MB
 MEMO_CHARS = 64  # longer words aren't remembered
 LINES = 500  # words that are tokenised as one text
+BLOCK_BYTES = 1 << 19  # of texts whose words are looked up at once
+PLACED = 1_000  # pieces that a task hands over at once, 4 MB or so of ids
 
 PIECES = "_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -342,10 +344,10 @@ def _pack(tokenizer_json, capacity: int, end_id: int):
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << 33)
         for batch in batches:
             ids = batch.column("_id").to_pylist()
-            for b in K.blocks(batch.column("_text")):
+            for b in K.blocks(batch.column("_text"), BLOCK_BYTES):
                 for i, tokens in enumerate(words.of([b.text(i) for i in range(b.rows)])):
                     packer.add(ids[b.first_row + i], tokens + end)
-                if len(packer.placed) >= 10_000:
+                if len(packer.placed) >= PLACED:
                     yield rows(packer.placed)
                     packer.placed = []
         packer.close()

@@ -402,6 +402,21 @@ def test_words_that_go_leave_nothing(monkeypatch):
     assert ids.of([]) == []
 
 
+def test_pieces_are_handed_over_a_few_megabytes_at_a_time(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    from kinline.llm import packing as P
+
+    monkeypatch.setattr(P, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"_id": range(6_000), "_text": ["some words, " * 250] * 6_000})
+    out = [*P._pack(SimpleNamespace(value=open(P.word_bpe_path()).read()), 4096, 2)(iter([batch]))]
+    assert sum(pa.compute.sum(b.column("length")).as_py() for b in out) == 6_000 * 751
+    assert max(b.nbytes for b in out) < 8_000_000
+
+
 def test_workers_keep_the_memory_of_one_operator():
     """What packing remembers goes when the same worker counts n-grams, and stays for more packing."""
     from kinline.llm import packing as P
